@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op1_bpe
+from . import op1_bpe, op5_token_counts
 
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe.op1_bpe_encode_decode,
+    "op5_token_counts": op5_token_counts.op5_token_counts,
 }
 ORACLES: dict[str, str] = {}
