@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1_bpe, op5_token_counts
+from . import op1_bpe, op5_token_counts, op7_simhash, op8_quality
 
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe.op1_bpe_encode_decode,
     "op5_token_counts": op5_token_counts.op5_token_counts,
+    "op7_simhash_bktree": op7_simhash.op7_simhash_bktree,
+    "op8_quality_rules": op8_quality.op8_quality_rules,
+}
+ORACLES: dict[str, str] = {
+    "op8_quality_rules": op8_quality.ORACLE,
 }
-ORACLES: dict[str, str] = {}
