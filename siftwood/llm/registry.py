@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import op1_bpe, op5_token_counts, op7_simhash, op8_quality
+from . import op1_bpe, op2_warc, op5_token_counts, op7_simhash, op8_quality
 
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe.op1_bpe_encode_decode,
+    "op2_warc_revisits": op2_warc.op2_warc_revisits,
     "op5_token_counts": op5_token_counts.op5_token_counts,
     "op7_simhash_bktree": op7_simhash.op7_simhash_bktree,
     "op8_quality_rules": op8_quality.op8_quality_rules,
 }
 ORACLES: dict[str, str] = {
+    "op2_warc_revisits": op2_warc.ORACLE,
     "op8_quality_rules": op8_quality.ORACLE,
 }
