@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_bpe, op2_warc, op5_token_counts, op7_simhash, op8_quality
+from . import op1_bpe, op2_warc, op10_language, op5_token_counts, op7_simhash, op8_quality
 
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe.op1_bpe_encode_decode,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts.op5_token_counts,
     "op7_simhash_bktree": op7_simhash.op7_simhash_bktree,
     "op8_quality_rules": op8_quality.op8_quality_rules,
+    "op10_language_crf": op10_language.op10_language_crf,
 }
 ORACLES: dict[str, str] = {
     "op2_warc_revisits": op2_warc.ORACLE,
