@@ -66,7 +66,7 @@ def predict_languages(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_
                 at = end
 
     narrow = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, f"`{id_col}` long, lang_pred string, score double, n_words long, mixed double")
+    return common.map_arrow(narrow, run, f"`{id_col}` long, lang_pred string, score double, n_words long, mixed double")
 
 
 def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

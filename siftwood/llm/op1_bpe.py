@@ -43,7 +43,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(hashes, kind), pa.array(decoded, pa.string())], [id_col, "n_tokens", "a", "b"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    out = narrow.mapInArrow(run, f"`{id_col}` long, n_tokens long, a {'string' if digests else 'array<int>'}, b string")
+    out = common.map_arrow(narrow, run, f"`{id_col}` long, n_tokens long, a {'string' if digests else 'array<int>'}, b string")
     return out.withColumnsRenamed({"a": "ids_sha256", "b": "decoded_sha256"} if digests else {"a": "ids", "b": "decoded"})
 
 

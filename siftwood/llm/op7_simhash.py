@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], [id_col, "fp"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, f"`{id_col}` long, fp long")
+    return common.map_arrow(narrow, run, f"`{id_col}` long, fp long")
 
 
 class BKTree:
@@ -160,7 +160,7 @@ def fingerprint_links(nodes: DataFrame, radius: int, blocks: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
     sharded = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", "fp")
-    return sharded.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    return common.map_arrow(sharded.repartition("key").sortWithinPartitions("key"), run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

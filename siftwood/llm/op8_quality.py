@@ -162,7 +162,7 @@ def quality_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: fl
                 at = end
 
     narrow = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    out = narrow.mapInArrow(run, f"`{id_col}` long, " + ", ".join(f"{k} long" for k in names))
+    out = common.map_arrow(narrow, run, f"`{id_col}` long, " + ", ".join(f"{k} long" for k in names))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     good = (F.col("covered_words") <= max_covered * F.col("n_words")) & (F.col("longest_repeat") <= max_repeat)
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & good)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_bpe, op2_warc, op10_language, op5_token_counts, op7_simhash, op8_quality
+from . import op1_bpe, op2_warc, op10_language, op5_token_counts, op7_simhash, op8_quality, op9_lines
 
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe.op1_bpe_encode_decode,
@@ -10,9 +10,11 @@ QUERIES = {
     "op5_token_counts": op5_token_counts.op5_token_counts,
     "op7_simhash_bktree": op7_simhash.op7_simhash_bktree,
     "op8_quality_rules": op8_quality.op8_quality_rules,
+    "op9_line_dedup": op9_lines.op9_line_dedup,
     "op10_language_crf": op10_language.op10_language_crf,
 }
 ORACLES: dict[str, str] = {
     "op2_warc_revisits": op2_warc.ORACLE,
     "op8_quality_rules": op8_quality.ORACLE,
+    "op9_line_dedup": op9_lines.ORACLE,
 }
