@@ -5,10 +5,10 @@ repeated payload; the few originals are joined back, so that a repeat becomes a
 record; the deduplicated archives are written with fresh headers and read back.
 
 Archives are written by Spark's text sink: a record ends with two line breaks, which is the
-sink's line separator, so the files are plain WARC 1.1, committed by the usual protocol on
+sink's line separator, so the files are gzipped WARC 1.1, committed by the usual protocol on
 any store, and a lost executor costs its tasks alone.  Each record names, right after the
 version line, the segment it belongs to; "end of record, version, segment" is the separator
-at reading, so large files are split among tasks.  The segment is fresh for each archive,
+at reading, so records stream and only one is held at a time.  The segment is fresh for each archive,
 and the block lengths are verified against the headers, so a payload that contained the
 separator could not pass unnoticed.
 """
@@ -89,7 +89,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00
     all responses; a row with a null page_id revisits the original if there is one.
     """
     segment = uuid.uuid4().hex
-    to_records(pages, segment, date, least_bytes).write.option("lineSep", END).text(path)
+    to_records(pages, segment, date, least_bytes).write.option("lineSep", END).option("compression", "gzip").text(path)
     return segment
 
 
