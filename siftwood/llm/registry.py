@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import op1_bpe, op2_warc, op10_language, op5_token_counts, op7_simhash, op8_quality, op9_lines
+from . import op1_bpe, op2_warc, op10_language, op5_token_counts, op6_mixing, op7_simhash, op8_quality, op9_lines
 
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe.op1_bpe_encode_decode,
     "op2_warc_revisits": op2_warc.op2_warc_revisits,
     "op5_token_counts": op5_token_counts.op5_token_counts,
+    "op6_source_mixing": op6_mixing.op6_source_mixing,
     "op7_simhash_bktree": op7_simhash.op7_simhash_bktree,
     "op8_quality_rules": op8_quality.op8_quality_rules,
     "op9_line_dedup": op9_lines.op9_line_dedup,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op2_warc_revisits": op2_warc.ORACLE,
+    "op6_source_mixing": op6_mixing.ORACLE,
     "op8_quality_rules": op8_quality.ORACLE,
     "op9_line_dedup": op9_lines.ORACLE,
 }
