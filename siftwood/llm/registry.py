@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import op1_bpe, op2_warc, op3_ann, op10_language, op5_token_counts, op6_mixing, op7_simhash, op8_quality, op9_lines
+from . import op1_bpe, op2_warc, op3_ann, op4_pii, op10_language, op5_token_counts, op6_mixing, op7_simhash, op8_quality, op9_lines
 
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe.op1_bpe_encode_decode,
     "op2_warc_revisits": op2_warc.op2_warc_revisits,
     "op3_ann_posting_lists": op3_ann.op3_ann_posting_lists,
+    "op4_pii_boosting": op4_pii.op4_pii_boosting,
     "op5_token_counts": op5_token_counts.op5_token_counts,
     "op6_source_mixing": op6_mixing.op6_source_mixing,
     "op7_simhash_bktree": op7_simhash.op7_simhash_bktree,
