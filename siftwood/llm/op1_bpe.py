@@ -21,11 +21,20 @@ def coder(path: str) -> WordBpe:
     return _coders[path]
 
 
-def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """Encode and decode the text column of docs.
+#: What a text can give: its ids, the decoded text, and the SHA-256 of the space-joined ids and of the decoded text.
+OUTPUTS = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
+_MAKE = {
+    "ids": lambda ids, text: [int(x) for x in ids.split()],
+    "decoded": lambda ids, text: text,
+    "ids_sha256": lambda ids, text: sha256(ids),
+    "decoded_sha256": lambda ids, text: sha256(text),
+}
 
-    Returns (doc_id, n_tokens, ids, decoded); with digests, the SHA-256 of the space-joined
-    ids and of the decoded text instead of the values, so that neither leaves the worker.
+
+def encode_texts(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "decoded"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode and decode the text column of docs: (doc_id, n_tokens, *outputs).
+
+    Digests are made where the values are, so that those need not leave the worker.
     A null text counts as empty: no tokens, empty decoded text.  Rows are independent, so
     repeated rows, ties and null ids pass through one to one; other columns are not read.
     There is no shuffle; memory is one Arrow batch and a bounded word cache.
@@ -34,18 +43,17 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         c = coder(path)
         for batch in batches:
-            ids, hashes, decoded, counts = batch.column(0), [], [], []
-            for id_text, text, n in c.encode(batch.column(1).to_pylist()):
-                hashes.append(sha256(id_text) if digests else [int(x) for x in id_text.split()])
-                decoded.append(sha256(text) if digests else text)
+            counts, made = [], [[] for _ in outputs]
+            for ids, text, n in c.encode(batch.column(1).to_pylist()):
                 counts.append(n)
-            kind = pa.string() if digests else pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(hashes, kind), pa.array(decoded, pa.string())], [id_col, "n_tokens", "a", "b"])
+                for name, values in zip(outputs, made, strict=True):
+                    values.append(_MAKE[name](ids, text))
+            kinds = [pa.list_(pa.int32()) if name == "ids" else pa.string() for name in outputs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), *map(pa.array, made, kinds)], [id_col, "n_tokens", *outputs])
 
     narrow = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    out = common.map_arrow(narrow, run, f"`{id_col}` long, n_tokens long, a {'string' if digests else 'array<int>'}, b string")
-    return out.withColumnsRenamed({"a": "ids_sha256", "b": "decoded_sha256"} if digests else {"a": "ids", "b": "decoded"})
+    return common.map_arrow(narrow, run, f"`{id_col}` long, n_tokens long, " + ", ".join(f"{name} {OUTPUTS[name]}" for name in outputs))
 
 
 def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_texts(common.table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), digests=True)
+    return encode_texts(common.table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), ("ids_sha256", "decoded_sha256"))

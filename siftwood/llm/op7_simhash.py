@@ -184,5 +184,125 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, id_col: str =
     return own.join(label, "fp", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Least-hash keys of a document, the radius in which SimHashes of similar texts are looked for, and near ones noted per key.
+KEYS, SIMILAR_RADIUS, NOTED = 8, 20, 4
+_ODD = np.random.default_rng(5).integers(1, 2**63, (KEYS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """Sorted distinct shingle hashes."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text, k)], np.uint64))
+
+
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """KEYS least values of the set, each under its own mixing of the hashes; zeros for an empty set."""
+    if not len(hashes):
+        return np.zeros(KEYS, np.int64)
+    with np.errstate(over="ignore"):
+        mixed = hashes[None, :] * _ODD
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _ODD[::-1]
+    return mixed.min(axis=1).view(np.int64)
+
+
+class NearestTree(BKTree):
+    """A BK-tree that answers with the nearest few within the radius instead of joining groups."""
+
+    def near(self, fp: int, most: int) -> list[int]:
+        found, todo = [], [0] if self.fps else []
+        while todo:
+            i = todo.pop()
+            d = (self.fps[i] ^ fp).bit_count()
+            if d <= self.radius:
+                found.append((d, i))
+                if len(found) >= 64 * most:  # a dense group: these are near enough to choose from
+                    break
+            todo += [c for edge, c in self.children[i].items() if abs(edge - d) <= self.radius]
+        return [i for _, i in sorted(found)[:most]]
+
+    def insert(self, fp: int) -> None:
+        i, new = 0, len(self.fps)
+        self.fps.append(fp)
+        self.children.append({})
+        while new:
+            d = (self.fps[i] ^ fp).bit_count()
+            if d not in self.children[i]:
+                self.children[i][d] = new
+                return
+            i = self.children[i][d]
+
+
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of texts whose sets of k-word shingles have a Jaccard similarity of `similarity` or more: (doc_id, component_id).
+
+    Texts as similar as that share one of KEYS least shingle hashes all but surely (0.2^8),
+    so those are the shards here.  In a shard, each SimHash is looked up in the BK-tree of
+    those before it, within a radius that similar texts all but never exceed, and the nearest
+    few are noted; the noted pairs are then verified on the whole shingle sets.  Equal sets
+    are one node from the start.  Texts without words are equal.  Nulls, repeats and empty
+    tables as in near_duplicates.
+    """
+
+    def sketch(batches):
+        for batch in batches:
+            fps, a, b, keys = [], [], [], []
+            for t in batch.column(1).to_pylist():
+                fps.append(fingerprint(t, k))
+                h = shingle_set(t, k)
+                digest = xxhash.xxh3_128_digest(h.tobytes())
+                a.append(int.from_bytes(digest[:8], "little", signed=True))
+                b.append(int.from_bytes(digest[8:], "little", signed=True))
+                keys.append(least_hashes(h).tolist())
+            fp = pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp, pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "fp", "s1", "s2", "keys"])
+
+    def pair(batches):
+        tree, names, key, a, b = NearestTree(SIMILAR_RADIUS), [], None, [], []
+        for batch in batches:
+            for at, n, fp in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
+                if at != key:
+                    tree, names, key = NearestTree(SIMILAR_RADIUS), [], at
+                fp &= 2**BITS - 1
+                for i in tree.near(fp, NOTED):
+                    a.append(n)
+                    b.append(names[i])
+                tree.insert(fp)
+                names.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a, b = [], []
+
+    def sets(batches):
+        for batch in batches:
+            found = [shingle_set(t, k).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tolist() for f in found], pa.list_(pa.int64()))], ["node", "hashes"])
+
+    def verify(batches):
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = set(x), set(y)
+                both = len(x & y)
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    own = common.materialise(common.map_arrow(texts, sketch, "id long, fp long, s1 long, s2 long, keys array<long>"), "similar")
+    nodes = own.filter("id IS NOT NULL").groupBy("s1", "s2").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = common.materialise(nodes, "similar-nodes")
+    # an id of several texts stands for the first of them alone in the verification
+    shards = nodes.select(F.posexplode("keys").alias("i", "least"), "node", "fp").select(F.xxhash64("i", "least").alias("key"), "node", "fp")
+    several = shards.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    shards = shards.join(several, "key", "left_semi").repartition("key").sortWithinPartitions("key", "node")
+    pairs = common.map_arrow(shards, pair, "a long, b long").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = common.materialise(pairs, "similar-pairs")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    wide = common.map_arrow(texts.join(wanted, "id", "left_semi").select("id", "text"), sets, "node long, hashes array<long>")
+    wide = common.materialise(wide.groupBy("node").agg(F.first("hashes").alias("hashes")), "similar-sets")
+    sides = pairs.join(wide.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(wide.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    links = common.map_arrow(sides.select("a", "b", "x", "y"), verify, "a long, b long")
+    label = nodes.join(connected_components(links), "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))
+    return own.join(label, ["s1", "s2"], "left").select(F.col("id").alias(id_col), "component_id")
+
+
 def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
