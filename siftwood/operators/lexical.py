@@ -18,6 +18,8 @@ from .sizing import broadcast_if_small
 
 # Fixed values of the ranking function, and candidates per ranking.
 K1, B, LEAST_IDF, CANDIDATES = 1.2, 0.75, 1e-6, 50
+#: Scores are whole multiples of 1/POINT; clamped terms score about 1e-6.
+POINT = 1 << 40
 
 
 @dataclass(frozen=True)
@@ -52,8 +54,8 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) of every chunk with a term of the query.
 
     The terms' document frequencies are joined to the query terms first, so the wide join is
-    of postings against one narrow table.  Scores are rounded to 12 digits: the order of a
-    sum must not decide a rank, and clamped terms score about 1e-6.
+    of postings against one narrow table.  Parts are added in fixed point, so that the order
+    of a sum can't decide between chunks that score alike.
     """
     terms = terms_of_queries(queries)
     weighed = terms.join(index.term_df, "term").crossJoin(F.broadcast(index.totals))  # totals is one row
@@ -61,7 +63,7 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     weighed = weighed.withColumn("w", F.col("qtf") * F.when(raw > 0, raw).otherwise(LEAST_IDF))
     hits = index.postings.join(broadcast_if_small(weighed.select("query_id", "term", "w", "avgdl")), "term").join(index.lengths, "chunk_id")
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 12).alias("score"))
+    return hits.groupBy("query_id", "chunk_id").agg((F.sum((part * POINT + 0.5).cast("long")) / F.lit(float(POINT))).alias("score"))
 
 
 def top_ranked(scores: DataFrame, k: int) -> DataFrame:

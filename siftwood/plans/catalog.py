@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_text
+from . import queries_eval, queries_retrieval, queries_text
 
-QUERIES: dict = {**queries_text.QUERIES}
-ORACLES: dict[str, str] = {**queries_text.ORACLES}
+_PARTS = (queries_text, queries_retrieval, queries_eval)
+QUERIES: dict = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
