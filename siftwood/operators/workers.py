@@ -28,7 +28,14 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+#: Bytes of an Arrow batch, where the session has Spark's default: a worker holds a batch and what it makes of it.
+BATCH_BYTES, _SETTING, _DEFAULT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """df.mapInArrow, on executors that have this package."""
-    ship_package(df.sparkSession)
+    """df.mapInArrow, on executors that have this package and in batches of bounded size."""
+    spark = df.sparkSession
+    ship_package(spark)
+    if spark.conf.get(_SETTING) == _DEFAULT:
+        spark.conf.set(_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)

@@ -8,6 +8,7 @@ current generation of each bucket; readers never see half a build.
 from __future__ import annotations
 
 import json
+import shutil
 import time
 from pathlib import Path
 
@@ -89,7 +90,7 @@ class Engine:
         state = self._state()
         form = f"{FORMAT}:{self.model}"
         if state.get("format", form) != form:
-            state = {}
+            state = {"generation": state.get("generation", 0)}
         known = self._table("files", FILES, state)
         changed = manifest.changed(known, current).persist()
         gone = manifest.removed(known, current).persist()
@@ -132,6 +133,7 @@ class Engine:
                     part.rename(target)
                 else:
                     self.spark.createDataFrame([], schema).write.parquet(str(target))
+            shutil.rmtree(staging, ignore_errors=True)
         touched.unpersist()
         return {**state, "generation": generation, "buckets": {**state.get("buckets", {}), **{str(b): generation for b in buckets}}}
 
