@@ -179,7 +179,7 @@ class WordBpe:
     #: Fixed value: the file's own split pattern, with white space spelt out.
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
-    def __init__(self, path: str, cache_words: int = 600_000):
+    def __init__(self, path: str, cache_words: int = 250_000):
         from tokenizers import Tokenizer
 
         self.model = BpeModel(path)

@@ -46,7 +46,7 @@ def features_of(word: str, lexicon: dict[str, tuple[str, ...]]) -> list[str]:
 class Crf:
     """Languages, feature weights (features x languages) and log transitions (from x to)."""
 
-    def __init__(self, langs: list[str], index: dict[str, int], weights: np.ndarray, trans: np.ndarray, lexicon: dict[str, tuple[str, ...]], cache: int = 300_000):
+    def __init__(self, langs: list[str], index: dict[str, int], weights: np.ndarray, trans: np.ndarray, lexicon: dict[str, tuple[str, ...]], cache: int = 200_000):
         self.langs, self.index, self.weights, self.trans, self.lexicon, self.limit = langs, index, weights, trans, lexicon, cache
         self.at: dict[str, int] = {}
         self.held = np.zeros((1024, len(langs)))

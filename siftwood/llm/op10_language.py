@@ -71,24 +71,25 @@ def predict_languages(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_
 
 def with_language(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
     """docs as they are, with lang_pred and score added; no shuffle."""
-    numbered = docs.select(F.lit(0).cast("long").alias("n"), F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
+    at_text = docs.columns.index(text_col)
     payload = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            texts, got = batch.column(1).to_pylist(), []
-            at = 0
+            own, at = batch.column(0), 0
+            texts = own.field(at_text).to_pylist()
             while at < len(texts):
                 end, room = at, BATCH_CHARS
                 while end < len(texts) and room > 0:
                     room -= len(texts[end] or "")
                     end += 1
-                got += payload.value.predict(texts[at:end])
+                got = payload.value.predict(texts[at:end])
+                yield pa.RecordBatch.from_arrays([own.slice(at, end - at), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["own", "lang_pred", "score"])
                 at = end
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["own", "lang_pred", "score"])
 
-    schema = numbered.select("own").schema.simpleString()[len("struct<own:") : -1]
-    return common.map_arrow(numbered, run, f"own {schema}, lang_pred string, score double").select("own.*", "lang_pred", "score")
+    schema = whole.schema.simpleString()[len("struct<own:") : -1]
+    return common.map_arrow(whole, run, f"own {schema}, lang_pred string, score double").select("own.*", "lang_pred", "score")
 
 
 def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +24,17 @@ def coder(path: str) -> WordBpe:
 
 #: What a text can give: its ids, the decoded text, and the SHA-256 of the space-joined ids and of the decoded text.
 OUTPUTS = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
-_MAKE = {
-    "ids": lambda ids, text: [int(x) for x in ids.split()],
-    "decoded": lambda ids, text: text,
-    "ids_sha256": lambda ids, text: sha256(ids),
-    "decoded_sha256": lambda ids, text: sha256(text),
-}
+#: Characters of text whose output is held at once.
+PART_CHARS = 1_000_000
+
+
+def _column(name: str, values: list[str]) -> pa.Array:
+    """An output column of the joined ids or the decoded texts of a part."""
+    if name == "ids":
+        parts = [np.array(v.split(), np.int32) for v in values]
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.empty(0, np.int32)])))
+    return pa.array(values if name == "decoded" else [sha256(v) for v in values], pa.string())
 
 
 def encode_texts(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "decoded"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,13 +49,16 @@ def encode_texts(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids",
     def run(batches):
         c = coder(path)
         for batch in batches:
-            counts, made = [], [[] for _ in outputs]
-            for ids, text, n in c.encode(batch.column(1).to_pylist()):
-                counts.append(n)
-                for name, values in zip(outputs, made, strict=True):
-                    values.append(_MAKE[name](ids, text))
-            kinds = [pa.list_(pa.int32()) if name == "ids" else pa.string() for name in outputs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), *map(pa.array, made, kinds)], [id_col, "n_tokens", *outputs])
+            texts, at = batch.column(1).to_pylist(), 0
+            while at < len(texts):
+                end, room = at, PART_CHARS
+                while end < len(texts) and room > 0:
+                    room -= len(texts[end] or "")
+                    end += 1
+                ids, decoded, counts = zip(*c.encode(texts[at:end]), strict=True)
+                made = [_column(name, ids if name.startswith("ids") else decoded) for name in outputs]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(counts, pa.int64()), *made], [id_col, "n_tokens", *outputs])
+                at = end
 
     narrow = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
     return common.map_arrow(narrow, run, f"`{id_col}` long, n_tokens long, " + ", ".join(f"{name} {OUTPUTS[name]}" for name in outputs))
