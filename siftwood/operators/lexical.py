@@ -34,14 +34,35 @@ def tokens_of(chunks: DataFrame, id_col: str = "chunk_id", body_col: str = "body
     return chunks.select(F.col(id_col).alias("chunk_id"), index_tokens(F.col(body_col)).alias("tokens"))
 
 
-def build_index(chunks: DataFrame, id_col: str = "chunk_id", body_col: str = "body") -> LexicalIndex:
-    """Index tables of chunks (id, body); one pass for the lengths, one shuffle for the postings."""
-    tokens = tokens_of(chunks, id_col, body_col)
-    lengths = tokens.select("chunk_id", F.size("tokens").alias("dl"))
-    postings = tokens.select("chunk_id", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    term_df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return LexicalIndex(postings, lengths, term_df, totals)
+def postings_of(chunks: DataFrame, id_col: str = "chunk_id", body_col: str = "body", keep: tuple[str, ...] = (), only: DataFrame | None = None) -> DataFrame:
+    """(*keep, term, chunk_id, tf) of chunks; with only (term), of those terms alone, left out before the shuffle."""
+    tokens = chunks.select(*keep, F.col(id_col).alias("chunk_id"), F.explode(index_tokens(F.col(body_col))).alias("term"))
+    if only is not None:
+        tokens = tokens.join(broadcast_if_small(only), "term")
+    return tokens.groupBy(*keep, "term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def totals_of(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def build_index(chunks: DataFrame, id_col: str = "chunk_id", body_col: str = "body", queries: DataFrame | None = None) -> LexicalIndex:
+    """Index tables of chunks (id, body); for given queries, with the postings of their terms alone.
+
+    Lengths and totals are of the whole index either way, and so are the frequencies of the
+    terms that are there.
+    """
+    only = None if queries is None else terms_of_queries(queries).select("term").distinct()
+    lengths = tokens_of(chunks, id_col, body_col).select("chunk_id", F.size("tokens").alias("dl"))
+    postings = postings_of(chunks, id_col, body_col, only=only)
+    return LexicalIndex(postings, lengths, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals_of(lengths))
+
+
+def stored_index(postings: DataFrame, lengths: DataFrame, queries: DataFrame) -> LexicalIndex:
+    """The part of a stored index (postings, lengths) that the queries need: only their terms are read and counted."""
+    terms = terms_of_queries(queries).select("term").distinct()
+    own = postings.join(broadcast_if_small(terms), "term").select("term", "chunk_id", "tf")
+    return LexicalIndex(own, lengths, own.groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals_of(lengths))
 
 
 def terms_of_queries(queries: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ current generation of each bucket; readers never see half a build.
 from __future__ import annotations
 
 import json
+import os
 import shutil
 import time
 from pathlib import Path
@@ -16,14 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.functions.embed import EMBEDDERS, Embedder, embedding_text
-from siftwood.functions.text import image_count
+from siftwood.functions.text import image_count, index_tokens
 from siftwood.operators import chunk, code, lexical, manifest, rank, vector
 from siftwood.operators.sizing import broadcast_if_small
 from siftwood.sources import corpus
 
 #: Changes of the stored form or of chunking need a new number; an index of another number is built anew.
 FORMAT, BUCKETS = 1, 64
-CHUNKS = "id long, path string, line_start int, line_end int, kind string, text string, images int, context string, vec array<float>"
+CHUNKS = "id long, path string, line_start int, line_end int, kind string, text string, images int, context string, dl int, vec array<float>"
+POSTINGS = "path string, term string, chunk_id long, tf long"
 FILES = "path string, mtime double, size long"
 
 
@@ -48,7 +50,7 @@ class Engine:
         self.spark, self.root = spark, corpus.find_root(root)
         self.index = Path(index) if index else self.root / corpus.INDEX_DIR
         state = self._state()
-        name = model or self._config().get("model") or state.get("model") or "fast"
+        name = model or os.environ.get("SIFTWOOD_MODEL") or self._config().get("model") or state.get("model") or "fast"
         self.embedder: Embedder = EMBEDDERS[name]
         self.model = name
 
@@ -117,14 +119,16 @@ class Engine:
         generation = state.get("generation", 0) + 1
         old_state = {**state, "buckets": {b: g for b, g in state.get("buckets", {}).items() if int(b) in buckets}}
         chunks = chunk_texts(texts).withColumn("id", F.xxhash64("path", "line_start", "line_end", "text"))
-        chunks = chunks.withColumn("vec", self.embedder.documents(embedding_text(F.col("path"), F.col("context"), F.col("text"))))
+        body = embedding_text(F.col("path"), F.col("context"), F.col("text"))
+        chunks = chunks.withColumn("vec", self.embedder.documents(body)).withColumn("dl", F.size(index_tokens(body)))
+        postings = lexical.postings_of(chunks.withColumn("body", body), "id", keep=("path",))
         columns = [c.split()[0] for c in CHUNKS.split(", ")]
-        new = {"chunks": (CHUNKS, chunks.select(*columns)), "files": (FILES, files.select("path", "mtime", "size"))}
+        new = {"chunks": (CHUNKS, chunks.select(*columns)), "postings": (POSTINGS, postings.select("path", "term", "chunk_id", "tf")), "files": (FILES, files.select("path", "mtime", "size"))}
         for name, (schema, rows) in new.items():
             old = self._table(name, schema, old_state)
             both = manifest.apply_delta(old, touched, rows).withColumn("b", bucket_of("path"))
             staging = self.index / f"staging-{name}-{generation}"
-            both.repartition("b").write.mode("overwrite").partitionBy("b").parquet(str(staging))
+            both.repartition("b").sortWithinPartitions("b", "term" if name == "postings" else "path").write.mode("overwrite").partitionBy("b").parquet(str(staging))
             for b in buckets:
                 target = self.index / name / f"bucket-{b}" / f"gen-{generation}"
                 target.parent.mkdir(parents=True, exist_ok=True)
@@ -153,8 +157,9 @@ class Engine:
         if refresh:
             self.build()
         chunks = self.chunks()
-        body = embedding_text(F.col("path"), F.col("context"), F.col("text"))
-        keyword = lexical.bm25_topk(lexical.build_index(chunks.select("id", body.alias("body")), "id"), queries)
+        postings = self._table("postings", POSTINGS, self._state())
+        stored = lexical.stored_index(postings, chunks.select(F.col("id").alias("chunk_id"), "dl"), queries)
+        keyword = lexical.bm25_topk(stored, queries)
         asked = queries.select("query_id", self.embedder.queries(F.col("query")).alias("vec"))
         near = vector.nearest_batch(chunks, asked)
         fused = rank.fuse(near, keyword, self.embedder.weight)

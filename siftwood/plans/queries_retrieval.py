@@ -26,8 +26,8 @@ def bench_queries(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def doc_index(spark: SparkSession, d: str) -> lexical.LexicalIndex:
-    return lexical.build_index(read(spark, d, "documents").select("doc_id", F.col("text").alias("body")), "doc_id")
+def doc_index(spark: SparkSession, d: str, queries: DataFrame | None = None) -> lexical.LexicalIndex:
+    return lexical.build_index(read(spark, d, "documents").select("doc_id", F.col("text").alias("body")), "doc_id", queries=queries)
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -44,13 +44,13 @@ def bm25_stats(spark, d):
 
 
 def bm25_topk(spark, d):
-    top = lexical.bm25_topk(doc_index(spark, d), one_query(spark), 10)
+    top = lexical.bm25_topk(doc_index(spark, d, one_query(spark)), one_query(spark), 10)
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source", "n_chars")
     return docs.join(F.broadcast(top), "chunk_id").select("rank", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "lang", "source", "n_chars")  # top is ten rows
 
 
 def bm25_batch(spark, d):
-    top = lexical.bm25_topk(doc_index(spark, d), bench_queries(spark, d), 10)
+    top = lexical.bm25_topk(doc_index(spark, d, bench_queries(spark, d)), bench_queries(spark, d), 10)
     return top.select("query_id", "rank", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
@@ -73,7 +73,7 @@ def l2_normalize(spark, d):
 
 
 def _fused(spark, d, queries, asked):
-    keyword = lexical.bm25_topk(doc_index(spark, d), queries)
+    keyword = lexical.bm25_topk(doc_index(spark, d, queries), queries)
     return rank.fuse(vector.nearest_batch(vectors(spark, d), asked), keyword)
 
 
