@@ -196,10 +196,9 @@ def fit(samples: list[tuple[str, str]], epochs: int = 3, batch: int = 64, rate:
         for w in sorted(odds, key=lambda w: (-odds[w], w))[:LEXICON]:
             lexicon[w] = (*lexicon.get(w, ()), lang)
     vocabulary = sorted(every)
-    names = [features_of(w, lexicon) for w in vocabulary]
     seen = Counter()
-    for w, fs in zip(vocabulary, names, strict=True):
-        for f in fs:
+    for w in vocabulary:  # features are named twice rather than held
+        for f in features_of(w, lexicon):
             seen[f] += every[w]
     index = {f: i for i, f in enumerate(sorted(sorted(seen), key=lambda f: -seen[f])[:FEATURES])}
     weights, trans = np.zeros((len(index), len(langs))), np.zeros((len(langs), len(langs)))
@@ -207,11 +206,12 @@ def fit(samples: list[tuple[str, str]], epochs: int = 3, batch: int = 64, rate:
     if len(langs) < 1 or not vocabulary:
         return model if vocabulary else Crf([], {}, np.zeros((0, 0)), np.zeros((0, 0)), {})
     place = {w: i for i, w in enumerate(vocabulary)}
-    rows = [[r for f in fs if (r := index.get(f)) is not None] for fs in names]
+    rows = [np.array(model.rows(w), np.int32) for w in vocabulary]
     row_sizes = np.fromiter(map(len, rows), np.int64, len(rows))
     row_starts = np.r_[0, np.cumsum(row_sizes)[:-1]]
-    flat = np.fromiter((r for rs in rows for r in rs), np.int64, int(row_sizes.sum()))
-    stretches = [(k, np.array([place[w] for w in ws[i : i + STRETCH]])) for k, ws in texts for i in range(0, len(ws), STRETCH)]
+    flat = np.concatenate(rows)
+    del rows, seen
+    stretches = [(k, np.array([place[w] for w in ws[i : i + STRETCH]], np.int32)) for k, ws in texts for i in range(0, len(ws), STRETCH)]
     g_w, g_t = np.full(weights.shape, 1e-4), np.full(trans.shape, 1e-2)
     per = SEQUENCE // STRETCH
     for _ in range(epochs):
