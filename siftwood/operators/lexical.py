@@ -82,7 +82,7 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     weighed = terms.join(index.term_df, "term").crossJoin(F.broadcast(index.totals))  # totals is one row
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = weighed.withColumn("w", F.col("qtf") * F.when(raw > 0, raw).otherwise(LEAST_IDF))
-    hits = index.postings.join(broadcast_if_small(weighed.select("query_id", "term", "w", "avgdl")), "term").join(index.lengths, "chunk_id")
+    hits = index.postings.join(broadcast_if_small(weighed.select("query_id", "term", "w", "avgdl"), known_by=terms), "term").join(index.lengths, "chunk_id")
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "chunk_id").agg((F.sum((part * POINT + 0.5).cast("long")) / F.lit(float(POINT))).alias("score"))
 

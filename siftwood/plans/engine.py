@@ -163,7 +163,8 @@ class Engine:
         asked = queries.select("query_id", self.embedder.queries(F.col("query")).alias("vec"))
         near = vector.nearest_batch(chunks, asked)
         fused = rank.fuse(near, keyword, self.embedder.weight)
-        rows = chunks.join(broadcast_if_small(fused), F.col("id") == F.col("chunk_id")).join(broadcast_if_small(queries), "query_id")
+        fused = broadcast_if_small(fused, known_by=queries, per_row=2 * lexical.CANDIDATES)
+        rows = chunks.join(fused, F.col("id") == F.col("chunk_id")).join(broadcast_if_small(queries), "query_id")
         rows = rows.withColumn("score", rank.reweigh(F.col("score"), F.col("query"), F.col("path"), F.col("text")))
         return rank.shape(rank.best(rows, top_k), detail)
 

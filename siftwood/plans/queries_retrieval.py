@@ -19,7 +19,7 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def one_query(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(0, QUERY)], "query_id long, query string")
+    return spark.sql(f"SELECT 0L AS query_id, '{QUERY}' AS query")
 
 
 def bench_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +89,8 @@ def _hybrid(spark, d, queries, asked, k):
     from siftwood.operators.sizing import broadcast_if_small
 
     docs = read(spark, d, "documents").select("doc_id", F.expr(PATH).alias("path"), "text")
-    rows = docs.join(broadcast_if_small(_fused(spark, d, queries, asked)), F.col("doc_id") == F.col("chunk_id")).join(broadcast_if_small(queries), "query_id")
+    fused = broadcast_if_small(_fused(spark, d, queries, asked), known_by=queries, per_row=2 * lexical.CANDIDATES)
+    rows = docs.join(fused, F.col("doc_id") == F.col("chunk_id")).join(broadcast_if_small(queries), "query_id")
     rows = rows.withColumn("score", rank.reweigh(F.col("score"), F.col("query"), F.col("path"), F.col("text")))
     rows = rows.withColumns({"line_start": F.lit(1), "line_end": F.size(tx.text_lines(F.col("text"))), "kind": F.lit("text"), "images": (F.col("doc_id") % 3).cast("int")})
     return rank.best(rows, k)
