@@ -1,8 +1,9 @@
 """BM25 over an inverted index of chunks.
 
-The index tables are postings (chunk_id, term, tf), lengths (chunk_id, dl), term_df (term, df)
-and one row of totals; statistics always cover the whole index.  A search touches only the
-postings of the query's terms.
+The index tables are postings (chunk_id, term, tf, dl), lengths (chunk_id, dl), term_df (term,
+df) and one row of totals; statistics always cover the whole index.  A search touches only the
+postings of the query's terms; these carry the length of their chunk, so the lengths of all
+chunks are averaged but never joined.
 """
 
 from __future__ import annotations
@@ -35,11 +36,12 @@ def tokens_of(chunks: DataFrame, id_col: str = "chunk_id", body_col: str = "body
 
 
 def postings_of(chunks: DataFrame, id_col: str = "chunk_id", body_col: str = "body", keep: tuple[str, ...] = (), only: DataFrame | None = None) -> DataFrame:
-    """(*keep, term, chunk_id, tf) of chunks; with only (term), of those terms alone, left out before the shuffle."""
-    tokens = chunks.select(*keep, F.col(id_col).alias("chunk_id"), F.explode(index_tokens(F.col(body_col))).alias("term"))
+    """(*keep, term, chunk_id, tf, dl) of chunks; with only (term), of those terms alone, left out before the shuffle."""
+    tokens = chunks.select(*keep, F.col(id_col).alias("chunk_id"), index_tokens(F.col(body_col)).alias("tokens")).withColumn("dl", F.size("tokens"))
+    tokens = tokens.select(*keep, "chunk_id", "dl", F.explode("tokens").alias("term"))
     if only is not None:
         tokens = tokens.join(broadcast_if_small(only), "term")
-    return tokens.groupBy(*keep, "term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    return tokens.groupBy(*keep, "term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def totals_of(lengths: DataFrame) -> DataFrame:
@@ -61,7 +63,7 @@ def build_index(chunks: DataFrame, id_col: str = "chunk_id", body_col: str = "bo
 def stored_index(postings: DataFrame, lengths: DataFrame, queries: DataFrame) -> LexicalIndex:
     """The part of a stored index (postings, lengths) that the queries need: only their terms are read and counted."""
     terms = terms_of_queries(queries).select("term").distinct()
-    own = postings.join(broadcast_if_small(terms), "term").select("term", "chunk_id", "tf")
+    own = postings.join(broadcast_if_small(terms), "term").select("term", "chunk_id", "tf", "dl")
     return LexicalIndex(own, lengths, own.groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals_of(lengths))
 
 
@@ -82,7 +84,7 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     weighed = terms.join(index.term_df, "term").crossJoin(F.broadcast(index.totals))  # totals is one row
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = weighed.withColumn("w", F.col("qtf") * F.when(raw > 0, raw).otherwise(LEAST_IDF))
-    hits = index.postings.join(broadcast_if_small(weighed.select("query_id", "term", "w", "avgdl"), known_by=terms), "term").join(index.lengths, "chunk_id")
+    hits = index.postings.join(broadcast_if_small(weighed.select("query_id", "term", "w", "avgdl"), known_by=terms), "term")
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "chunk_id").agg((F.sum((part * POINT + 0.5).cast("long")) / F.lit(float(POINT))).alias("score"))
 

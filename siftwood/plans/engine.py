@@ -25,7 +25,7 @@ from siftwood.sources import corpus
 #: Changes of the stored form or of chunking need a new number; an index of another number is built anew.
 FORMAT, BUCKETS = 1, 64
 CHUNKS = "id long, path string, line_start int, line_end int, kind string, text string, images int, context string, dl int, vec array<float>"
-POSTINGS = "path string, term string, chunk_id long, tf long"
+POSTINGS = "path string, term string, chunk_id long, tf long, dl int"
 FILES = "path string, mtime double, size long"
 
 
@@ -123,7 +123,7 @@ class Engine:
         chunks = chunks.withColumn("vec", self.embedder.documents(body)).withColumn("dl", F.size(index_tokens(body)))
         postings = lexical.postings_of(chunks.withColumn("body", body), "id", keep=("path",))
         columns = [c.split()[0] for c in CHUNKS.split(", ")]
-        new = {"chunks": (CHUNKS, chunks.select(*columns)), "postings": (POSTINGS, postings.select("path", "term", "chunk_id", "tf")), "files": (FILES, files.select("path", "mtime", "size"))}
+        new = {"chunks": (CHUNKS, chunks.select(*columns)), "postings": (POSTINGS, postings.select("path", "term", "chunk_id", "tf", "dl")), "files": (FILES, files.select("path", "mtime", "size"))}
         for name, (schema, rows) in new.items():
             old = self._table(name, schema, old_state)
             both = manifest.apply_delta(old, touched, rows).withColumn("b", bucket_of("path"))
