@@ -18,6 +18,8 @@ from collections.abc import Iterable
 import numpy as np
 import regex
 
+from .pretoken import is_plain, plain_pattern
+
 #: Texts of these characters alone are normalised and split here; others, whose classes differ
 #: between Unicode releases, go through the library's own normaliser and splitter.
 _COMMON = regex.compile(r"[\u0000-\u052F\u1E00-\u1FFF\u2000-\u2064\u20A0-\u20BF\u2190-\u22FF\u3000-\u3096\u3099-\u30FF\u4E00-\u9FA5\uAC00-\uD7A3]*+")
@@ -176,8 +178,9 @@ class BpeModel:
 class WordBpe:
     """The lower-casing word vocabulary: text to ids and back, as the library does for the same file."""
 
-    #: Fixed value: the file's own split pattern, with white space spelt out.
+    #: The file's own split pattern, with white space spelt out, and the same over plain characters.
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+    PLAIN = plain_pattern(r"'s|'t|'re|'ve|'m|'ll|'d|[<L>]+|[<N>]|[^<S><L><N>]+")
 
     def __init__(self, path: str, cache_words: int = 250_000):
         from tokenizers import Tokenizer
@@ -191,7 +194,11 @@ class WordBpe:
     def words(self, text: str) -> list[str]:
         """Pre-tokens in NFC and lower case; white space only separates, so runs of it need no collapsing."""
         if text.isascii():
-            return self.SPLIT.findall(text.lower())
+            return self.PLAIN.findall(text.lower())
+        if is_plain(text):
+            # composing and lower-casing may leave the plain characters (a mark after a letter, a capital I with a dot)
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            return (self.PLAIN if is_plain(text) else self.SPLIT).findall(text)
         if _COMMON.fullmatch(text):
             return self.SPLIT.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
         back = self.from_byte_char
