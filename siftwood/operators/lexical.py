@@ -38,7 +38,8 @@ def tokens_of(chunks: DataFrame, id_col: str = "chunk_id", body_col: str = "body
 def postings_of(chunks: DataFrame, id_col: str = "chunk_id", body_col: str = "body", keep: tuple[str, ...] = (), only: DataFrame | None = None) -> DataFrame:
     """(*keep, term, chunk_id, tf, dl) of chunks; with only (term), of those terms alone, left out before the shuffle."""
     tokens = chunks.select(*keep, F.col(id_col).alias("chunk_id"), index_tokens(F.col(body_col)).alias("tokens")).withColumn("dl", F.size("tokens"))
-    tokens = tokens.select(*keep, "chunk_id", "dl", F.explode("tokens").alias("term"))
+    # the outer form: the filter that explode infers would tokenise every text again
+    tokens = tokens.select(*keep, "chunk_id", "dl", F.explode_outer("tokens").alias("term")).filter("term IS NOT NULL")
     if only is not None:
         tokens = tokens.join(broadcast_if_small(only), "term")
     return tokens.groupBy(*keep, "term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwood.functions import text as tx
 from siftwood.operators import lexical, manifest, rank, vector
+from siftwood.operators.sizing import broadcast_if_small, spread
 from siftwood.sources import sinks
 
 from .queries_text import PATH, sql_terms, sql_tokens
@@ -27,7 +28,8 @@ def bench_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_index(spark: SparkSession, d: str, queries: DataFrame | None = None) -> lexical.LexicalIndex:
-    return lexical.build_index(read(spark, d, "documents").select("doc_id", F.col("text").alias("body")), "doc_id", queries=queries)
+    docs = spread(read(spark, d, "documents").select("doc_id", F.col("text").alias("body")))
+    return lexical.build_index(docs, "doc_id", queries=queries)
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -86,8 +88,6 @@ def rrf_fusion(spark, d):
 
 
 def _hybrid(spark, d, queries, asked, k):
-    from siftwood.operators.sizing import broadcast_if_small
-
     docs = read(spark, d, "documents").select("doc_id", F.expr(PATH).alias("path"), "text")
     fused = broadcast_if_small(_fused(spark, d, queries, asked), known_by=queries, per_row=2 * lexical.CANDIDATES)
     rows = docs.join(fused, F.col("doc_id") == F.col("chunk_id")).join(broadcast_if_small(queries), "query_id")

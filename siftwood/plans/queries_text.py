@@ -9,6 +9,7 @@ from siftwood.functions import outline as outlines
 from siftwood.functions import text as tx
 from siftwood.functions.embed import HashedEmbedder
 from siftwood.operators import chunk, code, rank
+from siftwood.operators.sizing import spread
 from siftwood.sources import corpus
 
 #: A path for each document, of every class the path predicates know (the tables hold none).
@@ -24,7 +25,8 @@ _W = r"[\p{L}\p{N}_]+"
 
 
 def docs(spark: SparkSession, d: str, *cols: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select(*(cols or ("doc_id", "text")))
+    table = spark.read.parquet(f"{d}/documents.parquet").select(*(cols or ("doc_id", "text")))
+    return table if cols else spread(table)
 
 
 def values(spark: SparkSession, rows: str, cols: str) -> DataFrame:
