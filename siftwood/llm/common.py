@@ -7,14 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftwood.operators.sizing import spread
 from siftwood.operators.workers import map_arrow, ship_package
 
 __all__ = ["map_arrow", "materialise", "scratch_path", "shared_dir", "ship_package", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; read by Spark, so any store Spark can reach will do."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; read by Spark, so any store Spark can reach will do.  A small one is dealt out to all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
