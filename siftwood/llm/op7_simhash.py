@@ -16,7 +16,7 @@ near copies costs about a path each.
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -184,9 +184,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, id_col: str =
     return own.join(label, "fp", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Least-hash keys of a document, the radius in which SimHashes of similar texts are looked for, and near ones noted per key.
-KEYS, SIMILAR_RADIUS, NOTED = 8, 20, 4
-_ODD = np.random.default_rng(5).integers(1, 2**63, (KEYS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Documents whose shingles tell which are frequent, how many frequent ones are known at most, and how the pivots of a shard grow by round.
+#: These set the cost alone: any order of the shingles finds every link.
+SAMPLE, FREQUENT, GROWTH = 10_000, 200_000, 4
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -194,114 +194,171 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text, k)], np.uint64))
 
 
-def least_hashes(hashes: np.ndarray) -> np.ndarray:
-    """KEYS least values of the set, each under its own mixing of the hashes; zeros for an empty set."""
-    if not len(hashes):
-        return np.zeros(KEYS, np.int64)
-    with np.errstate(over="ignore"):
-        mixed = hashes[None, :] * _ODD
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * _ODD[::-1]
-    return mixed.min(axis=1).view(np.int64)
+def set_digest(hashes: np.ndarray) -> int:
+    """The name of a shingle set, as a signed long."""
+    return int.from_bytes(xxhash.xxh3_128_digest(hashes.tobytes())[:8], "little", signed=True)
 
 
-class NearestTree(BKTree):
-    """A BK-tree that answers with the nearest few within the radius instead of joining groups."""
+def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first of the set's hashes, rare ones first, of which sets of that similarity share one at least.
 
-    def near(self, fp: int, most: int) -> list[int]:
-        found, todo = [], [0] if self.fps else []
-        while todo:
-            i = todo.pop()
-            d = (self.fps[i] ^ fp).bit_count()
-            if d <= self.radius:
-                found.append((d, i))
-                if len(found) >= 64 * most:  # a dense group: these are near enough to choose from
-                    break
-            todo += [c for edge, c in self.children[i].items() if abs(edge - d) <= self.radius]
-        return [i for _, i in sorted(found)[:most]]
-
-    def insert(self, fp: int) -> None:
-        i, new = 0, len(self.fps)
-        self.fps.append(fp)
-        self.children.append({})
-        while new:
-            d = (self.fps[i] ^ fp).bit_count()
-            if d not in self.children[i]:
-                self.children[i][d] = new
-                return
-            i = self.children[i][d]
+    Similar sets share `similarity` of the larger one's elements, so the first element they
+    share, in an order common to all sets, has only so many before it in either.
+    """
+    n = len(hashes)
+    if not n:
+        return hashes
+    weight = np.zeros(n, np.uint64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        weight = np.where(frequent[at] == hashes, counts[at], 0).astype(np.uint64)
+    order = np.lexsort((hashes, weight))
+    return hashes[order[: n - ceil(similarity * n - 1e-9) + 1]]
+
+
+def pivot_pairs(batches, pivots: int, possible, schema):
+    """Rows (key, node, size, at), sorted by key: each with those of the first `pivots` rows of its key that stand before it.
+
+    Yields what `possible` leaves of (row columns, pivot columns, place of the row in its key).
+    Only the pivots of the last key are held from one batch to the next.
+    """
+    held, place = None, 0
+    for batch in batches:
+        cols = [batch.column(j).to_numpy(zero_copy_only=False) for j in range(batch.num_columns)]
+        if not len(cols[0]):
+            continue
+        old = offset = 0
+        if held is not None and held[0][0] == cols[0][0]:
+            old, offset = len(held[0]), place
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+        key = cols[0]
+        first = np.r_[True, key[1:] != key[:-1]]
+        start = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+        within = np.arange(len(key)) - start
+        real = within + np.where(start == 0, offset - old, 0) if old else within  # the place in the key: rows between pivots and batch were let go
+        for s in range(min(pivots, int(within.max()))):
+            rows = np.nonzero((within > s) & (np.arange(len(key)) >= old))[0]
+            got = possible([c[rows] for c in cols], [c[start[rows] + s] for c in cols], real[rows])
+            if got is not None and len(got[0]):
+                yield pa.RecordBatch.from_arrays([g if isinstance(g, pa.Array) else pa.array(g) for g in got], schema)
+        last = start[-1]
+        held = [c[last : last + pivots] for c in cols]
+        place = int(real[-1]) + 1
 
 
 def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of texts whose sets of k-word shingles have a Jaccard similarity of `similarity` or more: (doc_id, component_id).
 
-    Texts as similar as that share one of KEYS least shingle hashes all but surely (0.2^8),
-    so those are the shards here.  In a shard, each SimHash is looked up in the BK-tree of
-    those before it, within a radius that similar texts all but never exceed, and the nearest
-    few are noted; the noted pairs are then verified on the whole shingle sets.  Equal sets
-    are one node from the start.  Texts without words are equal.  Nulls, repeats and empty
-    tables as in near_duplicates.
+    Exact up to equal 64-bit hashes.  Sets as similar as that share a shingle in their
+    prefixes (see there), so those are the shards here.  Frequent shingles, as a bounded
+    sample tells them, come last in the order, so a passage that many texts share makes no
+    shard unless it is nearly all of a text.  In a shard the sets are compared with its first
+    one, on the whole sets; what that joins needs no comparing with each other.  Shards with
+    several groups left are searched on from their next sets, GROWTH times as many a round,
+    until every two sets of a shard are in one group, compared, or too far apart by their
+    sizes and the places of the shared shingle.  Equal sets are one node from the start.
+    Texts without words are equal.  Nulls, repeats and empty tables as in near_duplicates.
     """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def hashes_of(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                found = [shingle_set(t, k).view(np.int64) for t in batch.column(1).slice(at, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["hash"])
+
+    rows = texts.filter("id IS NOT NULL")
+    share = SAMPLE / max(1, rows.count())
+    drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit("similar sample")), F.lit(1 << 30)) < share * (1 << 30))
+    seen = common.map_arrow(drawn, hashes_of, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    seen = seen.orderBy(F.desc("n"), "hash").limit(FREQUENT).toArrow()
+    names, counts = seen["hash"].to_numpy().view(np.uint64), seen["n"].to_numpy()
+    order = np.argsort(names)
+    frequent = spark.sparkContext.broadcast((names[order], counts[order]))
 
     def sketch(batches):
         for batch in batches:
-            fps, a, b, keys = [], [], [], []
+            sets, sizes, keys = [], [], []
             for t in batch.column(1).to_pylist():
-                fps.append(fingerprint(t, k))
                 h = shingle_set(t, k)
-                digest = xxhash.xxh3_128_digest(h.tobytes())
-                a.append(int.from_bytes(digest[:8], "little", signed=True))
-                b.append(int.from_bytes(digest[8:], "little", signed=True))
-                keys.append(least_hashes(h).tolist())
-            fp = pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp, pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "fp", "s1", "s2", "keys"])
-
-    def pair(batches):
-        tree, names, key, a, b = NearestTree(SIMILAR_RADIUS), [], None, [], []
-        for batch in batches:
-            for at, n, fp in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
-                if at != key:
-                    tree, names, key = NearestTree(SIMILAR_RADIUS), [], at
-                fp &= 2**BITS - 1
-                for i in tree.near(fp, NOTED):
-                    a.append(n)
-                    b.append(names[i])
-                tree.insert(fp)
-                names.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            a, b = [], []
+                sets.append(set_digest(h))
+                sizes.append(len(h))
+                keys.append(prefix(h, similarity, *frequent.value).view(np.int64))
+            ends = np.cumsum([0, *map(len, keys)])
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.int64()), pa.array(sizes, pa.int32()), keys], ["id", "node", "size", "keys"])
+
+    def enough(x, y):
+        """Whether sets of these sizes, with the shared shingle at these places, can be similar; columns key, node, size, at."""
+        nx, ny, i, j = (c.astype(np.int64) for c in (x[2], y[2], x[3], y[3]))
+        most = np.minimum(i, j) + 1 + np.minimum(nx - i - 1, ny - j - 1)
+        return most >= similarity * (nx + ny - most) - 1e-9
+
+    def first_round(batches):
+        """All rows but the first of each key, with that one's node, or null if they can't be similar."""
+
+        def possible(x, y, place):
+            return [*x[:4], place, pa.array(y[1], mask=~enough(x, y))]
+
+        yield from pivot_pairs(batches, 1, possible, ["key", "node", "size", "at", "place", "pivot"])
+
+    def further_round(pivots):
+        def possible(x, y, place):
+            keep = enough(x, y) & (x[4] != y[4])
+            return [np.maximum(x[1], y[1])[keep], np.minimum(x[1], y[1])[keep]]
+
+        return lambda batches: pivot_pairs(batches, pivots, possible, ["a", "b"])
 
     def sets(batches):
         for batch in batches:
-            found = [shingle_set(t, k).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tolist() for f in found], pa.list_(pa.int64()))], ["node", "hashes"])
+            found = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([set_digest(f) for f in found], pa.int64()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], ["node", "hashes"])
 
     def verify(batches):
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = set(x), set(y)
-                both = len(x & y)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both >= similarity * (len(x) + len(y) - both))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    own = common.materialise(common.map_arrow(texts, sketch, "id long, fp long, s1 long, s2 long, keys array<long>"), "similar")
-    nodes = own.filter("id IS NOT NULL").groupBy("s1", "s2").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    nodes = common.materialise(nodes, "similar-nodes")
-    # an id of several texts stands for the first of them alone in the verification
-    shards = nodes.select(F.posexplode("keys").alias("i", "least"), "node", "fp").select(F.xxhash64("i", "least").alias("key"), "node", "fp")
-    several = shards.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    shards = shards.join(several, "key", "left_semi").repartition("key").sortWithinPartitions("key", "node")
-    pairs = common.map_arrow(shards, pair, "a long, b long").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = common.materialise(pairs, "similar-pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    wide = common.map_arrow(texts.join(wanted, "id", "left_semi").select("id", "text"), sets, "node long, hashes array<long>")
-    wide = common.materialise(wide.groupBy("node").agg(F.first("hashes").alias("hashes")), "similar-sets")
-    sides = pairs.join(wide.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(wide.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    links = common.map_arrow(sides.select("a", "b", "x", "y"), verify, "a long, b long")
-    label = nodes.join(connected_components(links), "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))
-    return own.join(label, ["s1", "s2"], "left").select(F.col("id").alias(id_col), "component_id")
+    own = common.materialise(common.map_arrow(texts, sketch, "id long, node long, size int, keys array<long>"), "similar")
+    known = own.filter("id IS NOT NULL")
+    nodes = common.materialise(known.groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys")), "similar-nodes")
+    # one id with several texts joins their groups
+    several = known.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b <> last").select("id", "b")
+    links = common.materialise(known.join(several, "id").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "similar-links")
+
+    def verified(pairs):
+        pairs = common.materialise(pairs.distinct(), "similar-pairs")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "id"), "node").select("id").distinct()
+        wide = common.map_arrow(texts.join(wanted, "id", "left_semi").select("id", "text"), sets, "node long, hashes array<long>")
+        wide = common.materialise(wide.dropDuplicates(["node"]), "similar-sets")
+        sides = pairs.join(wide.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(wide.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+        return common.materialise(common.map_arrow(sides.select("a", "b", "x", "y"), verify, "a long, b long"), "similar-links")
+
+    shards = nodes.select("node", "size", F.posexplode("keys").alias("at", "key")).select("key", "node", "size", "at")
+    shards = shards.repartition("key").sortWithinPartitions("key", "node")
+    rest = common.materialise(common.map_arrow(shards, first_round, "key long, node long, size int, at int, place long, pivot long"), "similar-shards")
+    links = links.union(verified(rest.filter("pivot IS NOT NULL").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))))
+    done, pivots = 1, GROWTH
+    while True:
+        found = connected_components(links)
+        live = rest.filter(F.col("place") >= done).join(found, "node", "left").select("key", "node", "size", "at", F.coalesce("component", "node").alias("group"), "place")
+        open_keys = live.groupBy("key").agg(F.min("group").alias("g"), F.max("group").alias("h")).filter("g <> h").select("key")
+        live = common.materialise(live.join(open_keys, "key", "left_semi"), "similar-open")
+        if not live.limit(1).count():
+            break
+        live = live.repartition("key").sortWithinPartitions("key", "place").select("key", "node", "size", "at", "group")
+        links = links.union(verified(common.map_arrow(live, further_round(pivots), "a long, b long")))
+        done, pivots = done + pivots, pivots * GROWTH
+    label = nodes.select("node", "id").join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("group"))
+    least = label.groupBy("group").agg(F.min("id").alias("component_id"))
+    label = label.join(least, "group").select("node", "component_id")
+    return own.select("id", "node").join(label, "node", "left").select(F.col("id").alias(id_col), "component_id")
 
 
 def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:

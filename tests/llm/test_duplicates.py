@@ -97,6 +97,28 @@ def test_similar_groups_match_brute_force(spark, sf_dir):
     assert len(set(want.values())) < len(want) - 20
 
 
+def test_similar_pair_among_many_that_share_a_passage(spark, monkeypatch):
+    """Texts around one long passage are no copies of each other, and hide no copy among them, whichever shingles count as frequent."""
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(300)]
+    rows = []
+    for doc in range(200):
+        own = [f"d{doc}w{i}" for i in range(40)]
+        rows.append((doc, " ".join(passage + own)))
+        if doc % 10 == 0:
+            copy = passage + own
+            for g in rng.choice(49, 7, replace=False) * 6:
+                copy[g] = f"c{doc}x{g}"
+            rows.append((doc + 1000, " ".join(copy)))
+    sets = {i: set(op7_simhash.shingles(t, 5)) for i, t in rows}
+    want = grouped(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert sum(i != c for i, c in want.items()) == 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for frequent in (200_000, 0):
+        monkeypatch.setattr(op7_simhash, "FREQUENT", frequent, raising=False)
+        assert {r.doc_id: r.component_id for r in op7_simhash.similar_groups(docs).collect()} == want
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(1000, 999), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in connected_components(links).collect()}
