@@ -119,6 +119,16 @@ def test_similar_pair_among_many_that_share_a_passage(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in op7_simhash.similar_groups(docs).collect()} == want
 
 
+def test_similar_sets_of_other_repeat_counts(spark):
+    """Only distinct shingles count: a passage repeated in a line leaves the set as it is, but for the seams."""
+    words = [f"w{i}" for i in range(120)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:10] * 80 + words)), (3, " ".join(words[60:70] * 200 + words)), (4, " ".join(words + ["w3", "w7"] * 300))]
+    sets = {i: set(op7_simhash.shingles(t, 5)) for i, t in rows}
+    want = grouped(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert set(want.values()) == {1}
+    assert {r.doc_id: r.component_id for r in op7_simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(1000, 999), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in connected_components(links).collect()}
