@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Lines of fewer words than MIN_WORDS stay; from EDIT_WORDS on near-equal lines count, below only equal ones.
+#: Lines of fewer words than MIN_WORDS stay, unless the caller takes them in; from EDIT_WORDS on near-equal lines count, below only equal ones.
 MIN_WORDS, EDIT_WORDS = 3, 8
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 _W, _S = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
+#: Letters of scripts that put no blanks between words: Thai, Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF"
+UNITS = re.compile(f"[{_UNSPACED}]|[^\\x20\\x09-\\x0D{_UNSPACED}]+").findall
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -35,19 +38,20 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def line_rows(text: str | None) -> list[tuple[int, int, int, list[int]]]:
-    """(line number, 128-bit hash as two longs, half keys) of each line of MIN_WORDS or more words.
+def line_rows(text: str | None, min_words: int = MIN_WORDS, units=WORDS) -> list[tuple[int, int, int, list[int]]]:
+    """(line number, 128-bit hash as two longs, half keys) of each line of min_words or more words.
 
-    A line of n words has half keys for itself and for the lines of n - 1 words it may have
+    Edits are of units, which are words or what the caller puts for them.  A line of n has half keys for itself and for the lines of n - 1 words it may have
     grown from: both name the shorter length, and which half.
     """
     out = []
     for i, line in enumerate((text or "").split("\n")):
         words = WORDS(line)
-        n = len(words)
-        if n < MIN_WORDS:
+        if len(words) < min_words:
             continue
         whole = xxhash.xxh3_128_intdigest(" ".join(words))
+        words = words if units is WORDS else units(line)
+        n = len(words)
         keys = []
         if n >= EDIT_WORDS:
             for m in (n, n - 1):
@@ -96,14 +100,14 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
-def _distinct_lines(docs: DataFrame) -> DataFrame:
+def _distinct_lines(docs: DataFrame, min_words: int, units) -> DataFrame:
     """(h1, h2, doc, line, keys): each distinct line with its earliest place."""
 
     def run(batches):
         for batch in batches:
             doc, line, h1, h2, keys = [], [], [], [], []
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i, a, b, ks in line_rows(text):
+                for i, a, b, ks in line_rows(text, min_words, units):
                     doc.append(d)
                     line.append(i)
                     h1.append(a)
@@ -123,7 +127,7 @@ def _with_partners(lines: DataFrame) -> DataFrame:
     return halves.join(shared, "key", "left_semi").select("doc", "line").distinct()
 
 
-def _near_equal(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def _near_equal(docs: DataFrame, lines: DataFrame, units) -> DataFrame:
     """(doc, line) of distinct lines with an earlier line at most one edit away."""
 
     def cut(batches):
@@ -135,7 +139,7 @@ def _near_equal(docs: DataFrame, lines: DataFrame) -> DataFrame:
                     if i < len(all_lines):
                         doc.append(d)
                         line.append(i)
-                        text.append(" ".join(WORDS(all_lines[i])))
+                        text.append(" ".join(units(all_lines[i])))
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(text, pa.string())], ["doc", "line", "words"])
 
     def emit(batches):
@@ -183,25 +187,28 @@ def _slices(batch, chars: int = 200_000):
         at = end
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, every: bool = False) -> DataFrame:
     """Texts without lines that repeat an earlier line: the columns id, text, *keep, n_lines, n_removed.
 
     Earlier means a smaller (doc_id, line number).  A line goes if an earlier one has the same
     words, or, from EDIT_WORDS words on, words at most one edit away; what becomes of the
-    earlier line does not matter.  Lines of under MIN_WORDS words stay.  White space counts
+    earlier line does not matter.  Lines of under MIN_WORDS words stay,
+    unless `every` line with a word is to take part; then a letter of a script without blanks
+    is also a word of its own in the edit bound.  White space counts
     only between words.  A null text stays null (0 lines); rows with a null id stay as they
     are; rows that share an id stand at the same place, so repeats of a whole row are treated
     alike.  An empty table gives an empty result.
     """
     keep = keep or []
+    min_words, units = (1, UNITS) if every else (MIN_WORDS, WORDS)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
     texts = docs.select("id", "text")
-    lines = common.materialise(_distinct_lines(texts), "lines")
-    gone = common.materialise(_near_equal(texts, lines), "lines-near")
+    lines = common.materialise(_distinct_lines(texts, min_words, units), "lines")
+    gone = common.materialise(_near_equal(texts, lines, units), "lines-near")
     kept = lines.select("doc", "line").join(gone, ["doc", "line"], "left_anti").groupBy("doc").agg(F.collect_list("line").alias("kept"))
     joined = docs.join(kept, docs["id"] == kept["doc"], "left")
     split = F.split("text", "\n", -1)
-    long_enough = f"{_W}+{_S}+" * (MIN_WORDS - 1) + _W
+    long_enough = f"{_W}+{_S}+" * (min_words - 1) + _W
     stays = F.filter("all", lambda x, i: ~x.rlike(long_enough) | F.array_contains(F.coalesce("kept", F.array().cast("array<int>")), i))
     out = joined.withColumn("all", split).withColumn("rest", F.when(F.col("id").isNull(), F.col("all")).otherwise(stays))
     return out.select(

@@ -59,3 +59,12 @@ def test_odd_documents(spark, sf_dir, tmp_path):
         stage(spark, empty, sf_dir).write.parquet(str(tmp_path / f"e{n}"))
         empty = spark.read.parquet(str(tmp_path / f"e{n}"))
     assert empty.count() == 0
+
+
+def test_short_and_unspaced_lines_go(spark):
+    line = "日本語の文には空白がありません"
+    rows = [(1, f"Les.\n\nLes.\n{line}"), (2, f"Les.\nIt is\n{line}\nown words here"), (3, f"it is\nIt  is\n{line[:-1]}ぬ\n東京\n東京"), (None, "Les.")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], COLUMNS)
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    want = {1: f"Les.\n\n{line}", 2: "It is\nown words here", 3: "it is\n東京", None: "Les."}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
