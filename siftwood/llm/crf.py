@@ -50,6 +50,7 @@ class Crf:
         self.langs, self.index, self.weights, self.trans, self.lexicon, self.limit = langs, index, weights, trans, lexicon, cache
         self.at: dict[str, int] = {}
         self.held = np.zeros((1024, len(langs)))
+        self.known = np.zeros(1024)  # of each word's features, the share that fitting saw
 
     def __reduce__(self):
         return Crf, (self.langs, self.index, self.weights, self.trans, self.lexicon, self.limit)
@@ -67,15 +68,22 @@ class Crf:
         first, total = len(self.at), len(self.at) + len(new)
         if total > len(self.held):
             self.held = np.concatenate([self.held[:first], np.zeros((2 * total - first, len(self.langs)))])
-        self.held[first:total] = emissions([self.rows(w) for w in new], self.weights)
+            self.known = np.concatenate([self.known[:first], np.zeros(2 * total - first)])
+        rows = [self.rows(w) for w in new]
+        self.held[first:total] = emissions(rows, self.weights)
+        self.known[first:total] = [len(r) / len(features_of(w, self.lexicon)) for r, w in zip(rows, new, strict=True)]
         self.at.update(zip(new, range(first, total), strict=True))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, int, float]]:
         """Per text: language, mean marginal of its words, number of words, share of words labelled otherwise."""
+        return [x[:4] for x in self.judge(texts)]
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, int, float, float]]:
+        """As predict, and the mean share of its words' features that fitting saw."""
         words = [words_of(t) for t in texts]
-        none = ("und", 0.0, 0, 0.0)
+        none = ("und", 0.0, 0, 0.0, 0.0)
         if not self.langs:
-            return [("und", 0.0, len(ws), 0.0) for ws in words]
+            return [("und", 0.0, len(ws), 0.0, 0.0) for ws in words]
         self.learn(w for ws in words for w in ws)
         at = self.at
         ids = np.fromiter((at[w] for ws in words for w in ws), np.int64, sum(map(len, words)))
@@ -85,9 +93,10 @@ class Crf:
         if len(some):
             sums, votes = marginals(self.held[ids], self.trans, sizes[some])
             best = sums.argmax(axis=1)
-            for i, b, s, v in zip(some.tolist(), best.tolist(), sums, votes, strict=True):
+            known = np.add.reduceat(self.known[ids], np.cumsum(np.r_[0, sizes[some][:-1]]))
+            for i, b, s, v, f in zip(some.tolist(), best.tolist(), sums, votes, known.tolist(), strict=True):
                 n = int(sizes[i])
-                out[i] = (self.langs[b], min(1.0, float(s[b]) / n), n, 1.0 - float(v[b]) / n)
+                out[i] = (self.langs[b], min(1.0, float(s[b]) / n), n, 1.0 - float(v[b]) / n, f / n)
         return out
 
     def label_words(self, text: str | None) -> list[tuple[str, str, float]]:

@@ -69,8 +69,12 @@ def predict_languages(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_
     return common.map_arrow(narrow, run, f"`{id_col}` long, lang_pred string, score double, n_words long, mixed double")
 
 
-def with_language(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
-    """docs as they are, with lang_pred and score added; no shuffle."""
+def with_language(docs: DataFrame, model: Crf, text_col: str = "text", measures: bool = False) -> DataFrame:
+    """docs as they are, with lang_pred and score added, and with measures also mixed and known; no shuffle.
+
+    known is the mean, over the words, of the share of a word's features that fitting saw.
+    """
+    added = {"lang_pred": "string", "score": "double"} | ({"mixed": "double", "known": "double"} if measures else {})
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
     at_text = docs.columns.index(text_col)
     payload = docs.sparkSession.sparkContext.broadcast(model)
@@ -84,12 +88,13 @@ def with_language(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFr
                 while end < len(texts) and room > 0:
                     room -= len(texts[end] or "")
                     end += 1
-                got = payload.value.predict(texts[at:end])
-                yield pa.RecordBatch.from_arrays([own.slice(at, end - at), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["own", "lang_pred", "score"])
+                lang, score, _, mixed, known = zip(*payload.value.judge(texts[at:end]), strict=True)
+                cols = [pa.array(lang, pa.string()), *[pa.array(x, pa.float64()) for x in (score, mixed, known)]][: len(added)]
+                yield pa.RecordBatch.from_arrays([own.slice(at, end - at), *cols], ["own", *added])
                 at = end
 
     schema = whole.schema.simpleString()[len("struct<own:") : -1]
-    return common.map_arrow(whole, run, f"own {schema}, lang_pred string, score double").select("own.*", "lang_pred", "score")
+    return common.map_arrow(whole, run, f"own {schema}, " + ", ".join(f"{c} {kind}" for c, kind in added.items())).select("own.*", *added)
 
 
 def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,13 @@ def test_short_and_unspaced_lines_go(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, "").collect()}
     want = {1: f"Les.\n\n{line}", 2: "It is\nown words here", 3: "it is\n東京", None: "Les."}
     assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
+def test_mixed_and_foreign_documents_go(spark):
+    en = "the cat sat on the mat and looked at the dog over there while it was raining in the old town".split()
+    de = "der Hund und die Katze sind im Haus und sehen aus dem Fenster auf den Regen in der alten Stadt".split()
+    rows = [(i, " ".join(en[i % 5 :] + en[: i % 5]), "en") for i in range(20)] + [(i, " ".join(de[i % 5 :] + de[: i % 5]), "de") for i in range(20, 40)]
+    rows += [(100, " ".join(en + de), None), (101, "xqzvk wjqpf zzkq vvbx qqwz jkxv pqzm", None), (102, "съешь же ещё этих мягких французских булок", None), (103, " ".join(en * 4 + de), None), (104, " ".join(de), None)]
+    docs = spark.createDataFrame([(i, t, lang, "a", len(t)) for i, t, lang in rows], COLUMNS)
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert got == {**{i: lang for i, _, lang in rows if lang}, 103: "en", 104: "de"}
