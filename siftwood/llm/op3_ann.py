@@ -110,17 +110,29 @@ def exact_cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def best_of(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, cosine) of each query's k best among v, ties to the smaller id; not the query's own id."""
+    """(query, vector, cosine) of each query's k best ids among v, ties to the smaller id; not the query's own id.
+
+    Rows that repeat an id count once, with the best of their scores.
+    """
     out = ([], [], [])
+    order = np.argsort(v_ids, kind="stable")
+    v_ids, v = v_ids[order], v[order]
+    starts = np.flatnonzero(np.r_[True, v_ids[1:] != v_ids[:-1]]) if len(v_ids) else np.empty(0, np.int64)
+    most = min(k, len(starts))
     qn, vn = q / np.linalg.norm(q, axis=1, keepdims=True), v / np.linalg.norm(v, axis=1, keepdims=True)
     for at in range(0, len(q), 128):
         rough = qn[at : at + 128] @ vn.T
         rough[q_ids[at : at + 128, None] == v_ids[None, :]] = -9
-        kth = np.partition(rough, -min(k, len(v)), axis=1)[:, -min(k, len(v))]
+        by_id = rough if len(starts) == len(v) else np.maximum.reduceat(rough, starts, axis=1)
+        kth = np.partition(by_id, -most, axis=1)[:, -most]
         i, j = np.nonzero((rough >= kth[:, None] - 1e-9) & (rough > -5))
         score = exact_cosines(q[at + i], v[j])
         order = np.lexsort((v_ids[j], -score, i))
         i, j, score = i[order], j[order], score[order]
+        if len(starts) < len(v):
+            _, once = np.unique(i * len(starts) + np.searchsorted(starts, j, side="right") - 1, return_index=True)
+            once.sort()
+            i, j, score = i[once], j[once], score[once]
         place = np.arange(len(i)) - np.searchsorted(i, i)
         keep = place < k
         for o, x in zip(out, (q_ids[at + i[keep]], v_ids[j[keep]], score[keep]), strict=True):
@@ -138,7 +150,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     Both frames have (id, vector).  A vector that is null, zero, or has a null, NaN or infinite
     component takes no part, nor does one whose length is not the most frequent; so queries
     may have no rows.  Ties go to the smaller id.  Rows that repeat an id count as one vector
-    with the best of their scores.  Null ids take no part.  Few vectors: all are probed, and
+    with the best of their scores, and equal rows are one from the start.  Null ids take no part.  Few vectors: all are probed, and
     a query gets all candidates if there are fewer than k.
     """
     spark = vectors.sparkSession
@@ -146,9 +158,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     def usable(df: DataFrame) -> DataFrame:
         df = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
         fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e150)) & F.exists("v", lambda x: F.abs(x) > 1e-150)
-        return df.filter(F.col("id").isNotNull() & F.col("v").isNotNull()).filter(fine)
+        return df.filter(F.col("id").isNotNull() & F.col("v").isNotNull()).filter(fine).select("id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")).dropDuplicates(["id", "v"])
 
-    vectors, queries = usable(vectors), usable(queries)
+    vectors, queries = common.materialise(usable(vectors), "ann-vectors"), usable(queries)
     shape = vectors.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     schema = "query_id long, vec_id long, score double"
     if shape is None:
@@ -192,7 +204,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     chunks = F.broadcast(common.materialise(chunks, "ann-chunks"))  # a row per list, at most CENTROIDS
 
     def spread(df: DataFrame, own: str, other: str, salt: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64("id", F.lit(salt)), F.col(own)).alias("mine")
+        mine = F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.col(own)).alias("mine")
         return df.join(chunks, "list").select("list", "id", "v", mine, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("theirs"))
 
     left = spread(probes, "qc", "vc", "q").select("list", F.col("theirs").alias("vi"), F.col("mine").alias("qi"), "id", "v")

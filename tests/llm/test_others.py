@@ -118,6 +118,23 @@ def test_ann_recall_and_scores(spark, tmp_path, monkeypatch):
     assert [i for _, i, _ in got[600]] == [500, 501, 502, 503, 504]  # ties go to the smaller id
 
 
+def test_ann_repeated_ids_take_one_place(spark):
+    """Neither copies of a near row nor several vectors of one id push out other neighbours."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(40)]
+    near = np.array(rows[0][1])
+    rows += [(77, (near + 0.01).tolist())] * 30 + [(78, (near + 0.02 * rng.normal(size=8)).tolist()) for _ in range(30)]
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    best = {}
+    for i, v in rows[1:]:
+        best[i] = max(best.get(i, -2.0), float(unit(near) @ unit(v)))
+    want = sorted(best, key=lambda i: -best[i])[:5]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in op3_ann.nearest(df, df.filter("vec_id = 0")).collect())
+    assert [i for _, i, _ in got] == want and {77, 78} < set(want)
+    assert all(abs(score - best[i]) < 1e-9 for _, i, score in got)
+
+
 def test_ann_edge_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, None]), (8, [1.0]), (50, [2.0, 0.1]), (100, None), (None, [1.0, 0.0]), (2, [1.0, 1.0])]
