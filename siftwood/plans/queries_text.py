@@ -178,7 +178,7 @@ def outline_code(spark, d):
 def code_chunks(spark, d):
     """Every document as a Python and as a brace-language source: unreadable ones give an error row."""
     t = docs(spark, d)
-    as_py = t.select(F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit(PY_SOURCE), F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("# "), x)).getItem(0), F.lit("\n")).alias("text"))
+    as_py = t.select(F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit(PY_SOURCE), F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("# "), x)), "\n"), F.lit("\n")).alias("text"))
     as_js = t.select(F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), F.concat(F.lit("function f() {\n"), "text", F.lit("\n}\n")).alias("text"))
     return code.chunk_code(as_py.unionByName(as_js)).select("path", "line_start", "line_end", "kind", "context", "error")
 
