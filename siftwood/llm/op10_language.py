@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .crf import Crf, fit
 
-#: Fitting reads about this many labelled rows, spread evenly over the (at most LANGUAGES most frequent) languages.
-SAMPLE_ROWS, LANGUAGES = 1600, 64
+#: Fitting reads about this many labelled rows, spread evenly over the languages; one a language if there are more languages.
+SAMPLE_ROWS = 1600
 BATCH_CHARS = 1_500_000
 _models: dict[int, Crf] = {}
 
@@ -24,16 +24,22 @@ def fit_languages(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Crf:
     """Fit on a bounded sample of labelled (key, text, lang); rows with a null in text or lang are left out.
 
     Which rows are taken depends on a hash of the key alone.  Counts per language come from
-    all rows, so that each language gets its share of the bound.
+    all rows, so that each language gets its share of the bound, and one row at least.
     """
     labelled = labelled.filter("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    counts = common.materialise(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-counts")
+    langs = counts.count()
+    if not langs:
         return fit([])
-    share = sample_rows / len(counts)
-    rate = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, share / n))) for lang, n in sorted(counts.items())], F.lit(0.0))
+    rates = counts.select("lang", F.least(F.lit(1.0), F.lit(sample_rows / langs) / F.col("n")).alias("rate"))
     draw = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
-    rows = labelled.filter(draw < rate).select("key", "lang", "text").limit(2 * sample_rows).collect()
+    drawn = labelled.select("key", "lang", "text").join(rates, "lang").withColumn("at", draw / F.col("rate"))
+    # a language's lowest draw is taken in any case, the others while they are within its rate
+    first = drawn.groupBy("lang").agg(F.min("at").alias("first"))
+    order = ["at", F.xxhash64("text"), "lang", "text"]
+    least = drawn.join(first, "lang").filter(F.col("at") == F.col("first")).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter("place = 1")
+    more = drawn.filter("at < 1").orderBy(*order).limit(2 * sample_rows)
+    rows = more.select("key", "lang", "text").union(least.select("key", "lang", "text")).distinct().collect()
     return fit([(r.lang, r.text) for r in sorted(rows, key=lambda r: (str(r.key), r.lang, r.text))])
 
 

@@ -298,3 +298,11 @@ def test_language_edge_rows(spark):
     clash = spark.createDataFrame([(1, "the", "x")], "doc_id long, text string, own string")
     assert op10_language.with_language(clash, model).columns == ["doc_id", "text", "own", "lang_pred", "score"]
     assert op10_language.with_language(clash.filter("doc_id < 0"), model).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    """More languages than the sample has rows, and far more than 64."""
+    rows = [(i, f"{a}{b}{a}ol {b}{a}{b}in", f"l{a}{b}") for i, (a, b) in enumerate((a, b) for a in "abcdefghij" for b in "klmnopqrst")]
+    docs = spark.createDataFrame(rows, "key long, text string, lang string")
+    for sample_rows in (1600, 30):
+        assert op10_language.fit_languages(docs, sample_rows).langs == sorted(r[2] for r in rows)
