@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from siftwood.functions.text import image_count, text_lines
 
-# Lines per window, and the extensions of each chunker.
+# Lines per window, the text of a page of images alone, and the extensions of each chunker.
 MAX_LINES, PDF_LINES, MIN_LINES = 60, 25, 4
+EMPTY_PAGE = "[page {} has no extractable text, only images (a scanned page or a figure)]"
 MARKDOWN = (".md", ".mdx", ".markdown")
 CODE = {
     ".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "tsx",
@@ -41,17 +42,20 @@ def windows(first: Column, last: Column, size: int = MAX_LINES) -> Column:
 def section_starts(lines: Column) -> Column:
     """0-based first lines of sections: line 0 and every heading outside fences.
 
-    A line that opens with a fence marker toggles the fence; the heading test sees the state after it.
+    A line that opens with a fence marker toggles the fence.  The lines between fence lines
+    are the odd and even pieces of the text cut at those lines, so one pass marks the headings
+    of the pieces outside, however many there are.
     """
-    fence = lambda x: F.regexp_replace(x, r"^\s+", "").rlike("^(```|~~~)")
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("fenced"), F.array(F.lit(0)).alias("heads"))
+    pieces = F.split(F.array_join(lines, "\n"), r"(?dm)^[\x20\t]*(?:```|~~~)[^\n]*", -1)
 
-    def step(acc: Column, line: Column) -> Column:
-        fenced = acc["fenced"] != fence(line)
-        head = line.startswith("#") & ~fenced & (acc["at"] > 0)
-        return F.struct((acc["at"] + 1).alias("at"), fenced.alias("fenced"), F.when(head, F.concat(acc["heads"], F.array(acc["at"]))).otherwise(acc["heads"]).alias("heads"))
+    def heads(piece: Column, i: Column) -> Column:
+        # the last entry of a piece is the fence line after it, which the next piece begins with again
+        own = F.transform(F.split(piece, "\n", -1), lambda x: x.startswith("#") & (i % 2 == 0))
+        return F.when(i == 0, own).otherwise(F.slice(own, 2, F.size(own)))
 
-    return F.aggregate(lines, start, step, lambda acc: acc["heads"])
+    flags = F.flatten(F.transform(pieces, heads))
+    found = F.filter(F.transform(flags, lambda head, at: F.when(head & (at > 0), at)), lambda at: at.isNotNull())
+    return F.concat(F.array(F.lit(0)), found)
 
 
 def _emit(docs: DataFrame, spans: Column, kind: str) -> DataFrame:
@@ -81,7 +85,7 @@ def markdown_sections(docs: DataFrame, size: int = MAX_LINES) -> DataFrame:
 def pdf_pages(pages: DataFrame, size: int = PDF_LINES) -> DataFrame:
     """Chunks of extracted pages (path, page, text, n_images): the page is the line range; a page of images alone gets a placeholder."""
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
-    note = F.concat(F.lit("[page "), F.col("page").cast("string"), F.lit(" has no extractable text, only images (a scanned page or a figure)]"))
+    note = F.format_string(EMPTY_PAGE.replace("{}", "%s"), F.col("page"))
     filled = pages.withColumn("text", F.when(blank & (F.col("n_images") > 0), note).otherwise(F.coalesce("text", F.lit(""))))
     out = line_windows(filled, size, "pdf_page")
     return out.select("path", F.col("page").alias("line_start"), F.col("page").alias("line_end"), "kind", "text", F.col("n_images").alias("images"))

@@ -62,6 +62,11 @@ def quality_measures(k: int = 5) -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), *[hit(n) for n in sorted({1, 3, k})], (F.sum(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))) / F.count(F.lit(1))).alias("mrr")]
 
 
+def shown_share() -> Column:
+    """The share of rows whose outline shows its target, of those where that is known; null if it is known of none."""
+    return F.avg(F.col("shows").cast("int")).alias("shown")
+
+
 def quality_report(rows: DataFrame, k: int = 5, more: list[Column] | None = None) -> DataFrame:
     """Measures per (split, repo), and per split with repo ALL."""
     out = rows.rollup("split", "repo").agg(F.grouping("repo").alias("_r"), F.grouping("split").alias("_s"), *quality_measures(k), *(more or []))
@@ -92,9 +97,12 @@ def models_of(runs: DataFrame) -> DataFrame:
 
 
 def pairs_of(runs: DataFrame) -> DataFrame:
-    """Complete pairs of both arms per (case, rep), one shuffle: the columns of each arm side by side; the last run of an arm counts."""
+    """Complete pairs of both arms per (case, rep), one shuffle: the columns of each arm side by side.
+
+    The last run of an arm counts, by run_no; where there is none, or it is equal, the one of the greatest status, tokens and turns.
+    """
     fields = F.struct("status", (F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.coalesce("turns", F.lit(0)).alias("turns"))
-    order = F.col("run_no") if "run_no" in runs.columns else F.lit(0)
+    order = F.struct(F.col("run_no") if "run_no" in runs.columns else F.lit(0), fields)
     arm = lambda a: F.max_by(F.when(F.col("arm") == a, fields), F.when(F.col("arm") == a, order)).alias(a)
     both = runs.groupBy("case", "rep").agg(arm("on"), arm("off")).filter("on IS NOT NULL AND off IS NOT NULL")
     return both.select("case", "rep", (F.col("on.status") == "correct").alias("ok_on"), (F.col("off.status") == "correct").alias("ok_off"), F.col("on.tokens").alias("tokens_on"), F.col("off.tokens").alias("tokens_off"), F.col("on.turns").alias("turns_on"), F.col("off.turns").alias("turns_off"))

@@ -10,15 +10,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwood.functions.text import index_tokens, query_terms
 
-from .sizing import broadcast_if_small
+from .scratch import materialise
+from .sizing import broadcast_if_small, is_small
 
 # Fixed values of the ranking function, and candidates per ranking.
 K1, B, LEAST_IDF, CANDIDATES = 1.2, 0.75, 1e-6, 50
+#: Terms of queries up to which they are literals in the scan of a stored index.
+LITERAL_TERMS = 500
 #: Scores are whole multiples of 1/POINT; clamped terms score about 1e-6.
 POINT = 1 << 40
 
@@ -26,7 +29,7 @@ POINT = 1 << 40
 @dataclass(frozen=True)
 class LexicalIndex:
     postings: DataFrame
-    lengths: DataFrame
+    lengths: DataFrame | None
     term_df: DataFrame
     totals: DataFrame
 
@@ -35,13 +38,11 @@ def tokens_of(chunks: DataFrame, id_col: str = "chunk_id", body_col: str = "body
     return chunks.select(F.col(id_col).alias("chunk_id"), index_tokens(F.col(body_col)).alias("tokens"))
 
 
-def postings_of(chunks: DataFrame, id_col: str = "chunk_id", body_col: str = "body", keep: tuple[str, ...] = (), only: DataFrame | None = None) -> DataFrame:
-    """(*keep, term, chunk_id, tf, dl) of chunks; with only (term), of those terms alone, left out before the shuffle."""
+def postings_of(chunks: DataFrame, id_col: str = "chunk_id", body_col: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(*keep, term, chunk_id, tf, dl) of chunks."""
     tokens = chunks.select(*keep, F.col(id_col).alias("chunk_id"), index_tokens(F.col(body_col)).alias("tokens")).withColumn("dl", F.size("tokens"))
     # the outer form: the filter that explode infers would tokenise every text again
     tokens = tokens.select(*keep, "chunk_id", "dl", F.explode_outer("tokens").alias("term")).filter("term IS NOT NULL")
-    if only is not None:
-        tokens = tokens.join(broadcast_if_small(only), "term")
     return tokens.groupBy(*keep, "term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -52,17 +53,49 @@ def totals_of(lengths: DataFrame) -> DataFrame:
 def build_index(chunks: DataFrame, id_col: str = "chunk_id", body_col: str = "body", queries: DataFrame | None = None) -> LexicalIndex:
     """Index tables of chunks (id, body); for given queries, with the postings of their terms alone.
 
-    Lengths and totals are of the whole index either way, and so are the frequencies of the
-    terms that are there.
+    Texts are tokenised once: the empty term stands for the chunk itself, so that chunks
+    without tokens and all lengths come out of the same pass, which is written to the shared
+    folder.  Lengths and totals are of the whole index either way, and so are the frequencies
+    of the terms that are there.
     """
-    only = None if queries is None else terms_of_queries(queries).select("term").distinct()
-    lengths = tokens_of(chunks, id_col, body_col).select("chunk_id", F.size("tokens").alias("dl"))
-    postings = postings_of(chunks, id_col, body_col, only=only)
+    spark = chunks.sparkSession
+    tokens = chunks.select(F.col(id_col).alias("chunk_id"), index_tokens(F.coalesce(body_col, F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
+    rows = tokens.select("chunk_id", "dl", F.explode_outer(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
+    if queries is not None:
+        only = terms_of_queries(queries).select("term").distinct()
+        if is_small(only):
+            rows = rows.join(F.broadcast(only.union(spark.sql("SELECT '' AS term"))), "term")
+    marked = materialise(rows.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    postings, lengths = marked.filter("term <> ''"), marked.filter("term = ''").select("chunk_id", "dl")
     return LexicalIndex(postings, lengths, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals_of(lengths))
 
 
+def write_index(index: LexicalIndex, path: str) -> None:
+    """Store an index under path: postings and frequencies in the order of their terms, so that a reader skips the others, and the totals."""
+    index.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
+    index.term_df.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/term_df")
+    index.totals.write.parquet(f"{path}/totals")
+
+
+def read_index(spark: SparkSession, path: str, queries: DataFrame) -> LexicalIndex:
+    """The part of a stored index that the queries need.
+
+    Terms of few queries are literals of the scan's filter, which skips the row groups without
+    them; those of many are joined.
+    """
+    postings, term_df = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/term_df")
+    terms = terms_of_queries(queries).select("term").distinct()
+    few = [r.term for r in terms.limit(LITERAL_TERMS + 1).collect()]
+    if len(few) <= LITERAL_TERMS:
+        postings, term_df = postings.filter(F.col("term").isin(few)), term_df.filter(F.col("term").isin(few))
+    else:
+        terms = broadcast_if_small(terms)
+        postings, term_df = postings.join(terms, "term", "left_semi"), term_df.join(terms, "term", "left_semi")
+    return LexicalIndex(postings, None, term_df, spark.read.parquet(f"{path}/totals"))
+
+
 def stored_index(postings: DataFrame, lengths: DataFrame, queries: DataFrame) -> LexicalIndex:
-    """The part of a stored index (postings, lengths) that the queries need: only their terms are read and counted."""
+    """The part of stored tables (postings, lengths) that the queries need: only their terms are read and counted."""
     terms = terms_of_queries(queries).select("term").distinct()
     own = postings.join(broadcast_if_small(terms), "term").select("term", "chunk_id", "tf", "dl")
     return LexicalIndex(own, lengths, own.groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals_of(lengths))

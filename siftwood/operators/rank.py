@@ -6,6 +6,8 @@ rows of each query.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,17 +25,21 @@ def clamp_k(top_k: int) -> int:
     return max(1, min(int(top_k), CANDIDATES))
 
 
-def fuse(vector: DataFrame, keyword: DataFrame, vector_weight: float = STATIC_WEIGHT) -> DataFrame:
-    """(query_id, chunk_id, vec_rank, kw_rank, score) of two rankings (query_id, chunk_id, rank).
+def fuse_all(rankings: list[tuple[str, DataFrame, float]]) -> DataFrame:
+    """(query_id, chunk_id, <name>.., score) of any number of weighted rankings (name, (query_id, chunk_id, rank), weight).
 
-    A union and one grouping, no join of the rankings with each other; the two parts are
-    added in fixed order.
+    A union and one grouping, no join of the rankings with each other; the parts are added in
+    the order given.  A ranking that has a chunk twice counts its better rank.
     """
-    null = F.lit(None).cast("int")
-    both = vector.select("query_id", "chunk_id", F.col("rank").alias("v"), null.alias("k")).unionAll(keyword.select("query_id", "chunk_id", null.alias("v"), F.col("rank").alias("k")))
-    ranks = both.groupBy("query_id", "chunk_id").agg(F.min("v").alias("vec_rank"), F.min("k").alias("kw_rank"))
-    part = lambda weight, c: F.coalesce(F.lit(weight) / (RRF_K + F.col(c)), F.lit(0.0))
-    return ranks.withColumn("score", part(vector_weight, "vec_rank") + part(KEYWORD_WEIGHT, "kw_rank"))
+    sides = [r.select("query_id", "chunk_id", *[(F.col("rank") if n == name else F.lit(None)).cast("int").alias(n) for n, _, _ in rankings]) for name, r, _ in rankings]
+    ranks = reduce(DataFrame.unionAll, sides).groupBy("query_id", "chunk_id").agg(*[F.min(n).alias(n) for n, _, _ in rankings])
+    parts = [F.coalesce(F.lit(weight) / (RRF_K + F.col(n)), F.lit(0.0)) for n, _, weight in rankings]
+    return ranks.withColumn("score", reduce(Column.__add__, parts))
+
+
+def fuse(vector: DataFrame, keyword: DataFrame, vector_weight: float = STATIC_WEIGHT) -> DataFrame:
+    """(query_id, chunk_id, vec_rank, kw_rank, score) of a vector and a keyword ranking (query_id, chunk_id, rank)."""
+    return fuse_all([("vec_rank", vector, vector_weight), ("kw_rank", keyword, KEYWORD_WEIGHT)])
 
 
 def reweigh(score: Column, query: Column, path: Column, text: Column) -> Column:
@@ -50,10 +56,13 @@ def best(fused: DataFrame, k: int) -> DataFrame:
     return fused.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= clamp_k(k))
 
 
+# Fixed value: what the note of a chunk with images says, by what the chunk is.
+IMAGE_NOTE = "this {} also contains {} image(s) not indexed — open the source file directly if visual content is needed"
+
+
 def note(kind: Column, images: Column) -> Column:
     where = F.when(kind == "pdf_page", "page").otherwise("section")
-    text = F.concat(F.lit("this "), where, F.lit(" also contains "), images.cast("string"), F.lit(" image(s) not indexed — open the source file directly if visual content is needed"))
-    return F.when(images > 0, text)
+    return F.when(images > 0, F.format_string(IMAGE_NOTE.replace("{}", "%s"), where, images))
 
 
 def shape(rows: DataFrame, detail: str = "full") -> DataFrame:

@@ -21,13 +21,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_ROWS, known_by: DataFr
     """
     small = is_small(df, max_rows) if known_by is None else is_small(known_by, max_rows // per_row)
     return F.broadcast(df) if small else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """df over as many partitions as there are cores, if its source has fewer; else as it is.
-
-    For work that costs far more than moving its input: a source of one row group would keep
-    one core busy.  A large source has partitions enough and is not moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from siftwood.functions.text import dot
 
 from .lexical import CANDIDATES, top_ranked
-from .workers import map_arrow
+from .workers import map_arrow, ship_package
 
-#: Queries whose vectors go to the workers at once; more are handled in several such blocks.
-QUERY_BLOCK = 4096
+#: Bytes of query vectors that are broadcast, or meet a block of vectors in one task, and the bytes of such a block.
+QUERY_BYTES, VECTOR_BYTES = 16 << 20, 64 << 20
+_FOUND = "query_id long, chunk_id long, score double"
 
 
 def nearest_to(vectors: DataFrame, query: Column, k: int = CANDIDATES, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
@@ -22,6 +23,55 @@ def nearest_to(vectors: DataFrame, query: Column, k: int = CANDIDATES, id_col: s
     return scored.orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
+def _usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, v) of the rows whose vector is whole."""
+    df = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    return df.filter(F.col("v").isNotNull() & (F.size("v") > 0)).filter(~F.exists("v", lambda x: x.isNull()))
+
+
+def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k nearest vectors of each query (query_id, vec).
+
+    Vectors are read once.  Query vectors of QUERY_BYTES at most are broadcast, and every task
+    answers with its k best per query, so the shuffle carries k rows a query and task.  More
+    queries meet the vectors in blocks of both, dealt by hash and brought together by a
+    shuffle; nothing passes through the driver.  Ids are unique.  A vector that is null, empty
+    or holds a null takes no part, nor do a vector and a query of different lengths meet.
+    """
+    spark = vectors.sparkSession
+    v, q = _usable(vectors, id_col, vec_col), _usable(queries, "query_id", "vec")
+    n, width = q.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    if not n:
+        return spark.createDataFrame([], _FOUND + ", rank int")
+    if n * width * 8 <= QUERY_BYTES:
+        asked = spark.sparkContext.broadcast(_by_width([(r.id, r.v) for r in q.orderBy("id").collect()]))
+        return top_ranked(map_arrow(v, lambda batches: _search(batches, asked.value, k), _FOUND), k)
+    total, widest = v.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    q_blocks, v_blocks = -(-n * width * 8 // QUERY_BYTES), max(1, -(-total * (widest or 1) * 8 // VECTOR_BYTES))
+    place = lambda count: F.pmod(F.xxhash64("id", "v"), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = q.select("id", "v", place(q_blocks).alias("qi"), every(v_blocks).alias("vi"))
+    right = v.select("id", "v", place(v_blocks).alias("vi"), every(q_blocks).alias("qi"))
+
+    def meet(asked: pa.Table, block: pa.Table) -> pa.Table:
+        found = _search(block.select(["id", "v"]).to_batches(), _by_width(list(zip(asked["id"].to_pylist(), asked["v"].to_pylist(), strict=True))), k)
+        schema = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
+        return pa.Table.from_batches(found, schema)
+
+    ship_package(spark)
+    found = left.groupBy("qi", "vi").cogroup(right.groupBy("qi", "vi")).applyInArrow(meet, _FOUND)
+    return top_ranked(found, k)
+
+
+def _by_width(rows: list[tuple[int, list[float]]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrix of the vectors of each length."""
+    out = {}
+    for width in sorted({len(v) for _, v in rows}):
+        own = [(i, v) for i, v in rows if len(v) == width]
+        out[width] = (np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], np.float64))
+    return out
+
+
 def _ordered_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise inner products, summed in the order of the components."""
     out = np.zeros(len(a))
@@ -30,52 +80,28 @@ def _ordered_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
-    """(query_id, chunk_id, score, rank): the k nearest vectors of each query (query_id, vec).
-
-    Queries go to the workers in blocks of QUERY_BLOCK, a bounded broadcast each; every batch
-    of vectors answers with its k best per query, so the shuffle carries k rows a query and
-    task, not every pair.  Null vectors take no part.
-    """
-    spark = vectors.sparkSession
-    rows = queries.filter("vec IS NOT NULL").select("query_id", "vec").orderBy("query_id")
-    blocks, block = [], []
-    for r in rows.toLocalIterator(prefetchPartitions=True):
-        block.append((r.query_id, r.vec))
-        if len(block) == QUERY_BLOCK:
-            blocks.append(block)
-            block = []
-    blocks += [block] if block else []
-    parts = [_search(vectors, spark.sparkContext.broadcast(b), k, id_col, vec_col) for b in blocks]
-    if not parts:
-        return spark.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top_ranked(out, k)
-
-
-def _search(vectors: DataFrame, block, k: int, id_col: str, vec_col: str) -> DataFrame:
-    def run(batches):
-        ids = np.array([i for i, _ in block.value], np.int64)
-        q = np.array([v for _, v in block.value], np.float64)
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
-        for batch in batches:
-            names = batch.column(0).to_numpy()
-            v = batch.column(1).flatten().to_numpy().reshape(-1, q.shape[1]).astype(np.float64)
-            for at in range(0, len(ids), 256):
+def _search(batches, asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
+    """The k best of all batches (id, v) for each query, as record batches; ties to the smaller id."""
+    best = {w: [(np.empty(0), np.empty(0, np.int64))] * len(ids) for w, (ids, _) in asked.items()}
+    for batch in batches:
+        names, column = batch.column(0).to_numpy(), batch.column(1)
+        widths = np.diff(column.offsets.to_numpy())
+        flat = column.flatten().to_numpy().astype(np.float64)
+        starts = np.r_[0, np.cumsum(widths)[:-1]] if len(widths) else widths
+        for width in set(widths.tolist()) & set(asked):
+            rows = np.flatnonzero(widths == width)
+            own, v, q = names[rows], flat[starts[rows][:, None] + np.arange(width)], asked[width][1]
+            for at in range(0, len(q), 256):
                 rough = q[at : at + 256] @ v.T
                 n = min(k, len(v))
                 kth = np.partition(rough, -n, axis=1)[:, -n]
                 for i in range(len(rough)):
                     near = np.flatnonzero(rough[i] >= kth[i] - 1e-9)
-                    score = np.concatenate([best[at + i][0], _ordered_dot(np.broadcast_to(q[at + i], (len(near), q.shape[1])), v[near])])
-                    name = np.concatenate([best[at + i][1], names[near]])
+                    score = np.concatenate([best[width][at + i][0], _ordered_dot(np.broadcast_to(q[at + i], (len(near), width)), v[near])])
+                    name = np.concatenate([best[width][at + i][1], own[near]])
                     order = np.lexsort((name, -score))[:k]
-                    best[at + i] = (score[order], name[order])
-        sizes = [len(s) for s, _ in best]
+                    best[width][at + i] = (score[order], name[order])
+    for width, (ids, _) in asked.items():
+        sizes = [len(s) for s, _ in best[width]]
         if sum(sizes):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([n for _, n in best])), pa.array(np.concatenate([s for s, _ in best]))], ["query_id", "chunk_id", "score"])
-
-    narrow = vectors.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>"))
-    return map_arrow(narrow, run, "query_id long, chunk_id long, score double")
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([n for _, n in best[width]])), pa.array(np.concatenate([s for s, _ in best[width]]))], ["query_id", "chunk_id", "score"])

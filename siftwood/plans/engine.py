@@ -1,15 +1,17 @@
 """The retrieval engine: an index of a project's files, kept up to date, and batches of queries against it.
 
-The index is Parquet, cut into buckets by path.  A build writes new generations of the
-buckets that changed paths fall in, and then replaces one small state file that names the
-current generation of each bucket; readers never see half a build.
+The index is Parquet, cut into buckets by path, as many as its size asks for when it is first
+built.  A build takes the changed files in batches; each batch writes one new generation of
+the buckets its paths fall in, straight to where it will be read, and then replaces one small
+state file that names the current generation of each bucket.  So readers never see half a
+batch, a build that stops goes on from its last whole batch, and the tables may lie in any
+store that the executors share.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import shutil
 import time
 from pathlib import Path
 
@@ -20,35 +22,54 @@ from siftwood.functions.embed import EMBEDDERS, Embedder, embedding_text
 from siftwood.functions.text import image_count, index_tokens
 from siftwood.operators import chunk, code, lexical, manifest, rank, vector
 from siftwood.operators.sizing import broadcast_if_small
-from siftwood.sources import corpus
+from siftwood.sources import corpus, pdf, store
 
 #: Changes of the stored form or of chunking need a new number; an index of another number is built anew.
-FORMAT, BUCKETS = 1, 64
+FORMAT = 2
+#: Bytes of files per bucket, least and most buckets, and bytes of changed files per batch of a build.
+BUCKET_BYTES, BUCKETS, BATCH_BYTES = 64 << 20, (16, 1 << 16), 16 << 30
 CHUNKS = "id long, path string, line_start int, line_end int, kind string, text string, images int, context string, dl int, vec array<float>"
 POSTINGS = "path string, term string, chunk_id long, tf long, dl int"
-FILES = "path string, mtime double, size long"
-
-
-def bucket_of(path):
-    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
+FILES = "path string, mtime double, size long, deleted boolean"
+TABLES = {"chunks": CHUNKS, "postings": POSTINGS, "files": FILES}
+_PIECES = ("path", "line_start", "line_end", "kind", "text", "images", "context")
 
 
 def chunk_texts(texts: DataFrame) -> DataFrame:
     """Chunks of (path, text), each by the chunker of its extension; unreadable code gives none."""
     kind = chunk.dispatch(F.col("path"))
     none = F.lit("").alias("context")
-    prose = chunk.line_windows(texts.filter(kind == "text")).select("path", "line_start", "line_end", "kind", "text", "images", none)
-    sections = chunk.markdown_sections(texts.filter(kind == "markdown")).select("path", "line_start", "line_end", "kind", "text", "images", none)
-    source = code.chunk_code(texts.filter(kind == "code")).filter("error IS NULL").select("path", "line_start", "line_end", "kind", "text", image_count(F.col("text")).alias("images"), "context")
-    return prose.unionByName(sections).unionByName(source)
+    prose = chunk.line_windows(texts.filter(kind == "text")).withColumn("context", none)
+    sections = chunk.markdown_sections(texts.filter(kind == "markdown")).withColumn("context", none)
+    source = code.chunk_code(texts.filter(kind == "code")).filter("error IS NULL").withColumn("images", image_count(F.col("text")))
+    return prose.select(*_PIECES).unionByName(sections.select(*_PIECES)).unionByName(source.select(*_PIECES))
+
+
+def chunk_files(files: DataFrame) -> DataFrame:
+    """Chunks of files (path, content): texts decoded, PDFs by their pages."""
+    is_pdf = chunk.dispatch(F.col("path")) == "pdf"
+    pages = chunk.pdf_pages(pdf.pages_of(files.filter(is_pdf))).withColumn("context", F.lit(""))
+    return chunk_texts(corpus.texts_of(files.filter(~is_pdf))).unionByName(pages.select(*_PIECES))
+
+
+def _batches(buckets: list[tuple[int, int]]) -> list[list[int]]:
+    """Buckets (number, bytes) in batches of about BATCH_BYTES."""
+    out, room = [], 0
+    for b, size in buckets:
+        if not out or room < size:
+            out.append([])
+            room = BATCH_BYTES
+        out[-1].append(b)
+        room -= size
+    return out
 
 
 class Engine:
-    """An index in `index` (by default inside root) of the project at root."""
+    """An index in `index` (by default inside root) of the project at root; `index` may be in any store."""
 
     def __init__(self, spark: SparkSession, root: str | Path | None = None, index: str | None = None, model: str | None = None):
         self.spark, self.root = spark, corpus.find_root(root)
-        self.index = Path(index) if index else self.root / corpus.INDEX_DIR
+        self.index = str(index) if index else str(self.root / corpus.INDEX_DIR)
         state = self._state()
         name = model or os.environ.get("SIFTWOOD_MODEL") or self._config().get("model") or state.get("model") or "fast"
         self.embedder: Embedder = EMBEDDERS[name]
@@ -57,17 +78,12 @@ class Engine:
     # -- state ---------------------------------------------------------------------------
 
     def _read(self, name: str) -> dict:
-        path = self.index / name
-        return json.loads(path.read_text()) if path.exists() else {}
+        return json.loads(store.read_text(self.spark, f"{self.index}/{name}") or "{}")
 
     def _write(self, name: str, values: dict) -> None:
-        self.index.mkdir(parents=True, exist_ok=True)
-        ignore = self.index / ".gitignore"
-        if not ignore.exists():
-            ignore.write_text("*\n")
-        new = self.index / (name + ".new")
-        new.write_text(json.dumps(values, indent=2) + "\n")
-        new.replace(self.index / name)
+        if not store.exists(self.spark, f"{self.index}/.gitignore"):
+            store.write_text(self.spark, f"{self.index}/.gitignore", "*\n")
+        store.write_text(self.spark, f"{self.index}/{name}", json.dumps(values, indent=2) + "\n")
 
     def _state(self) -> dict:
         return self._read("state.json")
@@ -78,73 +94,103 @@ class Engine:
     def configure(self, **values) -> None:
         self._write("config.json", {**self._config(), **values})
 
-    def _table(self, name: str, schema: str, state: dict) -> DataFrame:
-        paths = [str(self.index / name / f"bucket-{b}" / f"gen-{g}") for b, g in sorted(state.get("buckets", {}).items())]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    def _commit(self, state: dict) -> None:
+        self._write("state.json", {**state, "format": self._form, "model": self.model, "indexed_at": time.time()})
+
+    @property
+    def _form(self) -> str:
+        return f"{FORMAT}:{self.model}"
+
+    def _current(self) -> dict:
+        """The state, or a fresh one if the index is of another form."""
+        state = self._state()
+        return state if state.get("format", self._form) == self._form else {"generation": state.get("generation", 0)}
+
+    def _table(self, name: str, state: dict, buckets: list[int] | None = None) -> DataFrame:
+        """The current rows of a table, or those of some buckets: of each generation the buckets that it holds."""
+        of: dict[int, list[int]] = {}
+        for b, g in state.get("buckets", {}).items():
+            if buckets is None or int(b) in buckets:
+                of.setdefault(g, []).append(int(b))
+        out = self.spark.createDataFrame([], TABLES[name])
+        for g, held in sorted(of.items()):
+            rows = self.spark.read.schema(TABLES[name] + ", b int").parquet(f"{self.index}/{name}/gen-{g}")
+            out = out.unionByName(rows.filter(F.col("b").isin(held)).drop("b"))
+        return out
 
     # -- build ---------------------------------------------------------------------------
 
     def build(self) -> dict:
-        """Bring the index up to date; returns counts of changed, removed and all files."""
-        if not (self.index / "state.json").exists() and self.root in (Path.home(), Path(self.root.anchor)):
+        """Bring the index up to date; returns counts of changed, removed and all files.
+
+        Changed files are taken in batches of whole buckets, of about BATCH_BYTES; the state
+        is committed after each, so a build that stops goes on from there.
+        """
+        if not self._state() and self.root in (Path.home(), Path(self.root.anchor)):
             raise ValueError(f"no project found at {self.root}")
         current = corpus.manifest(self.spark, self.root).persist()
-        state = self._state()
-        form = f"{FORMAT}:{self.model}"
-        if state.get("format", form) != form:
-            state = {"generation": state.get("generation", 0)}
-        known = self._table("files", FILES, state)
+        state = self._current()
+        known = self._table("files", state).filter("NOT deleted").select("path", "mtime", "size")
         changed = manifest.changed(known, current).persist()
         gone = manifest.removed(known, current).persist()
         counts = {"changed": changed.count(), "removed": gone.count(), "files": current.count()}
         if counts["changed"] or counts["removed"] or "indexed_at" not in state:
-            texts = corpus.read_texts(self.spark, self.root, changed)
-            state = self._store(state, changed.join(current, "path"), gone, texts)
-            self._write("state.json", {**state, "format": form, "model": self.model, "indexed_at": time.time()})
+            if "n_buckets" not in state:
+                state["n_buckets"] = self._buckets_for(current.agg(F.sum("size")).first()[0] or 0)
+            files = changed.join(current, "path").select("path", "mtime", "size", F.lit(False).alias("deleted"))
+            bucket = self._bucket(state)
+            sizes = files.select(bucket.alias("b"), "size").unionByName(gone.select(bucket.alias("b"), F.lit(0).cast("long").alias("size"))).groupBy("b").agg(F.sum("size").alias("size"))
+            for batch in _batches(sorted((r.b, r["size"]) for r in sizes.collect())):  # a row per bucket
+                inside = bucket.isin(batch)
+                part = files.filter(inside)
+                state = self._store(state, batch, part, part.select("path").unionByName(gone.filter(inside)), chunk_files(corpus.read_files(self.root, part)))
+            self._commit(state)
         for df in (current, changed, gone):
             df.unpersist()
         return counts
 
     def apply(self, versions: DataFrame) -> None:
-        """Apply file versions (path, mtime, size, text, deleted), at most one a path."""
-        state = self._state()
-        new = versions.filter("NOT deleted")
-        state = self._store(state, new.select("path", "mtime", "size"), versions.filter("deleted").select("path"), new.select("path", "text"))
-        self._write("state.json", {**state, "format": f"{FORMAT}:{self.model}", "model": self.model, "indexed_at": time.time()})
-
-    def _store(self, state: dict, files: DataFrame, gone: DataFrame, texts: DataFrame) -> dict:
-        """Write new generations of the buckets that the changed and gone paths fall in."""
-        touched = files.select("path").unionByName(gone.select("path")).persist()
-        buckets = sorted(r.b for r in touched.select(bucket_of("path").alias("b")).distinct().collect())
+        """Apply file versions (path, mtime, size, text, deleted), at most one a path.
+
+        A version that is not newer than what is known of its path, a deletion included, is
+        passed over, so versions may come late or twice.
+        """
+        state = self._current()
+        state.setdefault("n_buckets", BUCKETS[0])
+        held = self._table("files", state).select("path", F.col("mtime").alias("_known"))
+        newer = versions.join(held, "path", "left").filter("_known IS NULL OR mtime > _known").drop("_known").persist()
+        buckets = sorted(r.b for r in newer.select(self._bucket(state).alias("b")).distinct().collect())
+        if buckets:
+            texts = newer.filter("NOT deleted").select("path", "text")
+            state = self._store(state, buckets, newer.select("path", "mtime", "size", "deleted"), newer.select("path"), chunk_texts(texts))
+        newer.unpersist()
+
+    def _bucket(self, state: dict):
+        return F.pmod(F.xxhash64("path"), F.lit(state["n_buckets"])).cast("int")
+
+    def _buckets_for(self, size: int) -> int:
+        return min(BUCKETS[1], max(BUCKETS[0], size // BUCKET_BYTES))
+
+    def _store(self, state: dict, buckets: list[int], files: DataFrame, touched: DataFrame, chunks: DataFrame) -> dict:
+        """Write a new generation of some buckets, without the touched paths' old rows and with the new ones, and commit it."""
         generation = state.get("generation", 0) + 1
-        old_state = {**state, "buckets": {b: g for b, g in state.get("buckets", {}).items() if int(b) in buckets}}
-        chunks = chunk_texts(texts).withColumn("id", F.xxhash64("path", "line_start", "line_end", "text"))
+        chunks = chunks.withColumn("id", F.xxhash64("path", "line_start", "line_end", "text"))
         body = embedding_text(F.col("path"), F.col("context"), F.col("text"))
         chunks = chunks.withColumn("vec", self.embedder.documents(body)).withColumn("dl", F.size(index_tokens(body)))
-        postings = lexical.postings_of(chunks.withColumn("body", body), "id", keep=("path",))
-        columns = [c.split()[0] for c in CHUNKS.split(", ")]
-        new = {"chunks": (CHUNKS, chunks.select(*columns)), "postings": (POSTINGS, postings.select("path", "term", "chunk_id", "tf", "dl")), "files": (FILES, files.select("path", "mtime", "size"))}
-        for name, (schema, rows) in new.items():
-            old = self._table(name, schema, old_state)
-            both = manifest.apply_delta(old, touched, rows).withColumn("b", bucket_of("path"))
-            staging = self.index / f"staging-{name}-{generation}"
-            both.repartition("b").sortWithinPartitions("b", "term" if name == "postings" else "path").write.mode("overwrite").partitionBy("b").parquet(str(staging))
-            for b in buckets:
-                target = self.index / name / f"bucket-{b}" / f"gen-{generation}"
-                target.parent.mkdir(parents=True, exist_ok=True)
-                part = staging / f"b={b}"
-                if part.exists():
-                    part.rename(target)
-                else:
-                    self.spark.createDataFrame([], schema).write.parquet(str(target))
-            shutil.rmtree(staging, ignore_errors=True)
-        touched.unpersist()
-        return {**state, "generation": generation, "buckets": {**state.get("buckets", {}), **{str(b): generation for b in buckets}}}
+        new = {"chunks": chunks, "postings": lexical.postings_of(chunks.withColumn("body", body), "id", keep=("path",)), "files": files}
+        for name, schema in TABLES.items():
+            rows = new[name].select(*[c.split()[0] for c in schema.split(", ")])
+            both = manifest.apply_delta(self._table(name, state, buckets), touched, rows).withColumn("b", self._bucket(state))
+            # a folder of this number may be left of a build that stopped
+            both.repartition("b").sortWithinPartitions("b", "term" if name == "postings" else "path").write.mode("overwrite").partitionBy("b").parquet(f"{self.index}/{name}/gen-{generation}")
+        state = {**state, "generation": generation, "buckets": {**state.get("buckets", {}), **{str(b): generation for b in buckets}}}
+        self._commit(state)
+        return state
 
     # -- queries -------------------------------------------------------------------------
 
     def chunks(self) -> DataFrame:
-        return self._table("chunks", CHUNKS, self._state())
+        return self._table("chunks", self._current())
 
     def search(self, queries: DataFrame | str, top_k: int = 5, detail: str = "full", refresh: bool = True) -> DataFrame:
         """Results of queries (query_id, query), or of one text, against the index."""
@@ -157,7 +203,7 @@ class Engine:
         if refresh:
             self.build()
         chunks = self.chunks()
-        postings = self._table("postings", POSTINGS, self._state())
+        postings = self._table("postings", self._current())
         stored = lexical.stored_index(postings, chunks.select(F.col("id").alias("chunk_id"), "dl"), queries)
         keyword = lexical.bm25_topk(stored, queries)
         asked = queries.select("query_id", self.embedder.queries(F.col("query")).alias("vec"))
@@ -170,9 +216,8 @@ class Engine:
 
     def stats(self) -> dict:
         state = self._state()
-        size = sum(p.stat().st_size for p in self.index.rglob("*") if p.is_file()) if self.index.exists() else 0
         return {
-            "root": str(self.root), "files": self._table("files", FILES, state).count(), "chunks": self.chunks().count(), "index_bytes": size,
+            "root": str(self.root), "files": self._table("files", state).filter("NOT deleted").count(), "chunks": self.chunks().count(), "index_bytes": store.size(self.spark, self.index),
             "last_indexed": state.get("indexed_at"), "model": state.get("model"), "device": self._config().get("device", "cpu"),
         }
 

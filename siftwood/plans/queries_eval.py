@@ -89,6 +89,22 @@ def outline_visible(spark, d):
     return read(spark, d, "documents").select("doc_id", evaluate.outline_shows(F.array_join(outlines.prose_head(lines), "\n"), wanted).alias("shows"))
 
 
+def shown_rollup(spark, d):
+    """Measures with the share of visible outlines per split and source; every fifth document has no line to look for."""
+    shows = outline_visible(spark, d).withColumn("shows", F.when(F.col("doc_id") % 5 > 0, F.col("shows")))
+    split = F.when(F.col("doc_id") % 2 == 0, "dev").otherwise("test")
+    rows = read(spark, d, "documents").select("doc_id", split.alias("split"), F.col("source").alias("repo"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 7 + 1).alias("rank")).join(shows, "doc_id")
+    out = evaluate.quality_report(rows, 5, [evaluate.shown_share()])
+    return out.select("split", "repo", "n", F.round("mrr", 9).alias("mrr"), F.round("shown", 9).alias("shown"))
+
+
+def case_repos(spark, d):
+    """Questions as cases of repositories that the region table names."""
+    cases = read(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.concat(F.lit("r"), (F.col("item_id") % 4).cast("string")).alias("repo"))
+    repos = read(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("name"), F.col("r_name").alias("url"), F.md5("r_name").alias("commit"))
+    return corpus.cases_of_repos(cases, repos)
+
+
 def _runs(spark, d):
     e, i = read(spark, d, "events"), F.col("event_id")
     status = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "wrong").when(i % 13 == 0, "no_answer").otherwise("correct")
@@ -150,7 +166,7 @@ def agent_events(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        target_resolve, rank_of, answer_overlap, hit_at_k, mrr, eval_rollup, token_cost, outline_visible, ab_arm_report, ab_tool_calls, ab_models, ab_pairs, ab_sign_test, sign_tests, resume_todo, agent_events,
+        target_resolve, rank_of, answer_overlap, hit_at_k, mrr, eval_rollup, token_cost, outline_visible, shown_rollup, case_repos, ab_arm_report, ab_tool_calls, ab_models, ab_pairs, ab_sign_test, sign_tests, resume_todo, agent_events,
     )
 }
 
@@ -183,6 +199,10 @@ ORACLES = {
     "token_cost": f"""WITH t AS (SELECT doc_id, doc_id % 3 = 0 AS miss, strlen(left(text, 400)) // 4 AS full, strlen(head) // 4 AS outline, strlen(left(text, 200)) // 4 AS hit, strlen(text) // 4 AS file FROM documents JOIN {_STRIPPED_HEAD} USING (doc_id))
         SELECT doc_id % 4 AS g, trunc(avg("full" + CASE WHEN miss THEN file ELSE 0 END))::INT AS full_read, trunc(avg(outline))::INT AS outline, trunc(avg(outline + CASE WHEN miss THEN file ELSE hit END))::INT AS outline_read, trunc(avg(file))::INT AS file FROM t GROUP BY 1""",
     "outline_visible": f"""SELECT doc_id, doc_id % 4 = 0 OR contains(head, left(trim(a[least(doc_id % 3 + 1, len(a))]), 80)) AS shows FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents) JOIN {_STRIPPED_HEAD} USING (doc_id)""",
+    "shown_rollup": f"""WITH s AS (SELECT doc_id, source, CASE WHEN doc_id % 5 > 0 THEN (doc_id % 4 = 0 OR contains(head, left(trim(a[least(doc_id % 3 + 1, len(a))]), 80)))::INT END AS shows FROM (SELECT doc_id, source, string_split(text, chr(10)) AS a FROM documents) JOIN {_STRIPPED_HEAD} USING (doc_id)),
+        r AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'dev' ELSE 'test' END AS split, source AS repo, CASE WHEN doc_id % 3 > 0 THEN doc_id % 7 + 1 END AS rank, shows FROM s)
+        SELECT split, CASE WHEN grouping(repo) = 1 THEN 'ALL' ELSE repo END AS repo, count(*) AS n, {_MRR}, round(avg(shows), 9) AS shown FROM r GROUP BY GROUPING SETS ((split, repo), (split))""",
+    "case_repos": "SELECT item_id AS case_id, concat('r', item_id % 4) AS repo, r_name AS url, md5(r_name) AS commit FROM benchmark JOIN region ON r_regionkey = item_id % 4",
     "ab_arm_report": f"""WITH {_RUNS} SELECT arm, count(*) AS n, {", ".join(f"round(avg((status = '{s}')::INT), 6) AS {s}" for s in ("correct", "wrong", "no_answer", "error"))}, round(avg((coalesce(rank, 0) = 1)::INT), 6) AS first,
         round(median(tokens), 6) AS tokens_median, round(avg(tokens), 6) AS tokens_mean, round(median(turns), 6) AS turns_median, round(median(seconds), 6) AS seconds_median, round(sum(cost), 6) AS cost FROM runs GROUP BY arm""",
     "ab_tool_calls": """WITH r AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'on' ELSE 'off' END AS arm, event_id FROM events), n AS (SELECT arm, count(*) AS n FROM r GROUP BY arm),

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from siftwood.functions import text as tx
 from siftwood.operators import lexical, manifest, rank, vector
-from siftwood.operators.sizing import broadcast_if_small, spread
+from siftwood.operators.scratch import scratch_path
+from siftwood.operators.sizing import broadcast_if_small
 from siftwood.sources import sinks
 
-from .queries_text import PATH, sql_terms, sql_tokens
+from .queries_text import CLIP, LINES, PATH, STOP, STRIPPED, sql_terms, sql_text, sql_tokens, sql_words
 
 QUERY = "onerth tionthe lichkeit der éeau ciónra les thand einung how do the onerth las"
 
@@ -28,7 +29,7 @@ def bench_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_index(spark: SparkSession, d: str, queries: DataFrame | None = None) -> lexical.LexicalIndex:
-    docs = spread(read(spark, d, "documents").select("doc_id", F.col("text").alias("body")))
+    docs = read(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
     return lexical.build_index(docs, "doc_id", queries=queries)
 
 
@@ -51,6 +52,32 @@ def bm25_topk(spark, d):
     return docs.join(F.broadcast(top), "chunk_id").select("rank", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "lang", "source", "n_chars")  # top is ten rows
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, d: str) -> str:
+    """The folder of the documents' stored index, which the first query of an application builds."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stored:
+        path = scratch_path(spark, "index")
+        lexical.write_index(doc_index(spark, d), path)
+        _stored[key] = path
+    return _stored[key]
+
+
+def indexed_topk(spark, d):
+    """One query against the stored index: the row groups of its terms are all that is read of the postings."""
+    q = one_query(spark)
+    top = lexical.bm25_topk(lexical.read_index(spark, stored_index(spark, d), q), q, 10)
+    return top.select("rank", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def indexed_batch(spark, d):
+    q = bench_queries(spark, d)
+    top = lexical.bm25_topk(lexical.read_index(spark, stored_index(spark, d), q), q, 10)
+    return top.select("query_id", "rank", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 def bm25_batch(spark, d):
     top = lexical.bm25_topk(doc_index(spark, d, bench_queries(spark, d)), bench_queries(spark, d), 10)
     return top.select("query_id", "rank", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
@@ -87,6 +114,19 @@ def rrf_fusion(spark, d):
     return _fused(spark, d, one_query(spark), _one_vector(spark, d)).select(F.col("chunk_id").alias("doc_id"), "vec_rank", "kw_rank", F.round("score", 9).alias("score"))
 
 
+#: Other phrasings of the query, and what their rankings weigh beside its own.
+PHRASINGS, PHRASING_WEIGHT = ("lichkeit der onerth", "les thand einung"), 0.25
+
+
+def phrasing_fusion(spark, d):
+    """The keyword rankings of a query and of its other phrasings, fused."""
+    asked = spark.createDataFrame(list(enumerate((QUERY, *PHRASINGS))), "query_id long, query string")
+    found = lexical.bm25_topk(doc_index(spark, d, asked), asked)
+    one = lambda i: found.filter(F.col("query_id") == i).withColumn("query_id", F.lit(0))
+    fused = rank.fuse_all([(f"r{i}", one(i), PHRASING_WEIGHT if i else 1.0) for i in range(1 + len(PHRASINGS))])
+    return fused.select(F.col("chunk_id").alias("doc_id"), "r0", "r1", "r2", F.round("score", 9).alias("score"))
+
+
 def _hybrid(spark, d, queries, asked, k):
     docs = read(spark, d, "documents").select("doc_id", F.expr(PATH).alias("path"), "text")
     fused = broadcast_if_small(_fused(spark, d, queries, asked), known_by=queries, per_row=2 * lexical.CANDIDATES)
@@ -171,7 +211,7 @@ def candidate_union(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_stats, bm25_topk, bm25_batch, knn_topk, knn_batch, l2_normalize, rrf_fusion, hybrid_topk, hybrid_batch, result_shape, result_outline, format_text, result_json,
+        bm25_stats, bm25_topk, bm25_batch, indexed_topk, indexed_batch, phrasing_fusion, knn_topk, knn_batch, l2_normalize, rrf_fusion, hybrid_topk, hybrid_batch, result_shape, result_outline, format_text, result_json,
         manifest_changed, manifest_removed, apply_delta, meta_upsert, index_stats, candidate_union,
     )
 }
@@ -181,6 +221,7 @@ QUERIES = {
 _INDEX = f"""tok AS (SELECT doc_id, {sql_tokens('text')} AS t FROM documents), len AS (SELECT doc_id, len(t) AS dl FROM tok), tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len),
 post AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM post GROUP BY term)"""
 _ONE = f"(SELECT 0 AS query_id, '{QUERY}' AS query)"
+_PHRASED = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in enumerate((QUERY, *PHRASINGS))) + ") AS t(query_id, query))"
 _BENCH = "(SELECT item_id AS query_id, text AS query FROM benchmark)"
 
 
@@ -206,7 +247,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 
 _H1 = _hybrid_sql(_ONE, "a.vec_id = 0")
-_NOTE = "CASE WHEN doc_id % 3 > 0 THEN concat('this section also contains ', doc_id % 3, ' image(s) not indexed — open the source file directly if visual content is needed') END"
+_NOTE = f"""CASE WHEN doc_id % 3 > 0 THEN {sql_text(rank.IMAGE_NOTE, "'section'", 'doc_id % 3')} END"""
 _NLINES = "len(string_split(regexp_replace(text, '\\n$', ''), chr(10)))::INT"
 _OLD = "(SELECT concat('f', doc_id) AS path, 1.0::DOUBLE AS mtime, n_chars AS size, doc_id FROM documents)"
 _NEW = f"(SELECT path, CASE WHEN doc_id % 7 = 0 THEN 2.0 ELSE mtime END AS mtime, CASE WHEN doc_id % 11 = 0 THEN size + 1 ELSE size END AS size FROM {_OLD} WHERE doc_id % 10 <> 0 UNION ALL SELECT concat('new/', path), mtime, size FROM {_OLD} WHERE doc_id % 10 = 5)"
@@ -217,6 +258,19 @@ ORACLES = {
     "bm25_stats": f"WITH {_INDEX} SELECT term, df, n, round(avgdl, 9) AS avgdl FROM df, tot",
     "bm25_topk": f"WITH {_bm25(_ONE)} SELECT rank, doc_id, round(score, 6) AS score, lang, source, n_chars FROM kw JOIN documents USING (doc_id) WHERE rank <= 10",
     "bm25_batch": f"WITH {_bm25(_BENCH)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM kw WHERE rank <= 10",
+    "indexed_topk": f"WITH {_bm25(_ONE)} SELECT rank, doc_id, round(score, 6) AS score FROM kw WHERE rank <= 10",
+    "indexed_batch": f"WITH {_bm25(_BENCH)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM kw WHERE rank <= 10",
+    "phrasing_fusion": f"""WITH {_bm25(_PHRASED)}, f AS (SELECT doc_id, {", ".join(f"min(CASE WHEN query_id = {i} THEN rank END) AS r{i}" for i in range(3))} FROM kw GROUP BY doc_id)
+        SELECT *, round(coalesce(1.0::DOUBLE / (60 + r0), 0) + coalesce({PHRASING_WEIGHT}::DOUBLE / (60 + r1), 0) + coalesce({PHRASING_WEIGHT}::DOUBLE / (60 + r2), 0), 9) AS score FROM f""",
+    "result_outline": f"""WITH {_H1}, t AS (SELECT list_distinct(list_filter({sql_words(f"'{QUERY}'")}, lambda w: length(w) > 2 AND NOT list_contains({STOP}, w))) AS terms),
+        top AS (SELECT place, path, doc_id, text FROM best WHERE place <= 10), s AS (SELECT doc_id, ln, {STRIPPED} AS s FROM {LINES.format(t='top')}),
+        h AS (SELECT doc_id, list(s ORDER BY ln)[:2] AS head FROM s WHERE s <> '' GROUP BY doc_id),
+        m AS (SELECT s.doc_id, ln, s, len(list_intersect(list_distinct({sql_words('s')}), terms)) AS hits FROM s JOIN h USING (doc_id), t WHERE NOT list_contains(head, s)),
+        b AS (SELECT doc_id, ln + 2 AS pos, concat('… ', s) AS c FROM m WHERE hits >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, ln) <= 2
+          UNION ALL SELECT doc_id, unnest(range(len(head))), unnest(head) FROM h)
+        SELECT place, path, coalesce(string_agg({CLIP.format(c='c')}, chr(10) ORDER BY pos), '') AS snippet FROM top LEFT JOIN b USING (doc_id) GROUP BY place, path""",
+    "result_json": f"""WITH {_H1} SELECT query_id::BIGINT AS query_id, concat('[', string_agg(concat('{{"path":"', path, '","line_start":1,"line_end":', {_NLINES}, ',"score":', round(score, 4), ',"kind":"text"',
+        CASE WHEN doc_id % 3 > 0 THEN concat(',"note":"', {_NOTE}, '"') END, '}}'), ',' ORDER BY place), ']') AS results FROM best WHERE place <= 10 GROUP BY query_id""",
     "knn_topk": f"SELECT b.vec_id AS vec_id, round({_SIM}, 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY {_SIM} DESC, b.vec_id LIMIT 50",
     "knn_batch": f"SELECT a.vec_id AS query_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_SIM} DESC, b.vec_id)::INT AS rank, b.vec_id AS vec_id, round({_SIM}, 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY rank <= 10",
     "l2_normalize": "SELECT vec_id, list_transform(v, lambda x: round(x / (sqrt(list_inner_product(v, v)) + 1e-9), 7)) AS unit FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (vec_id + 1)) AS v FROM embeddings)",

@@ -9,7 +9,6 @@ from siftwood.functions import outline as outlines
 from siftwood.functions import text as tx
 from siftwood.functions.embed import HashedEmbedder
 from siftwood.operators import chunk, code, rank
-from siftwood.operators.sizing import spread
 from siftwood.sources import corpus
 
 #: A path for each document, of every class the path predicates know (the tables hold none).
@@ -25,8 +24,7 @@ _W = r"[\p{L}\p{N}_]+"
 
 
 def docs(spark: SparkSession, d: str, *cols: str) -> DataFrame:
-    table = spark.read.parquet(f"{d}/documents.parquet").select(*(cols or ("doc_id", "text")))
-    return table if cols else spread(table)
+    return spark.read.parquet(f"{d}/documents.parquet").select(*(cols or ("doc_id", "text")))
 
 
 def values(spark: SparkSession, rows: str, cols: str) -> DataFrame:
@@ -38,6 +36,32 @@ def sql_values(rows: str, cols: str) -> str:
     return f"(SELECT * FROM {rows} AS t({cols}))"
 
 
+#: Rows of a table beside the literal ones that show the edges of a function, in words that both dialects share; the ids of the table's rows are moved.
+MORE_IDENTIFIERS = "SELECT doc_id + 100 AS id, replace(replace(text, ' a', 'A'), ' e', '_E') AS s FROM documents"
+MORE_QUESTIONS = "SELECT item_id + 100 AS id, text AS q FROM benchmark"
+MORE_AGES = "SELECT event_id * 97 AS s FROM events"
+MORE_REPLIES = """SELECT doc_id + 100 AS id, CASE WHEN doc_id % 4 = 0 THEN text ELSE concat(text, '\nANSWER: ./a.py:', n_chars % 300, '-', n_chars % 300 + doc_id % 200, '\n ANSWER: b.py:', doc_id % 90) END AS reply FROM documents"""
+
+
+def values_and(spark: SparkSession, d: str, rows: str, cols: str, table: str, more: str) -> DataFrame:
+    spark.read.parquet(f"{d}/{table}.parquet").createOrReplaceTempView(f"siftwood_{table}")
+    return values(spark, rows, cols).unionAll(spark.sql(more.replace(f"FROM {table}", f"FROM siftwood_{table}").replace("\n", "\\n")))
+
+
+def sql_text(form: str, *parts: str) -> str:
+    """A message with its places filled, as SQL."""
+    said = form.split("{}")
+    return "concat(" + ", ".join(x for pair in zip((f"'{t}'" for t in said), [*parts, None], strict=True) for x in pair if x) + ")"
+
+
+def sql_values_and(rows: str, cols: str, more: str) -> str:
+    return f"(SELECT * FROM {rows} AS t({cols}) UNION ALL {more})"
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    return values_and(spark, d, QUESTIONS, "id, q", "benchmark", MORE_QUESTIONS)
+
+
 def tokenize_counts(spark, d):
     w = tx.words(F.col("text"))
     return docs(spark, d).select("doc_id", w.alias("w")).select("doc_id", F.size("w").alias("n_words"), F.size(F.array_distinct("w")).alias("n_distinct"))
@@ -48,7 +72,7 @@ def fold_tokens(spark, d):
 
 
 def camel_snake_split(spark, d):
-    t = values(spark, IDENTIFIERS, "id, s")
+    t = values_and(spark, d, IDENTIFIERS, "id, s", "documents", MORE_IDENTIFIERS)
     return t.select("id", tx.split_identifiers(F.col("s")).alias("spaced"), F.array_join(tx.words(F.col("s")), "|").alias("words"))
 
 
@@ -65,7 +89,7 @@ def query_terms_qtf(spark, d):
 
 
 def symbol_names(spark, d):
-    q = values(spark, QUESTIONS, "id, q")
+    q = questions(spark, d)
     return q.select("id", F.array_join(tx.symbol_names(F.col("q")), "|").alias("names"), tx.wants_tests(F.col("q")).alias("tests"), tx.wants_docs(F.col("q")).alias("docs"))
 
 
@@ -73,8 +97,8 @@ CODE_TEXTS = "(VALUES ('class SessionStore:'), ('def session_store(x):'), ('cons
 
 
 def definition_boost(spark, d):
-    q, t = values(spark, QUESTIONS, "id, q"), values(spark, CODE_TEXTS, "text")
-    pairs = q.crossJoin(F.broadcast(t))  # two literal tables
+    q, t = questions(spark, d), values(spark, CODE_TEXTS, "text")
+    pairs = q.crossJoin(F.broadcast(t))  # seven literal texts
     return pairs.select("id", "text", F.round(rank.reweigh(F.lit(0.5), F.col("q"), F.lit("src/a.py"), F.col("text")), 9).alias("score"))
 
 
@@ -159,11 +183,11 @@ def matching_lines(spark, d):
 
 
 def relative_age(spark, d):
-    return values(spark, AGES, "s").select("s", tx.relative_age(F.col("s")).alias("age"))
+    return values_and(spark, d, AGES, "s", "events", MORE_AGES).select("s", tx.relative_age(F.col("s")).alias("age"))
 
 
 def answer_parse(spark, d):
-    t = values(spark, REPLIES, "id, reply").select("id", F.posexplode(tx.parse_answers(F.col("reply"))).alias("pos", "a"))
+    t = values_and(spark, d, REPLIES, "id, reply", "documents", MORE_REPLIES).select("id", F.posexplode(tx.parse_answers(F.col("reply"))).alias("pos", "a"))
     return t.select("id", "pos", "a.path", F.col("a.start").alias("first_line"), F.col("a.end").alias("last_line"))
 
 
@@ -230,12 +254,12 @@ _PROSE = r"regexp_matches(path, '(?i)\.(md|mdx|markdown|rst|txt)$|(^|/)docs?/')"
 _WANTS_TESTS, _WANTS_DOCS = r"regexp_matches(q, '(?i)\btest')", r"regexp_matches(q, '(?i)\b(how (do|can|to)|docs?|documentation|guide|example|tutorial|explain|why)\b')"
 _NAMES = r"""list_concat(list_filter(f, lambda w: length(w) > 2 AND (contains(w, '_') OR regexp_matches(w, '[a-z][A-Z]') OR len(f) = 1)),
  CASE WHEN len(f) BETWEEN 2 AND 3 THEN [array_to_string(f, ''), array_to_string(f, '_')] ELSE [] END)"""
-_ASKED = rf"(SELECT id, q, {_NAMES} AS names FROM (SELECT id, q, regexp_extract_all(q, '[A-Za-z_][\p{{L}}\p{{N}}_]*') AS f FROM {sql_values(QUESTIONS, 'id, q')}))"
+_ASKED = rf"(SELECT id, q, {_NAMES} AS names FROM (SELECT id, q, regexp_extract_all(q, '[A-Za-z_][\p{{L}}\p{{N}}_]*') AS f FROM {sql_values_and(QUESTIONS, 'id, q', MORE_QUESTIONS)}))"
 _DEF = r"regexp_matches(text, concat('(?i)\b(?:" + "|".join(tx.DEFINING) + r")\s+(?:', array_to_string(names, '|'), ')\b'))"
 # lines of a text, without an empty last one
-_LINES = "(SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS ln FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS a FROM {t} WHERE text <> ''))"
-_STRIPPED = r"regexp_replace(line, '^\s+|\s+$', '', 'g')"
-_CLIP = "CASE WHEN length({c}) > 160 THEN concat(left({c}, 159), '…') ELSE {c} END"
+LINES = "(SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS ln FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS a FROM {t} WHERE text <> ''))"
+STRIPPED = r"regexp_replace(line, '^\s+|\s+$', '', 'g')"
+CLIP = "CASE WHEN length({c}) > 160 THEN concat(left({c}, 159), '…') ELSE {c} END"
 _SECTIONS = """
 WITH l AS {lines}, g AS (SELECT *, sum((regexp_matches(line, '^\\s*(```|~~~)'))::INT) OVER (PARTITION BY doc_id ORDER BY ln) % 2 = 1 AS fenced FROM l),
 s AS (SELECT *, sum((ln > 0 AND starts_with(line, '#') AND NOT fenced)::INT) OVER (PARTITION BY doc_id ORDER BY ln) AS sec FROM g),
@@ -243,10 +267,25 @@ w AS (SELECT *, (ln - min(ln) OVER (PARTITION BY doc_id, sec)) // {size} AS win
 c AS (SELECT doc_id, (min(ln) + 1)::INT AS line_start, (max(ln) + 1)::INT AS line_end, string_agg(line, chr(10) ORDER BY ln) AS text FROM w GROUP BY doc_id, sec, win)
 """
 
+#: The checksum's table by its rule, and the checksum of a string's bytes.
+_CRC = """crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def sql_crc32(c: str) -> str:
+    data = f"list_transform(range(strlen({c})), lambda i: concat('0x', substr(hex({c}), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {data}), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])))"
+
+
 ORACLES = {
+    "hash_embed": f"""WITH {_CRC}, tok AS (SELECT doc_id, unnest({sql_tokens('text')}) AS term FROM documents), codes AS (SELECT term, {sql_crc32('term')} AS c FROM (SELECT DISTINCT term FROM tok), crc),
+        n AS (SELECT doc_id, c % 64 AS b, sum(CASE WHEN (c >> 16) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS n FROM tok JOIN codes USING (term) GROUP BY ALL),
+        v AS (SELECT d.doc_id, list(coalesce(n, 0) ORDER BY g.b) AS v FROM documents d CROSS JOIN (SELECT unnest(range(64)) AS b) g LEFT JOIN n ON n.doc_id = d.doc_id AND n.b = g.b GROUP BY d.doc_id)
+        SELECT doc_id, list_transform(v, lambda x: (x / (sqrt(list_sum(list_transform(v, lambda y: y * y))) + 1e-9))::FLOAT) AS vec FROM v""",
+    "split_of": f"WITH {_CRC} SELECT item_id, CASE WHEN {sql_crc32('text')} % 5 < 2 THEN 'dev' ELSE 'test' END AS split FROM benchmark, crc",
+    "case_id": f"WITH {_CRC} SELECT item_id, concat('repo-', lpad(lower(to_hex({sql_crc32('text')})), 8, '0')) AS case_id FROM benchmark, crc",
     "tokenize_counts": f"SELECT doc_id, len(w)::INT AS n_words, len(list_distinct(w))::INT AS n_distinct FROM (SELECT doc_id, {sql_words('text')} AS w FROM documents)",
     "fold_tokens": f"SELECT term, count(*) AS n FROM (SELECT unnest({sql_tokens('text')}) AS term FROM documents) GROUP BY term",
-    "camel_snake_split": f"SELECT id, {sql_split('s')} AS spaced, array_to_string({sql_words('s')}, '|') AS words FROM {sql_values(IDENTIFIERS, 'id, s')}",
+    "camel_snake_split": f"SELECT id, {sql_split('s')} AS spaced, array_to_string({sql_words('s')}, '|') AS words FROM {sql_values_and(IDENTIFIERS, 'id, s', MORE_IDENTIFIERS)}",
     "stopword_terms": f"SELECT item_id, array_to_string({sql_terms('text')}, ' ') AS terms FROM benchmark",
     "query_terms_qtf": f"SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({sql_terms('text')}) AS term FROM benchmark) GROUP BY ALL",
     "symbol_names": f"SELECT id, array_to_string(names, '|') AS names, {_WANTS_TESTS} AS tests, {_WANTS_DOCS} AS docs FROM {_ASKED}",
@@ -260,31 +299,31 @@ ORACLES = {
     "binary_sniff": "SELECT page_id, page_id % 5 = 0 AND page_id % 10 <> 0 AS is_binary FROM pages",
     "image_counts": r"SELECT page_id, len(regexp_extract_all(concat(html, '<img src=a> ![x](y)'), '(?i)!\[[^\]]*\]\(|<img\b'))::INT AS images, (strlen(html) // 4)::BIGINT AS tokens FROM pages",
     "line_windows": f"""SELECT doc_id, (5 * w + 1)::INT AS line_start, (max(ln) + 1)::INT AS line_end, 'text' AS kind, md5(string_agg(line, chr(10) ORDER BY ln)) AS text_md5, 0 AS images
-        FROM (SELECT *, ln // 5 AS w FROM {_LINES.format(t='documents')}) GROUP BY doc_id, w HAVING regexp_matches(string_agg(line, chr(10)), '\\S')""",
+        FROM (SELECT *, ln // 5 AS w FROM {LINES.format(t='documents')}) GROUP BY doc_id, w HAVING regexp_matches(string_agg(line, chr(10)), '\\S')""",
     "blank_chunk_filter": f"""SELECT doc_id, count(*) AS chunks, min(first)::INT AS first_line FROM (SELECT doc_id, 2 * w + 1 AS first FROM (SELECT *, ln // 2 AS w FROM
-        {_LINES.format(t="(SELECT doc_id, concat('  ', chr(10), chr(10), ' ', chr(10), chr(10), replace(text, chr(10), repeat(chr(10), 3))) AS text FROM documents)")})
+        {LINES.format(t="(SELECT doc_id, concat('  ', chr(10), chr(10), ' ', chr(10), chr(10), replace(text, chr(10), repeat(chr(10), 3))) AS text FROM documents)")})
         GROUP BY doc_id, w HAVING regexp_matches(string_agg(line, chr(10)), '\\S')) GROUP BY doc_id""",
-    "markdown_sections": _SECTIONS.format(lines=_LINES.format(t=sql_values(MARKDOWN, "doc_id, text")), size=3)
+    "markdown_sections": _SECTIONS.format(lines=LINES.format(t=sql_values(MARKDOWN, "doc_id, text")), size=3)
     + r"SELECT doc_id, line_start, line_end, 'section' AS kind, text, len(regexp_extract_all(text, '(?i)!\[[^\]]*\]\(|<img\b'))::INT AS images FROM c WHERE regexp_matches(text, '\S')",
-    "markdown_documents": _SECTIONS.format(lines=_LINES.format(t=r"(SELECT doc_id, regexp_replace(text, '(?m)^([A-M])', '# \1', 'g') AS text FROM documents)"), size=60)
+    "markdown_documents": _SECTIONS.format(lines=LINES.format(t=r"(SELECT doc_id, regexp_replace(text, '(?m)^([A-M])', '# \1', 'g') AS text FROM documents)"), size=60)
     + r"SELECT doc_id, line_start, line_end, length(text)::INT AS chars FROM c WHERE regexp_matches(text, '\S')",
-    "pdf_pages": f"""WITH p AS (SELECT concat('doc', conv_id, '.pdf') AS path, turn::INT AS page, CASE WHEN turn % 3 = 2 AND turn % 2 = 1 THEN concat('[page ', turn, ' has no extractable text, only images (a scanned page or a figure)]')
+    "pdf_pages": f"""WITH p AS (SELECT concat('doc', conv_id, '.pdf') AS path, turn::INT AS page, CASE WHEN turn % 3 = 2 AND turn % 2 = 1 THEN {sql_text(chunk.EMPTY_PAGE, 'turn')}
         WHEN turn % 3 = 2 THEN ' ' ELSE text END AS text, (turn % 2)::INT AS n FROM conversations),
-        l AS {_LINES.format(t="(SELECT {'path': path, 'page': page, 'n': n} AS doc_id, text FROM p)")}
+        l AS {LINES.format(t="(SELECT {'path': path, 'page': page, 'n': n} AS doc_id, text FROM p)")}
         SELECT doc_id.path AS path, doc_id.page AS line_start, doc_id.page AS line_end, 'pdf_page' AS kind, length(string_agg(line, chr(10) ORDER BY ln))::INT AS chars, doc_id.n AS images,
-        CASE WHEN doc_id.n > 0 THEN concat('this page also contains ', doc_id.n, ' image(s) not indexed — open the source file directly if visual content is needed') END AS note
+        CASE WHEN doc_id.n > 0 THEN {sql_text(rank.IMAGE_NOTE, "'page'", 'doc_id.n')} END AS note
         FROM l GROUP BY doc_id, ln // 3 HAVING regexp_matches(string_agg(line, chr(10)), '\\S')""",
-    "clip_lines": f"SELECT doc_id, ln, {_CLIP.format(c='line')} AS clipped FROM (SELECT doc_id, unnest(a) AS line, unnest(range(len(a)))::INT AS ln FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))",
-    "outline_prose": f"""SELECT doc_id, coalesce(string_agg({_CLIP.format(c='s')}, chr(10) ORDER BY ln) FILTER (WHERE n <= 2), '') AS outline FROM
-        (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS n FROM (SELECT doc_id, ln, {_STRIPPED} AS s FROM {_LINES.format(t='documents')}) WHERE s <> '') GROUP BY doc_id""",
+    "clip_lines": f"SELECT doc_id, ln, {CLIP.format(c='line')} AS clipped FROM (SELECT doc_id, unnest(a) AS line, unnest(range(len(a)))::INT AS ln FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))",
+    "outline_prose": f"""SELECT doc_id, coalesce(string_agg({CLIP.format(c='s')}, chr(10) ORDER BY ln) FILTER (WHERE n <= 2), '') AS outline FROM
+        (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS n FROM (SELECT doc_id, ln, {STRIPPED} AS s FROM {LINES.format(t='documents')}) WHERE s <> '') GROUP BY doc_id""",
     "matching_lines": f"""WITH t AS (SELECT list_distinct(list_filter({sql_words(f"'{MATCH_QUERY} und les for las was'")}, lambda w: length(w) > 2 AND NOT list_contains({STOP}, w))) AS terms),
-        s AS (SELECT doc_id, ln, {_STRIPPED} AS s FROM {_LINES.format(t='documents')}),
+        s AS (SELECT doc_id, ln, {STRIPPED} AS s FROM {LINES.format(t='documents')}),
         h AS (SELECT doc_id, list(s ORDER BY ln)[:2] AS head FROM s WHERE s <> '' GROUP BY doc_id),
         m AS (SELECT s.doc_id, ln, s, len(list_intersect(list_distinct({sql_words('s')}), terms)) AS hits FROM s JOIN h USING (doc_id), t WHERE NOT list_contains(head, s)),
         b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, ln) AS n FROM m WHERE hits >= 2)
         SELECT d.doc_id, coalesce(string_agg(concat('… ', s), chr(10) ORDER BY ln) FILTER (WHERE n <= 2), '') AS lines FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id GROUP BY d.doc_id""",
-    "relative_age": f"SELECT s, CASE WHEN s < 120 THEN concat(s, 's') WHEN s < 7200 THEN concat(s // 60, 'm') WHEN s < 172800 THEN concat(s // 3600, 'h') ELSE concat(s // 86400, 'd') END AS age FROM {sql_values(AGES, 's')}",
+    "relative_age": f"SELECT s, CASE WHEN s < 120 THEN concat(s, 's') WHEN s < 7200 THEN concat(s // 60, 'm') WHEN s < 172800 THEN concat(s // 3600, 'h') ELSE concat(s // 86400, 'd') END AS age FROM {sql_values_and(AGES, 's', MORE_AGES)}",
     "answer_parse": rf"""SELECT id, pos::INT AS pos, regexp_replace(a[1], '^\./', '') AS path, a[2]::INT AS first_line, (CASE WHEN a[3] = '' THEN a[2] ELSE a[3] END)::INT AS last_line FROM
         (SELECT id, unnest(range(len(l))) AS pos, unnest(list_transform(l, lambda x: [regexp_extract(x, 'ANSWER:\s*`?([^`\s:]+):', 1), regexp_extract(x, ':([0-9]+)(\s*-\s*[0-9]+)?$', 1), regexp_extract(x, '-\s*([0-9]+)$', 1)])) AS a FROM
-        (SELECT id, regexp_extract_all(reply, '(?m)^[^\p{{L}}\p{{N}}_]*ANSWER:\s*`?[^`\s:]+:[0-9]+(?:\s*-\s*[0-9]+)?') AS l FROM {sql_values(REPLIES, 'id, reply')}))""",
+        (SELECT id, regexp_extract_all(reply, '(?m)^[^\p{{L}}\p{{N}}_]*ANSWER:\s*`?[^`\s:]+:[0-9]+(?:\s*-\s*[0-9]+)?') AS l FROM {sql_values_and(REPLIES, 'id, reply', MORE_REPLIES)}))""",
 }

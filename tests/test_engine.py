@@ -2,11 +2,15 @@
 
 import json
 import subprocess
+import zlib
 
 import pytest
 
+from siftwood.functions import embed
+from siftwood.operators import chunk
+from siftwood.plans import engine as engines
 from siftwood.plans.engine import Engine, get_context
-from siftwood.sources import corpus, sinks
+from siftwood.sources import corpus, pdf, sinks
 from siftwood.streaming import versions
 
 VAULT = '''import time
@@ -101,9 +105,11 @@ def test_stream_of_versions(spark, project, tmp_path):
     say("2.json", ("b.txt", 3.0, 0, None, True), ("c.txt", 3.0, 1, "sea", False))
     assert {r.path for r in engine.chunks().collect()} == {"a.txt", "c.txt"}
     assert engine.search("sea", 1, refresh=False).first().path == "c.txt"
+    say("3.json", ("c.txt", 2.0, 1, "lake", False), ("b.txt", 2.5, 1, "wasps", False), ("d.txt", 1.0, 1, "first", False), ("d.txt", 1.0, 2, "second", False))
+    assert {r.text for r in engine.chunks().collect()} == {"new words", "sea", "second"}
 
 
-def test_root_and_listing(tmp_path):
+def test_root_and_listing(spark, tmp_path):
     outer = tmp_path / "o"
     (outer / corpus.INDEX_DIR).mkdir(parents=True)
     inner = outer / "in" / "deep"
@@ -115,7 +121,7 @@ def test_root_and_listing(tmp_path):
         (plain / name).parent.mkdir(parents=True, exist_ok=True)
         (plain / name).write_text("x")
     (plain / ".gitignore").write_text("*.log\n/out/\n")
-    assert corpus._walk(plain) and corpus.list_files(plain) == [".gitignore", "a.py", "keep/d.py"]
+    assert sorted(r.path for r in corpus.listing(spark, plain).collect()) == [".gitignore", "a.py", "keep/d.py"]
 
 
 def test_cases_overlay_and_runs(spark, tmp_path):
@@ -136,3 +142,105 @@ def test_cases_overlay_and_runs(spark, tmp_path):
 def test_store_scan(spark, project):
     got = {r.path for r in corpus.texts_of(corpus.scan_store(spark, str(project))).collect()}
     assert {"src/vault.py", "docs/manual.md"} <= got and "blob.txt" not in got and not any(".git/" in p for p in got)
+
+
+def test_a_build_that_stops_goes_on(spark, project, monkeypatch):
+    monkeypatch.setattr(engines, "BATCH_BYTES", 1)
+    engine, store, done = Engine(spark, project), Engine._store, []
+
+    def stops(self, *args):
+        if len(done) == 2:
+            raise RuntimeError("stopped")
+        done.append(args)
+        return store(self, *args)
+
+    monkeypatch.setattr(Engine, "_store", stops)
+    with pytest.raises(RuntimeError):
+        engine.build()
+    monkeypatch.setattr(Engine, "_store", store)
+    held = engine.stats()["files"]
+    assert 2 <= held < 6
+    assert engine.build()["changed"] == 6 - held and engine.stats()["files"] == 6
+    assert engine.search("bookParcel", 1).first().path == "web/ship.ts"
+
+
+def pdf_file(*pages):
+    """A PDF of pages (text or None, images)."""
+    kids = " ".join(f"{10 * n} 0 R" for n in range(1, len(pages) + 1))
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} >>".encode()}
+    for n, (text, images) in enumerate(pages, 1):
+        names = " ".join(f"/Im{i} 5 0 R" for i in range(images))
+        shown = "".join(f"BT /F1 12 Tf ({line}) Tj ET " for line in (text or "").split("\n") if line) + "".join(f"/Im{i} Do " for i in range(images))
+        packed = zlib.compress(shown.encode("cp1252"))
+        objects[10 * n] = f"<< /Type /Page /Parent 2 0 R /Resources << /XObject << {names} >> >> /Contents {10 * n + 1} 0 R >>".encode()
+        objects[10 * n + 1] = b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(packed) + packed + b"\nendstream"
+    objects[5] = b"<< /Type /XObject /Subtype /Image /Width 1 /Height 1 >>\nstream\nx\nendstream"
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n" % n + body + b"\nendobj\n" for n, body in objects.items())
+
+
+def test_pages_of_pdfs_are_found(spark, project):
+    assert pdf.read_pages(pdf_file(("caf\xe9 \\(one\\)\ntwo", 0), (None, 2))) == [(1, "caf\xe9 (one)\ntwo", 0), (2, "", 2)]
+    (project / "scan.pdf").write_bytes(pdf_file((None, 1), ("how turbines are serviced", 1)))
+    (project / "broken.pdf").write_bytes(b"not one at all")
+    engine = Engine(spark, project)
+    engine.build()
+    found = engine.search("turbines serviced", 1).first()
+    assert (found.path, found.page, found.line_start, found.kind) == ("scan.pdf", 2, 2, "pdf_page") and "this page also contains 1 image(s)" in found.note
+    scan = engine.chunks().filter("path = 'scan.pdf' AND line_start = 1").first()
+    assert scan.images == 1 and scan.text == chunk.EMPTY_PAGE.format(1)
+    assert engine.chunks().filter("path = 'broken.pdf'").count() == 0
+
+
+def test_nested_ignore_files(spark, tmp_path):
+    for name in ("a.txt", "b/c.txt", "b/d.txt", "b/e/f.txt", "x/y/z.txt", "x/y/w.md", "gen/q.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / ".gitignore").write_text("x/**/*.txt\ngen/\n.gitignore\nd.txt\n")
+    (tmp_path / "b" / ".gitignore").write_text("!d.txt\n/e\n")
+    assert sorted(r.path for r in corpus.listing(spark, tmp_path).collect()) == ["a.txt", "b/c.txt", "b/d.txt", "x/y/w.md"]
+
+
+def test_model_vectors_keep_the_order_of_the_texts():
+    np = pytest.importorskip("numpy")
+
+    class Coded:
+        def __init__(self, ids, length):
+            self.ids, self.type_ids = ids + [0] * (length - len(ids)), [0] * length
+            self.attention_mask = [1] * len(ids) + [0] * (length - len(ids))
+
+    class Words:
+        def enable_truncation(self, most):
+            self.most = most
+
+        def enable_padding(self):
+            self.padded = True
+
+        def encode_batch(self, texts):
+            rows = [[len(w) for w in t.split()][: self.most] for t in texts]
+            return [Coded(r, max(map(len, rows))) for r in rows]
+
+    class Session:
+        class Named:
+            def __init__(self, name):
+                self.name = name
+
+        widths: list = []
+
+        def get_inputs(self):
+            return [self.Named("input_ids"), self.Named("attention_mask")]
+
+        def get_outputs(self):
+            return [self.Named("states")]
+
+        def run(self, outputs, feed):
+            assert outputs == ["states"] and set(feed) == {"input_ids", "attention_mask"}
+            self.widths.append(feed["input_ids"].shape)
+            ids = feed["input_ids"].astype("float32")
+            return [np.stack([ids, ids + 1], axis=2)]
+
+    texts = [" ".join(["abc"] * n) for n in range(20, 0, -1)] + ["a bcd"]
+    got = embed.TextModel(Session(), Words()).vectors(texts)
+    want = [np.array([m, m + 1]) for m in [3] * 20 + [2]]
+    assert np.allclose(got, [w / np.linalg.norm(w) for w in want]) and got.dtype == np.float32
+    assert [s[0] for s in Session.widths] == [8, 8, 5] and Session.widths[0][1] < 10
+    assert np.allclose(embed.TextModel(Session(), Words(), "cls").vectors(["abc d"]), [[0.6, 0.8]])

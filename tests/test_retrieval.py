@@ -29,7 +29,8 @@ def test_ranks_as_the_full_text_engine(spark, sf_dir, query):
 
 
 def test_nearest_batch_is_exact_in_blocks(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(vector, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(vector, "QUERY_BYTES", 3 * 64 * 8)
+    monkeypatch.setattr(vector, "VECTOR_BYTES", 100 * 64 * 8)
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     queries = v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vec")
     got = {(r.query_id, r["rank"]): r.chunk_id for r in vector.nearest_batch(v, queries, 5).collect()}
@@ -77,3 +78,31 @@ def test_manifest_differences(spark):
     assert {r.path for r in manifest.removed(known, current).collect()} == {"gone"}
     empty = spark.createDataFrame([], kind)
     assert manifest.changed(empty, empty).count() == 0 and manifest.removed(known, empty).count() == 4
+
+
+def test_vectors_with_nulls_and_of_other_lengths(spark):
+    kind = "id long, vec array<float>"
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [None, 1.0]), (4, None), (5, []), (6, [1.0, 0.0, 0.0])], kind)
+    queries = spark.createDataFrame([(10, [1.0, 0.0]), (11, None), (12, [None, 1.0]), (13, [0.0, 0.0, 1.0])], "query_id long, vec array<float>")
+    got = sorted((r.query_id, r["rank"], r.chunk_id) for r in vector.nearest_batch(v, queries, 5).collect())
+    assert got == [(10, 1, 1), (10, 2, 2), (13, 1, 6)]
+    assert vector.nearest_batch(v, queries.limit(0), 5).count() == 0 and vector.nearest_batch(v.limit(0), queries, 5).count() == 0
+
+
+def test_an_index_reads_texts_once_and_stored_terms_alone(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("body"))
+    index = lexical.build_index(docs, "doc_id")
+    assert docs.count() == index.lengths.count() and "documents.parquet" not in plan_of(index.postings)
+    lexical.write_index(index, str(tmp_path / "i"))
+    queries = spark.createDataFrame([(0, "the onerth lichkeit")], "query_id long, query string")
+    stored = lexical.read_index(spark, str(tmp_path / "i"), queries)
+    assert "In(term" in (plan := plan_of(stored.postings)) or "EqualTo(term" in plan
+    rows = lambda i: [(r.chunk_id, r.score) for r in lexical.bm25_topk(i, queries, 10).orderBy("rank").collect()]
+    assert rows(stored) == rows(index)
+
+
+def test_any_number_of_rankings_is_fused(spark):
+    kind = "query_id long, chunk_id long, rank int"
+    a, b, c = (spark.createDataFrame([(0, i, n) for n, i in enumerate(ids, 1)], kind) for ids in ((1, 2), (2, 3), (3, 1)))
+    got = {r.chunk_id: (r.a, r.b, r.c, r.score) for r in rank.fuse_all([("a", a, 1.0), ("b", b, 0.5), ("c", c, 0.25)]).collect()}
+    assert got == {1: (1, None, 2, 1 / 61 + 0.25 / 62), 2: (2, 1, None, 1 / 62 + 0.5 / 61), 3: (None, 2, 1, 0.5 / 62 + 0.25 / 61)}
