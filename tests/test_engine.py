@@ -9,6 +9,7 @@ import pytest
 from siftwood.functions import embed
 from siftwood.operators import chunk
 from siftwood.plans import engine as engines
+from siftwood.plans import evaluation
 from siftwood.plans.engine import Engine, get_context
 from siftwood.sources import corpus, pdf, sinks
 from siftwood.streaming import versions
@@ -244,3 +245,29 @@ def test_model_vectors_keep_the_order_of_the_texts():
     assert np.allclose(got, [w / np.linalg.norm(w) for w in want]) and got.dtype == np.float32
     assert [s[0] for s in Session.widths] == [8, 8, 5] and Session.widths[0][1] < 10
     assert np.allclose(embed.TextModel(Session(), Words(), "cls").vectors(["abc d"]), [[0.6, 0.8]])
+
+
+def test_evaluation_of_projects(spark, project):
+    kind = "repo string, q string, targets array<array<string>>, split string"
+    cases = spark.createDataFrame(
+        [
+            ("p", "rotate_keys", [["src/vault.py", "def rotate_keys"]], "test"),
+            ("p", "where is a parcel booked", [["web/ship.ts", "2"]], "test"),
+            ("p", "how to read the floor plan of the warehouse", [["docs/manual.md"]], "dev"),
+            ("p", "marmalade", [["src/vault.py", "1"]], "test"),
+        ],
+        kind,
+    )
+    repos = spark.createDataFrame([("p", "u", "1")], "name string, url string, commit string")
+    rows = evaluation.evaluated(spark, cases, repos, {"p": project}, 1).persist()
+    got = {r.case_id: r for r in rows.collect()}
+    by_q = {q: got[f"p-{zlib.crc32(q.encode()):08x}"] for q in ("rotate_keys", "marmalade", "how to read the floor plan of the warehouse")}
+    assert by_q["rotate_keys"]["rank"] == 1 and by_q["rotate_keys"].shows is True and by_q["rotate_keys"].hit > 0
+    assert by_q["marmalade"]["rank"] is None and by_q["marmalade"].full_read == by_q["marmalade"].full + by_q["marmalade"].file
+    assert by_q["how to read the floor plan of the warehouse"]["rank"] == 1 and by_q["how to read the floor plan of the warehouse"].shows is None
+    out = {(r.split, r.repo): r for r in evaluation.report(rows, 3).collect()}
+    assert out["test", "p"].n == out["test", "ALL"].n == 3 and out["dev", "ALL"].hit_1 == 1.0 and out["test", "ALL"].shown is not None and out["dev", "ALL"].shown is None
+    with pytest.raises(ValueError, match="no folder for p"):
+        evaluation.evaluated(spark, cases, repos, {})
+    with pytest.raises(Exception, match="no such repository"):
+        corpus.cases_of_repos(cases, repos.filter("name = 'q'")).collect()
