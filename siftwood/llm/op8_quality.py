@@ -35,8 +35,11 @@ class Repeats:
         self.end = np.repeat(np.cumsum(sizes), sizes)
         first = self.doc * (int(ids.max()) + 1 if n else 1) + ids
         self.order = np.argsort(first, kind="stable")
-        self.levels: list[np.ndarray] = []  # levels[j][i]: order of the 2^j words from i on; equal where those words are
-        rank = np.empty(n, np.int64)
+        # levels[j][i]: order of the 2^j words from i on; equal where those words are.  Half-size numbers where they do, as a
+        # text that repeats itself over and over has a level for each doubling of its longest repeat
+        self.levels: list[np.ndarray] = []
+        kind = np.int32 if n < 1 << 31 else np.int64
+        rank = np.empty(n, kind)
         ordered = first[self.order]
         starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if n else np.empty(0, np.int64)
         rank[self.order] = np.repeat(starts, np.diff(np.r_[starts, n]))
@@ -48,8 +51,8 @@ class Repeats:
             rank = rank.copy()
             at = self.order[slots]
             then = at + step
-            second = np.where(then < self.end[at], self.levels[-1][np.minimum(then, n - 1)] + 1, 0)
-            key = self.levels[-1][at] * (n + 1) + second
+            key = self.levels[-1][at] * np.int64(n + 1)
+            key += np.where(then < self.end[at], self.levels[-1][np.minimum(then, n - 1)] + 1, 0)
             again = np.argsort(key, kind="stable")
             at, key = at[again], key[again]
             self.order[slots] = at
@@ -69,7 +72,7 @@ class Repeats:
         marked = np.zeros(self.n + 1, bool)
         if self.n and len(self.levels) > 1:
             at = np.flatnonzero(np.arange(self.n) + 2 < self.end)
-            key = self.levels[1][at] * (self.n + 1) + self.levels[0][at + 2]
+            key = self.levels[1][at] * np.int64(self.n + 1) + self.levels[0][at + 2]
             _, where, counts = np.unique(key, return_inverse=True, return_counts=True)
             at = at[counts[where] > 1]
             for k in range(3):
@@ -140,7 +143,8 @@ def quality_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: fl
     """Repetition figures and the verdict of each text.
 
     Returns (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    covered_words, longest_repeat, base_failed, kept).  kept is false where base_failed, or
+    covered_words, longest_repeat, base_failed, kept); longest_repeat is 0 if no repeat has
+    min_repeat words.  kept is false where base_failed, or
     where repeats of min_repeat words or more cover over max_covered of the words, or one is
     longer than max_repeat words.  A null or empty text has no words, so it fails.  Rows are
     independent: repeated rows, ties and null ids pass through one to one; other columns are
@@ -169,12 +173,13 @@ def quality_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: fl
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the longest repeat decides kept, but SQL has no name for its length
-    return quality_rules(common.table(spark, sf_dir, "documents")).drop("longest_repeat")
+    named = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality_rules(common.table(spark, sf_dir, "documents")).select(*named, "covered_words", "longest_repeat")
 
 
 #: A word is covered exactly when it lies in a repeated window of min_repeat words, and a repeat is
-#: longer than max_repeat exactly when a window of max_repeat + 1 words occurs twice.
+#: longer than max_repeat exactly when a window of max_repeat + 1 words occurs twice.  The longest repeat is the
+#: longest run of places i at which the ten words from i and from i + d are the same, for one distance d, and nine words more.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
@@ -185,12 +190,14 @@ c AS (SELECT doc_id, i, in3 AND count(*) OVER (PARTITION BY doc_id, g3) > 1 AS r
 m AS (SELECT doc_id, max(r3::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS in3,
              max(r10::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS in10, r101::INT AS r101 FROM c),
 s AS (SELECT doc_id, sum(in3) AS n3, sum(in10) AS n10, max(r101) AS long FROM m GROUP BY doc_id),
+q AS (SELECT a.doc_id, a.i, b.i - a.i AS d FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.g10 = b.g10 AND a.i < b.i),
+t AS (SELECT doc_id, 9 + max(n) AS longest FROM (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, d, i - row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS run FROM q) GROUP BY doc_id, d, run) GROUP BY doc_id),
 l AS (SELECT doc_id, sum(n - 1) AS dup FROM (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
       WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
        len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
        coalesce(n3, 0)::BIGINT AS n_repeat_words, coalesce(n10, 0)::BIGINT AS covered_words,
        len(w) < 50 OR 100 * coalesce(n3, 0) > 50 * len(w) AS base_failed,
-       NOT (len(w) < 50 OR 100 * coalesce(n3, 0) > 50 * len(w)) AND coalesce(n10, 0) <= 0.4 * len(w) AND coalesce(long, 0) = 0 AS kept
-FROM d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id
+       NOT (len(w) < 50 OR 100 * coalesce(n3, 0) > 50 * len(w)) AND coalesce(n10, 0) <= 0.4 * len(w) AND coalesce(long, 0) = 0 AS kept, coalesce(longest, 0)::BIGINT AS longest_repeat
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
