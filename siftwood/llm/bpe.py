@@ -24,6 +24,8 @@ from .pretoken import is_plain, plain_pattern
 #: between Unicode releases, go through the library's own normaliser and splitter.
 _COMMON = regex.compile(r"[\u0000-\u052F\u1E00-\u1FFF\u2000-\u2064\u20A0-\u20BF\u2190-\u22FF\u3000-\u3096\u3099-\u30FF\u4E00-\u9FA5\uAC00-\uD7A3]*+")
 _NEVER = np.int64(1) << 60
+#: Longer words are forgotten after the texts that hold them.
+LONG_WORD = 256
 
 
 def byte_alphabet() -> list[str]:
@@ -175,6 +177,28 @@ class BpeModel:
             yield text[at:], None
 
 
+class Memory(dict):
+    """What is known of words, bounded in words and characters; of long words until the next call alone.  What is `kept` stays."""
+
+    def __init__(self, words: int, chars: int = 4_000_000, kept: dict | None = None):
+        super().__init__(kept or {})
+        self.kept, self.words, self.chars = kept or {}, words + len(kept or {}), chars
+        self.used, self.passing = 0, []
+
+    def missing(self, words: set[str]) -> list[str]:
+        """Those of the words that are not known, for which there is room now."""
+        for w in self.passing:
+            self.pop(w, None)
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > self.words or self.used + sum(map(len, new)) > self.chars:
+            self.clear()
+            self.update(self.kept)
+            self.used, new = 0, [w for w in words if w not in self]
+        self.passing = [w for w in new if len(w) > LONG_WORD]
+        self.used += sum(map(len, new)) - sum(map(len, self.passing))
+        return new
+
+
 class WordBpe:
     """The lower-casing word vocabulary: text to ids and back, as the library does for the same file."""
 
@@ -188,8 +212,7 @@ class WordBpe:
         self.model = BpeModel(path)
         self.library = Tokenizer.from_file(path)
         self.from_byte_char = {c: b for b, c in enumerate(byte_alphabet())}
-        self.cache_words = cache_words
-        self.cache: dict[str, tuple[str, str, int]] = {}
+        self.cache = Memory(cache_words)  # word to ids, names and their number
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens in NFC and lower case; white space only separates, so runs of it need no collapsing."""
@@ -206,11 +229,7 @@ class WordBpe:
         return [bytes([back[c] for c in w]).decode() for w, _ in cut]
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > self.cache_words:
-            self.cache.clear()
-            new = list(words)
-        names = self.model.names
+        new, names = self.cache.missing(words), self.model.names
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for w, ids in zip(part, self.model.encode_words(part), strict=True):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import BpeModel
+from .bpe import BpeModel, Memory
 from .pretoken import is_plain, plain_pattern
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -40,9 +40,7 @@ class Counters:
         self.library = Tokenizer.from_file(path)
         self.from_byte = {c: b for b, c in self.model.to_byte_chars.items()}
         self.find = plain_pattern(PATTERN).findall
-        self.frequent = frequent or {}
-        self.cache = dict(self.frequent)
-        self.room = cache + len(self.frequent)
+        self.cache = Memory(cache, kept=frequent)
 
     def words(self, text: str) -> list[str]:
         if is_plain(text):
@@ -69,11 +67,7 @@ class Counters:
     def count(self, texts: list[str | None]) -> Iterable[int]:
         for at in range(0, len(texts), 256):
             cut = [self.split(t) for t in texts[at : at + 256]]
-            seen = {w for words, _ in cut for w in words}
-            new = [w for w in seen if w not in self.cache]
-            if len(self.cache) + len(new) > self.room:
-                self.cache = dict(self.frequent)
-                new = [w for w in seen if w not in self.cache]
+            new = self.cache.missing({w for words, _ in cut for w in words})
             self.cache.update(zip(new, self.lengths(new), strict=True))
             look = self.cache.__getitem__
             for words, special in cut:
