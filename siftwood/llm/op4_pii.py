@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwood.functions.text import let
+
 from . import common
 from .boost import Boosted
 
@@ -50,6 +52,8 @@ ALL_KINDS = (*KINDS, "national_id", "account", "secret")
 THRESHOLD = 0.9
 #: Characters looked at on either side.
 BEFORE, AFTER = 24, 12
+#: Items of a group, of groups of groups, and code points of a block.
+GROUP, GROUPS, BLOCK = 256, (4096, 64), 1024
 _NEAR = {"email": "mail|contact|write|reach", "phone": "phone|tel|call|mobile|cell|fax|whatsapp|dial", "card": "card|visa|master|amex|credit|debit|payment", "national_id": "ssn|social|security|national|tax", "account": "iban|account|bank|transfer", "secret": "pass|secret|token|key|credential|login|aws"}
 _AGAINST = "version|isbn|order|invoice|page|ticket|item|part|serial|model|chapter|section|line|room|year|date|build|release|total|price|sku|ref"
 FEATURES = ("kind", "digits", "length", "seps", "parens", "near", "against", "luhn", "groups", "first", "joined", "at_words", "dot_words", "year", "mixed", "dotted")
@@ -158,19 +162,64 @@ def model() -> Boosted:
     return Boosted(*examples())
 
 
+def grouped(items: Column, size: int) -> Column:
+    """The items in order, in arrays of `size`; one empty array if there are none."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(size)), lambda s: F.slice(items, s, size))
+
+
+def running(items: Column, step) -> Column:
+    """struct<last, before> of a number that starts at 0 and becomes step(number, item): what it was before each item, and at last.
+
+    In groups, since an array that grows by each item is copied each time.
+    """
+    none = F.array().cast("array<int>")
+
+    def within(state: Column, group: Column) -> Column:
+        return F.aggregate(group, F.struct(state.alias("last"), none.alias("before")), lambda acc, x: F.struct(step(acc["last"], x).alias("last"), F.concat(acc["before"], F.array(acc["last"])).alias("before")))
+
+    def over(acc: Column, group: Column) -> Column:
+        return let(within(acc["last"], group), lambda r: F.struct(r["last"].alias("last"), F.concat(acc["parts"], F.array(r["before"])).alias("parts")))
+
+    start = F.struct(F.lit(0).alias("last"), F.array().cast("array<array<int>>").alias("parts"))
+    return F.aggregate(grouped(items, GROUP), start, over, lambda acc: F.struct(acc["last"].alias("last"), F.flatten(acc["parts"]).alias("before")))
+
+
 def matches(text: Column, needs: str, pattern: str) -> Column:
     """array<struct<start, end, m>> of the matches of pattern, in code points, end exclusive."""
     found, pieces = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<start:int,end:int,m:string>>")
+    pairs = let(F.struct(found.alias("found"), pieces.alias("pieces")), lambda x: F.zip_with(F.slice(x["pieces"], 1, F.size(x["found"])), x["found"], lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("long"), m.alias("m"))))
+    placed = let(pairs, lambda xs: F.zip_with(xs, running(xs, lambda pos, x: pos + x["gap"] + x["long"])["before"], lambda x, pos: F.struct((pos + x["gap"]).alias("start"), (pos + x["gap"] + x["long"]).alias("end"), x["m"].alias("m"))))
+    return F.when(text.rlike(needs), placed).otherwise(empty)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(needs), walked).otherwise(empty)
+def blocks_of(text: Column) -> Column:
+    """The text in pieces of BLOCK code points: a place in a piece is found at once, one in a long text by walking up to it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from start up to end, 0-based, of a text in blocks."""
+    first = F.floor(start / BLOCK).cast("int")
+    some = F.array_join(F.slice(blocks, first + 1, F.floor(end / BLOCK).cast("int") - first + 1), "")
+    return F.when(end > start, F.substring(some, start - first * BLOCK + 1, end - start)).otherwise("")
+
+
+def unbeaten(items: Column, rivals: Column, beats, sizes: tuple[int, ...]) -> Column:
+    """The items that no rival that overlaps them beats; both have start and end, items are sorted by start.
+
+    In groups of neighbours, and groups within groups: a group's items are held against the
+    rivals that overlap the group alone.
+    """
+    if not sizes:
+        return F.filter(items, lambda i: ~F.exists(rivals, lambda r: _overlap(r, i) & beats(r, i)))
+
+    def of_group(group: Column) -> Column:
+        reach = F.struct(F.array_min(F.transform(group, lambda i: i["start"])).alias("start"), F.array_max(F.transform(group, lambda i: i["end"])).alias("end"))
+        near = let(reach, lambda g: F.filter(rivals, lambda r: _overlap(r, g)))
+        return let(near, lambda rs: unbeaten(group, rs, beats, sizes[1:]))
+
+    return F.flatten(F.transform(grouped(items, sizes[0]), of_group))
 
 
 def _passes(kind: str, m: Column) -> Column:
@@ -209,21 +258,24 @@ def find_pii(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     text = F.col("text")
     base = [_named(k, F.filter(matches(text, NEEDS[k], BASE[k]), _checked(k)), False) for k in KINDS]
     proposed = [_named(kind, matches(text, needs, pattern), True) for kind, needs, pattern in GENERATORS]
-    d = d.withColumn("base", F.concat(*base)).withColumn("proposed", F.concat(*proposed))
+    by_start = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["m"].alias("m"))
+    d = d.withColumn("base", F.concat(*base)).withColumn("proposed", F.array_sort(F.transform(F.concat(*proposed), by_start)))
+    free = unbeaten(F.col("proposed"), F.col("base"), lambda r, i: F.lit(True), GROUPS)
+    # two generators may propose the same
+    once = let(free, lambda xs: F.filter(xs, lambda x, i: (i == 0) | (x != F.get(xs, i - 1))))
+    d = d.withColumn("free", once).withColumn("blocks", F.when(F.size("free") > 0, blocks_of(text)))
 
     def describe(s: Column) -> Column:
-        first = F.greatest(s["start"] - BEFORE, F.lit(0))
-        before, after = F.substring(text, first + 1, s["start"] - first), F.substring(text, s["end"] + 1, F.lit(AFTER))
+        before = cut(F.col("blocks"), F.greatest(s["start"] - BEFORE, F.lit(0)), s["start"])
+        after = cut(F.col("blocks"), s["end"], s["end"] + AFTER)
         cols = _features(s["kind"], before, s["m"], after)
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), *[c.alias(f"f{i}") for i, c in enumerate(cols)])
 
-    free = F.filter("proposed", lambda s: ~F.exists("base", lambda b: _overlap(s, b)))
-    d = d.withColumn("described", F.transform(free, describe))
+    d = d.withColumn("described", F.transform("free", describe))
     judge = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), model().column([s[f"f{i}"] for i in range(len(FEATURES))]).alias("p"))
     d = d.withColumn("judged", F.filter(F.transform("described", judge), lambda s: s["p"] >= threshold))
     better = lambda a, b: (a["p"] > b["p"]) | ((a["p"] == b["p"]) & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & ((a["end"] > b["end"]) | ((a["end"] == b["end"]) & (a["kind"] < b["kind"]))))))
-    chosen = F.filter("judged", lambda s: ~F.exists("judged", lambda t: _overlap(s, t) & better(t, s)))
-    added = F.array_distinct(F.transform(chosen, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+    added = F.transform(unbeaten(F.col("judged"), F.col("judged"), better, GROUPS), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     order = lambda s: reduce(lambda rest, k: F.when(s["kind"] == k, ALL_KINDS.index(k)).otherwise(rest), ALL_KINDS, F.lit(99))
     keyed = F.transform(F.concat("base", added), lambda s: F.struct(order(s).alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     spans = F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
@@ -231,16 +283,17 @@ def find_pii(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
 
 
 def redact(found: DataFrame) -> DataFrame:
-    """found with the column redacted: the text with each span replaced by its kind in brackets, outer spans first."""
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["kind"].alias("kind"))))
+    """found with the column redacted: the text with each span replaced by its kind in brackets, outer spans first.
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.struct((-s["neg"]).alias("pos"), F.concat(acc["out"], F.substring("text", acc["pos"] + 1, s["start"] - acc["pos"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))
-        longer = F.struct(F.greatest(acc["pos"], -s["neg"]).alias("pos"), acc["out"].alias("out"))
-        return F.when(s["start"] >= acc["pos"], fresh).otherwise(longer)
-
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    return found.withColumn("redacted", F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["pos"] + 1, F.length("text")))))
+    Spans that overlap are replaced as one, by the kind of the first.
+    """
+    order = lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["kind"].alias("kind"))
+    d = found.withColumn("_sorted", F.array_sort(F.transform("spans", order))).withColumn("_blocks", F.when(F.size("_sorted") > 0, blocks_of(F.col("text"))))
+    d = d.withColumn("_upto", running(F.col("_sorted"), lambda end, s: F.greatest(end, -s["neg"])))
+    said = F.zip_with("_sorted", "_upto.before", lambda s, end: F.when(s["start"] >= end, F.concat(cut(F.col("_blocks"), end, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
+    tail = cut(F.col("_blocks"), F.col("_upto.last"), F.length("text"))
+    redacted = F.when(F.size("_sorted") > 0, F.concat(F.array_join(said, ""), tail)).otherwise(F.col("text"))
+    return d.withColumn("redacted", redacted).select(*[F.col(f"`{c}`") for c in found.columns], "redacted")
 
 
 def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
