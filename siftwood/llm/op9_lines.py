@@ -38,7 +38,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def line_rows(text: str | None, min_words: int = MIN_WORDS, units=WORDS) -> list[tuple[int, int, int, list[int]]]:
+def line_rows(text: str | None, min_words: int = MIN_WORDS, units=WORDS, edit_words: int = EDIT_WORDS) -> list[tuple[int, int, int, list[int]]]:
     """(line number, 128-bit hash as two longs, half keys) of each line of min_words or more words.
 
     Edits are of units, which are words or what the caller puts for them.  A line of n has half keys for itself and for the lines of n - 1 words it may have
@@ -53,7 +53,7 @@ def line_rows(text: str | None, min_words: int = MIN_WORDS, units=WORDS) -> list
         words = words if units is WORDS else units(line)
         n = len(words)
         keys = []
-        if n >= EDIT_WORDS:
+        if n >= edit_words:
             for m in (n, n - 1):
                 h = m // 2
                 keys.append(_signed(xxhash.xxh3_64_intdigest(" ".join(words[:h]), 2 * m)))
@@ -100,14 +100,14 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
-def _distinct_lines(docs: DataFrame, min_words: int, units) -> DataFrame:
+def _distinct_lines(docs: DataFrame, min_words: int, units, edit_words: int) -> DataFrame:
     """(h1, h2, doc, line, keys): each distinct line with its earliest place."""
 
     def run(batches):
         for batch in batches:
             doc, line, h1, h2, keys = [], [], [], [], []
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i, a, b, ks in line_rows(text, min_words, units):
+                for i, a, b, ks in line_rows(text, min_words, units, edit_words):
                     doc.append(d)
                     line.append(i)
                     h1.append(a)
@@ -168,11 +168,17 @@ def _near_equal(docs: DataFrame, lines: DataFrame, units) -> DataFrame:
     keys = common.map_arrow(texts.select("ord", "words"), emit, "key long, role byte, ord long")
     keys = common.materialise(keys, "line-variants")
     least = [F.min(F.when(F.col("role") == r, F.col("ord"))).alias(f"m{r}") for r in range(3)]
-    groups = keys.groupBy("key").agg(*least, F.max("ord").alias("last")).filter("(m0 IS NOT NULL AND m1 IS NOT NULL) OR m2 < last")
+    groups = keys.groupBy("key").agg(*least, F.max("ord").alias("last"), F.count(F.lit(1)).alias("n")).filter("(m0 IS NOT NULL AND m1 IS NOT NULL) OR m2 < last")
+    groups = common.materialise(groups, "line-groups")
     witness = F.when(F.col("role") == 0, F.col("m1")).when(F.col("role") == 1, F.col("m0")).otherwise(F.col("m2"))
-    pairs = keys.join(groups, "key").select("ord", witness.alias("witness")).filter("witness < ord").groupBy("ord").agg(F.min("witness").alias("witness"))
-    sides = pairs.join(texts.select("ord", F.col("words").alias("a")), "ord").join(texts.select(F.col("ord").alias("witness"), F.col("words").alias("b")), "witness")
-    return common.map_arrow(sides.select("ord", "a", "b"), verify, "ord long").join(texts.select("ord", "doc", "line"), "ord").select("doc", "line").distinct()
+    met = common.join_unique(keys, groups.drop("n"), ["key"], common.hot_keys(groups.select("key", "n")))
+    # every key's witness is verified, so that one that only its hash has brought hides no other
+    pairs = common.materialise(met.select("ord", witness.alias("witness")).filter("witness < ord").distinct(), "line-pairs")
+    common.release(keys, groups)
+    hot = common.hot_keys(pairs.groupBy("witness").agg(F.count(F.lit(1)).alias("n")))
+    sides = pairs.join(texts.select("ord", F.col("words").alias("a")), "ord")
+    sides = common.join_unique(sides, texts.select(F.col("ord").alias("witness"), F.col("words").alias("b")), ["witness"], hot)
+    return common.map_arrow(sides.select("ord", "a", "b"), verify, "ord long").distinct().join(texts.select("ord", "doc", "line"), "ord").select("doc", "line").distinct()
 
 
 def _slices(batch, chars: int = 200_000):
@@ -187,30 +193,34 @@ def _slices(batch, chars: int = 200_000):
         at = end
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, every: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, every: bool = False, min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS) -> DataFrame:
     """Texts without lines that repeat an earlier line: the columns id, text, *keep, n_lines, n_removed.
 
     Earlier means a smaller (doc_id, line number).  A line goes if an earlier one has the same
-    words, or, from EDIT_WORDS words on, words at most one edit away; what becomes of the
-    earlier line does not matter.  Lines of under MIN_WORDS words stay,
+    words, or, from edit_words words on, words at most one edit away; what becomes of the
+    earlier line does not matter.  Lines of under min_words words stay,
     unless `every` line with a word is to take part; then a letter of a script without blanks
     is also a word of its own in the edit bound.  White space counts
     only between words.  A null text stays null (0 lines); rows with a null id stay as they
     are; rows that share an id stand at the same place, so repeats of a whole row are treated
-    alike.  An empty table gives an empty result.
+    alike.  An empty table gives an empty result.  Columns of docs that are not named are not
+    read, and kept ones may have any name but those of the result.
     """
     keep = keep or []
-    min_words, units = (1, UNITS) if every else (MIN_WORDS, WORDS)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    min_words, units = (1, UNITS) if every else (min_words, WORDS)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
     texts = docs.select("id", "text")
-    lines = common.materialise(_distinct_lines(texts, min_words, units), "lines")
+    lines = common.materialise(_distinct_lines(texts, min_words, units, edit_words), "lines")
     gone = common.materialise(_near_equal(texts, lines, units), "lines-near")
     kept = lines.select("doc", "line").join(gone, ["doc", "line"], "left_anti").groupBy("doc").agg(F.collect_list("line").alias("kept"))
     joined = docs.join(kept, docs["id"] == kept["doc"], "left")
-    split = F.split("text", "\n", -1)
     long_enough = f"{_W}+{_S}+" * (min_words - 1) + _W
-    stays = F.filter("all", lambda x, i: ~x.rlike(long_enough) | F.array_contains(F.coalesce("kept", F.array().cast("array<int>")), i))
-    out = joined.withColumn("all", split).withColumn("rest", F.when(F.col("id").isNull(), F.col("all")).otherwise(stays))
+    # the places of what stays, sorted, and then the lines at those places: no search for each line
+    short = F.filter(F.transform("all", lambda x, i: F.when(~x.rlike(long_enough), i)), lambda i: i.isNotNull())
+    own = F.filter(F.coalesce("kept", F.array().cast("array<int>")), lambda i: i < F.size("all"))  # another row of the id may have more lines
+    places = F.array_sort(F.array_union(short, own))
+    out = joined.withColumn("all", F.split("text", "\n", -1)).withColumn("places", F.when(F.col("id").isNotNull(), places))
+    out = out.withColumn("rest", F.when(F.col("id").isNull(), F.col("all")).otherwise(F.transform("places", lambda i: F.element_at("all", i + 1))))
     return out.select(
         F.col("id").alias(id_col),
         F.array_join("rest", "\n").alias(text_col),

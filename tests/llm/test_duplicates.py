@@ -1,5 +1,7 @@
 """Operators 7, 8 and 9 and the similarity groups against brute force."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -251,6 +253,24 @@ def test_repeated_rows_are_treated_alike(spark):
     assert op9_lines.dedup_lines(extra.filter("doc_id < 0")).count() == 0
 
 
+def test_a_document_of_a_hundred_thousand_lines(spark):
+    """Time in proportion to the lines: they would take minutes if each were searched for among the others."""
+    rows = [(1, "\n".join(f"line {i % 60_000} of many" for i in range(100_000))), (2, "line 5 of many\nx\nline 5 of"), (2, "other\nrows\nof\nthe\nsame\nid")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.perf_counter()
+    got = {(r.doc_id, r.n_lines): (r.n_removed, r.text) for r in op9_lines.dedup_lines(docs).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1, 100_000][0] == 40_000 and got[1, 100_000][1].split("\n") == [f"line {i} of many" for i in range(60_000)]
+    assert got[2, 3] == (1, "x\nline 5 of")
+
+
+def test_line_bounds_are_parameters(spark):
+    docs = spark.createDataFrame([(1, "one two\na b c d e"), (2, "one two\na b x d e\na b c d e")], "doc_id long, text string")
+    got = lambda **kw: [r.text for r in op9_lines.dedup_lines(docs, **kw).orderBy("doc_id").collect()]
+    assert got() == ["one two\na b c d e", "one two\na b x d e"]
+    assert got(min_words=2, edit_words=5) == ["one two\na b c d e", ""]
+
+
 @pytest.mark.parametrize(("a", "b", "near"), [("a b c", "a b c", True), ("a b c", "a x c", True), ("a b c", "a b", True), ("a b", "a b c", True), ("a b c", "b c a", False), ("a b c d", "a b", False), ("", "a", True)])
 def test_one_edit(a, b, near):
     assert op9_lines.within_one(a.split(), b.split()) is near
