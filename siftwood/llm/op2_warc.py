@@ -1,8 +1,12 @@
 """Operator 2: WARC archives with revisit resolution.
 
-Headers (id, digest, length) are shuffled by payload digest to find the original of each
-repeated payload; the few originals are joined back, so that a repeat becomes a revisit
-record; the deduplicated archives are written with fresh headers and read back.
+Headers (id, target, digest, length) are shuffled by payload digest to find the original of
+each repeated payload, and the headers of repeats are joined to those, which makes them
+revisit records.  Payloads stay where they are: a filter of bounded size tells rows that
+surely repeat nothing, and they are written as read; a second one tells rows that are surely
+no original, and they need no payload.  What passes both, the originals and few others, is
+joined with its payload, and rows that the filters were wrong about are looked up at the end.
+The deduplicated archives are written with fresh headers and read back.
 
 Archives are written by Spark's text sink: a record ends with two line breaks, which is the
 sink's line separator, so the files are gzipped WARC 1.1, committed by the usual protocol on
@@ -16,10 +20,13 @@ separator could not pass unnoticed.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwood.operators.sizing import broadcast_if_small
+
 from . import common
 
 CRLF = "\r\n"
@@ -33,22 +40,56 @@ def _clean(c):
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x1F\x7F]", " ")
 
 
-def resolve_revisits(headers: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(digest, bytes, original) of payloads of at least least_bytes that several rows share.
+_KEY = ["payload_digest", "payload_bytes"]
+
+
+def resolve_revisits(headers: DataFrame) -> DataFrame:
+    """(digest, bytes, original, n) of payloads that n rows share, several.
 
     The original is the record of the largest id.  A partial aggregate: a digest that a
     third of all records share costs one row per task.
     """
-    big = headers.filter(F.col("payload_bytes") >= least_bytes)
-    return big.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND original IS NOT NULL").drop("n")
+    return headers.groupBy(*_KEY).agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND original IS NOT NULL")
+
+
+def resolved(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """(page_id, url, html, payload_digest, payload_bytes, original) of pages; original is null for what repeats nothing.
+
+    html is null where the row is a revisit.
+    """
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    p = p.withColumn("payload_digest", F.unhex(F.sha1(F.col("html").cast("binary")))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
+    columns, unknown = [*p.columns, "original"], F.lit(None).cast("long").alias("original")
+    headers = common.materialise(p.filter(F.col("payload_bytes") >= least_bytes).drop("html"), "warc-headers")
+    originals = common.materialise(resolve_revisits(headers), "warc-originals")
+    if not originals.limit(1).count():
+        return p.select(*p.columns, unknown)
+    hot = common.hot_keys(originals.select(*_KEY, "n"))
+    originals = originals.drop("n")
+    payload, record = F.xxhash64(*_KEY), F.xxhash64(*_KEY, "page_id")
+    repeated = common.key_filter(originals.select(payload.alias("h")))
+    original = common.key_filter(originals.select(F.xxhash64(*_KEY, "original").alias("h")))
+
+    def told(df: DataFrame) -> DataFrame:
+        told = common.with_filter(common.with_filter(df, repeated, payload, "repeats"), original, record, "is_original")
+        return told.withColumn("repeats", F.col("repeats") & (F.col("payload_bytes") >= least_bytes))
+
+    alone = told(p).filter("NOT repeats").select(*p.columns, unknown)
+    whole = common.join_unique(told(p).filter("repeats AND is_original").select(*p.columns), originals, _KEY, hot, "left")
+    others = common.join_unique(told(headers).filter("repeats AND NOT is_original").select(*headers.columns), originals, _KEY, hot, "left")
+    others = common.materialise(others, "warc-revisits")
+    revisits = others.filter("original IS NOT NULL").withColumn("html", F.lit(None).cast("string"))
+    parts = [alone, whole, revisits]
+    lost = common.materialise(others.filter("original IS NULL").select(*_KEY).distinct(), "warc-lost")  # the filter was wrong: they repeat nothing
+    if lost.limit(1).count():
+        sought = common.with_filter(told(p).filter("repeats AND NOT is_original"), common.key_filter(lost.select(payload.alias("h"))), payload, "lost")
+        parts.append(sought.filter("lost").select(*p.columns).join(broadcast_if_small(lost), _KEY, "left_semi").select(*p.columns, unknown))
+    return reduce(DataFrame.unionByName, [part.select(*columns) for part in parts])
 
 
 def to_records(pages: DataFrame, segment: str, date: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """One WARC record per page as a string column `value`, without its final line breaks."""
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    p = p.withColumn("payload_digest", F.sha1(F.col("html").cast("binary"))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
-    originals = resolve_revisits(p.select("page_id", "payload_digest", "payload_bytes"), least_bytes)
-    p = p.join(originals, ["payload_digest", "payload_bytes"], "left")
+    p = resolved(pages, least_bytes).withColumn("payload_digest", F.lower(F.hex("payload_digest")))
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, "html"))
