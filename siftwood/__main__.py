@@ -42,7 +42,7 @@ def main() -> None:
         engine = Engine(spark, a.root)
         print(json.dumps({"model": engine.model, **engine.build()}, indent=2))
     else:
-        print(json.dumps(engine.build() if a.command == "index" else engine.stats(), indent=2))
+        print(json.dumps({**engine.build(), "throughput": engine.throughput} if a.command == "index" else engine.stats(), indent=2))
 
 
 if __name__ == "__main__":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import STOPWORDS, clip, text_lines, words
+from .text import STOPWORDS, WORD, clip, split_identifiers, text_lines, words
 
 # What opens a definition, what is a nested one, and the limits of an outline.
 SIGNATURE = (
@@ -25,7 +25,10 @@ def stripped_lines(text: Column) -> Column:
 def matching_lines(lines: Column, query: Column, shown: Column) -> Column:
     """Up to two lines, in order, that share most query words (two at least) and aren't shown yet."""
     terms = F.array_distinct(F.filter(words(query), lambda t: (F.length(t) > 2) & ~t.isin(*STOPWORDS)))
-    scored = F.transform(lines, lambda x, i: F.struct((-F.size(F.array_intersect(words(x), terms))).alias("neg"), i.alias("at"), x.alias("line")))
+    # identifiers are split and lowered once for the whole text, not line by line
+    plain = F.split(F.lower(split_identifiers(F.array_join(lines, "\n"))), "\n", -1)
+    shared = lambda x: F.size(F.array_intersect(F.regexp_extract_all(x, F.lit(WORD), 0), terms))
+    scored = F.zip_with(lines, F.transform(plain, lambda x, i: F.struct((-shared(x)).alias("neg"), i.alias("at"))), lambda x, s: F.struct(s["neg"].alias("neg"), s["at"].alias("at"), x.alias("line")))
     best = F.slice(F.array_sort(F.filter(scored, lambda s: (s["neg"] <= -2) & ~F.array_contains(shown, s["line"]))), 1, MAX_MATCHES)
     ordered = F.array_sort(F.transform(best, lambda s: F.struct(s["at"].alias("at"), s["line"].alias("line"))))
     marked = F.transform(ordered, lambda s: F.concat(F.lit("… "), s["line"]))

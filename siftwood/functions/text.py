@@ -17,6 +17,7 @@ DOC_QUERY = r"(?i)\b(how (do|can|to)|docs?|documentation|guide|example|tutorial|
 TEST_QUERY = r"(?i)\btest"
 DEFINING = "def class function fn func struct interface trait type enum const let var".split()
 IMAGE = r"(?i)!\[[^\]]*\]\(|<img\b"
+WORD = r"[\p{L}\p{N}_]+"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 MAX_BYTES, MAX_PDF_BYTES, SNIFF_BYTES = 1_000_000, 25_000_000, 8192
 
@@ -42,7 +43,7 @@ def split_identifiers(s: Column) -> Column:
 
 def words(s: Column) -> Column:
     """Lower-case words of split identifiers: runs of letters, digits and underscores of any script."""
-    return F.regexp_extract_all(F.lower(split_identifiers(s)), F.lit(r"[\p{L}\p{N}_]+"), 0)
+    return F.regexp_extract_all(F.lower(split_identifiers(s)), F.lit(WORD), 0)
 
 
 def fold(s: Column) -> Column:

@@ -74,6 +74,7 @@ class Engine:
         name = model or os.environ.get("SIFTWOOD_MODEL") or self._config().get("model") or state.get("model") or "fast"
         self.embedder: Embedder = EMBEDDERS[name]
         self.model = name
+        self.throughput: dict[str, float] = {}  # of the last build: files, chunks, seconds, and both per second
 
     # -- state ---------------------------------------------------------------------------
 
@@ -128,6 +129,7 @@ class Engine:
         """
         if not self._state() and self.root in (Path.home(), Path(self.root.anchor)):
             raise ValueError(f"no project found at {self.root}")
+        began = time.perf_counter()
         current = corpus.manifest(self.spark, self.root).persist()
         state = self._current()
         known = self._table("files", state).filter("NOT deleted").select("path", "mtime", "size")
@@ -145,6 +147,8 @@ class Engine:
                 part = files.filter(inside)
                 state = self._store(state, batch, part, part.select("path").unionByName(gone.filter(inside)), chunk_files(corpus.read_files(self.root, part)))
             self._commit(state)
+            seconds, chunks = time.perf_counter() - began, self.chunks().join(changed, "path", "left_semi").count()
+            self.throughput = {"files": counts["changed"], "chunks": chunks, "seconds": round(seconds, 3), "files_per_second": round(counts["changed"] / seconds, 3), "chunks_per_second": round(chunks / seconds, 3)}
         for df in (current, changed, gone):
             df.unpersist()
         return counts

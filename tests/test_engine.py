@@ -49,6 +49,7 @@ def project(tmp_path):
 def test_search_finds_and_follows_edits(spark, project):
     engine = Engine(spark, project)
     assert engine.build() == {"changed": 7 - 1, "removed": 0, "files": 6}
+    assert engine.throughput["files"] == 6 and engine.throughput["chunks"] == engine.chunks().count() and engine.throughput["chunks_per_second"] > 0
     top = engine.search("rotate_keys", 3).orderBy("place").collect()
     assert top[0].path == "src/vault.py" and top[0].line_start <= 10 <= top[0].line_end
     assert "tests/test_vault.py" in {r.path for r in top}
