@@ -9,24 +9,33 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import regex
 
 from .pretoken import class_of, is_plain
 
-_plain_words = re.compile(f"[{class_of('L')}]+").findall
-_words = regex.compile(r"\p{L}+").findall
+_plain_words, _words = re.compile(f"[{class_of('L')}]+"), regex.compile(r"\p{L}+")
 #: Fitting: lexicon words per language, features kept, words per training sequence and per stretch of one language.
 LEXICON, FEATURES, SEQUENCE, STRETCH = 400, 120_000, 120, 24
 BLOCK = 32
+#: A text of more characters is judged in parts of so many words.
+LONG_CHARS, PART_WORDS = 1_000_000, 100_000
+
+
+def word_parts(text: str, count: int) -> Iterator[list[str]]:
+    """The words of words_of, `count` at a time."""
+    found = (_plain_words if is_plain(text) else _words).finditer(text.lower())
+    while part := [m[0] for m in islice(found, count)]:
+        yield part
 
 
 def words_of(text: str | None) -> list[str]:
     """Maximal runs of letters, lower-cased."""
     text = text or ""
-    return _plain_words(text.lower()) if is_plain(text) else _words(text.lower())
+    return (_plain_words if is_plain(text) else _words).findall(text.lower())
 
 
 def features_of(word: str, lexicon: dict[str, tuple[str, ...]]) -> list[str]:
@@ -69,9 +78,12 @@ class Crf:
         if total > len(self.held):
             self.held = np.concatenate([self.held[:first], np.zeros((2 * total - first, len(self.langs)))])
             self.known = np.concatenate([self.known[:first], np.zeros(2 * total - first)])
-        rows = [self.rows(w) for w in new]
+        get, rows = self.index.get, []
+        for place, w in enumerate(new, first):
+            named = features_of(w, self.lexicon)
+            rows.append([r for f in named if (r := get(f)) is not None])
+            self.known[place] = len(rows[-1]) / len(named)
         self.held[first:total] = emissions(rows, self.weights)
-        self.known[first:total] = [len(r) / len(features_of(w, self.lexicon)) for r, w in zip(rows, new, strict=True)]
         self.at.update(zip(new, range(first, total), strict=True))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, int, float]]:
@@ -79,7 +91,14 @@ class Crf:
         return [x[:4] for x in self.judge(texts)]
 
     def judge(self, texts: list[str | None]) -> list[tuple[str, float, int, float, float]]:
-        """As predict, and the mean share of its words' features that fitting saw."""
+        """As predict, and the mean share of its words' features that fitting saw.
+
+        A text of over LONG_CHARS is taken in parts, which gives the same and holds one part.
+        """
+        long = {i for i, t in enumerate(texts) if t and len(t) > LONG_CHARS and self.langs}
+        if long:
+            rest = iter(self.judge([t for i, t in enumerate(texts) if i not in long]))
+            return [self.judge_long(t) if i in long else next(rest) for i, t in enumerate(texts)]
         words = [words_of(t) for t in texts]
         none = ("und", 0.0, 0, 0.0, 0.0)
         if not self.langs:
@@ -99,6 +118,33 @@ class Crf:
                 out[i] = (self.langs[b], min(1.0, float(s[b]) / n), n, 1.0 - float(v[b]) / n, f / n)
         return out
 
+    def judge_long(self, text: str) -> tuple[str, float, int, float, float]:
+        """judge of one text in two passes over its parts: how each carries belief on, then the marginals inside each."""
+
+        def parts():
+            for words in word_parts(text, PART_WORDS):
+                self.learn(words)
+                ids = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+                yield self.held[ids], float(self.known[ids].sum())
+
+        states = len(self.langs)
+        carried = [stretch(scores, self.trans) for scores, _ in parts()]
+        if not carried:
+            return "und", 0.0, 0, 0.0, 0.0
+        behind = [np.ones(states)]
+        for p in carried[:0:-1]:
+            v = p @ behind[-1]
+            behind.append(v / v.max())
+        behind.reverse()
+        ahead, sums, votes, n, known = np.full(states, 1.0 / states), np.zeros(states), np.zeros(states, np.int64), 0, 0.0
+        for (scores, seen), p, after in zip(parts(), carried, behind, strict=True):
+            s, v = marginals(scores, self.trans, np.array([len(scores)]), before=ahead, after=after)
+            sums, votes, n, known = sums + s[0], votes + v[0], n + len(scores), known + seen
+            ahead = ahead @ p
+            ahead /= ahead.sum()
+        best = int(sums.argmax())
+        return self.langs[best], min(1.0, float(sums[best]) / n), n, 1.0 - float(votes[best]) / n, known / n
+
     def label_words(self, text: str | None) -> list[tuple[str, str, float]]:
         """(word, language, marginal probability) of every word of a text."""
         words = words_of(text)
@@ -120,13 +166,33 @@ def emissions(rows: list[list[int]], weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def marginals(scores: np.ndarray, trans: np.ndarray, sizes: np.ndarray, full: bool = False):
+def stretch(scores: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The product of a stretch's step matrices, scaled: what it makes of the belief it starts with."""
+    states = scores.shape[1]
+    t, e = np.exp(trans), np.exp(scores - scores.max(axis=1, keepdims=True)) + 1e-30
+    count = -(-len(e) // BLOCK)
+    x = np.ones((count * BLOCK, states))
+    x[: len(e)] = e
+    x, live = x.reshape(count, BLOCK, states), (np.arange(count * BLOCK) < len(e)).reshape(count, BLOCK)
+    p = np.broadcast_to(np.eye(states), (count, states, states))
+    for k in range(BLOCK):
+        step = (p.reshape(-1, states) @ t).reshape(p.shape) * x[:, k, None, :]
+        p = np.where(live[:, k, None, None], step / step.max(axis=(1, 2), keepdims=True), p)
+    out = p[0]
+    for block in p[1:]:
+        out = out @ block
+        out = out / out.max()
+    return out
+
+
+def marginals(scores: np.ndarray, trans: np.ndarray, sizes: np.ndarray, full: bool = False, before: np.ndarray | None = None, after: np.ndarray | None = None):
     """Forward-backward over sequences laid end to end (sizes >= 1), exact.
 
     Sequences are cut into blocks.  The products of each block's step matrices are taken for
     all blocks at once, then forward and backward vectors pass from block to block, then all
     blocks are run inside; so a very long text costs steps of its blocks, not of its words.
     Returns sums of marginals and counts of best labels per sequence, or with full all marginals.
+    before and after are what the rest of the text says where a single sequence is part of one.
     """
     n, states = scores.shape
     t = np.exp(trans)
@@ -152,6 +218,8 @@ def marginals(scores: np.ndarray, trans: np.ndarray, sizes: np.ndarray, full: bo
         product[several] = p
     ahead = np.full((total, states), 1.0 / states)
     behind = np.ones((total, states))
+    if before is not None:
+        ahead[0], behind[-1] = before, after
     for j in range(1, int(per.max())):
         b = first_block[per > j] + j
         a = np.einsum("bi,bij->bj", ahead[b - 1], product[b - 1])

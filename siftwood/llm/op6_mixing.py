@@ -71,9 +71,12 @@ def find_exponent(shares: DataFrame, repetition: float | None = REPETITION, entr
     return high
 
 
-def mix_sources(docs: DataFrame, repetition: float | None = REPETITION, entropy: float | None = None, budget: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, repetition: float | None = REPETITION, entropy: float | None = None, budget: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", boxed: bool = False) -> DataFrame:
     """docs with the columns mix_tokens, mix_weight and mix_copies added.
 
+    Columns of docs of those names are replaced; boxed, all columns of docs stay, in one
+    struct `own`.
+
     mix_copies is how often a document is used.  budget is the tokens of the mixture; by
     default the least that uses every document, so nothing is dropped and small sources are
     repeated.  A null source is a source of its own; a null or empty text has no tokens; a
@@ -119,7 +122,9 @@ def mix_sources(docs: DataFrame, repetition: float | None = REPETITION, entropy:
     named = docs.select(own, tokens.alias("mix_tokens"), key.alias("key"), at.alias("at"))
     extra = F.col("last").isNull() | (block < F.col("last")) | ((block == F.col("last")) & (F.col("at") <= F.col("cut")))
     copies = F.col("whole") + F.when((F.col("rest") > 0) & F.coalesce(extra, F.lit(False)), 1).otherwise(0)
-    return with_plan(named, final).select("own.*", "mix_tokens", F.col("weight").alias("mix_weight"), copies.cast("long").alias("mix_copies"))
+    added = {"mix_tokens": F.col("mix_tokens"), "mix_weight": F.col("weight"), "mix_copies": copies.cast("long")}
+    mine = [F.col("own")] if boxed else [F.col(f"own.`{c}`") for c in docs.columns if c not in added]
+    return with_plan(named, final).select(*mine, *[c.alias(name) for name, c in added.items()])
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

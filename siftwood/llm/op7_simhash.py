@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwood.operators.sizing import broadcast_if_small
+
 from . import common
 from .components import connected_components
 
@@ -174,19 +176,24 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, id_col: str =
     An empty table gives an empty result; other columns are not read.
     """
     own = common.materialise(fingerprints(docs, k, id_col, text_col).withColumnRenamed(id_col, "id"), "simhash")
-    nodes = common.materialise(own.filter("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("node")), "simhash-nodes")
+    known = own.filter("id IS NOT NULL")
+    nodes = common.materialise(known.groupBy("fp").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
+    hot = common.hot_keys(nodes.select("fp", "n"))  # that of all blank texts, for one
     # one document may stand under several ids; one id with several texts joins their groups
-    same = own.filter("id IS NOT NULL").join(nodes, "fp").filter("id <> node").select(F.greatest("id", "node").alias("a"), F.least("id", "node").alias("b"))
-    twice = own.filter("id IS NOT NULL").select("id", "fp").distinct().groupBy("id").count().filter("count > 1").select(F.col("id").alias("a"))
-    links = fingerprint_links(nodes, radius, block_count(nodes.count(), radius)).union(same.join(twice, "a", "left_semi"))
+    twice = known.select("id", "fp").distinct().groupBy("id").count().filter("count > 1").select("id")
+    same = common.join_unique(known.join(twice, "id", "left_semi"), nodes.select("fp", "node"), ["fp"], hot).filter("id <> node")
+    same = same.select(F.greatest("id", "node").alias("a"), F.least("id", "node").alias("b")).distinct()
+    links = fingerprint_links(nodes.select("node", "fp"), radius, block_count(nodes.count(), radius)).union(same)
     found = connected_components(links)
     label = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return own.join(label, "fp", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    out = common.join_unique(own, label, ["fp"], hot, "left")
+    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Documents whose shingles tell which are frequent, how many frequent ones are known at most, and how the pivots of a shard grow by round.
+#: Documents whose shingles tell which are frequent: so many at least, and a share of all, so that shards are as small at any size;
+#: how many frequent ones are known at most, and how the pivots of a shard grow by round.
 #: These set the cost alone: any order of the shingles finds every link.
-SAMPLE, FREQUENT, GROWTH = 10_000, 200_000, 4
+SAMPLE, SHARE, FREQUENT, GROWTH = 10_000, 1 / 32, 1_000_000, 16
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -216,6 +223,31 @@ def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray, counts:
     return hashes[order[: n - ceil(similarity * n - 1e-9) + 1]]
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """A bitmap of a set: each hash flips the bit its low end names; as many bits as hashes, rounded up to a power of two, 64 at least.
+
+    Bitmaps of two sets differ in no more bits than the sets differ in elements, so too many
+    differing bits prove that the sets are not similar; nothing similar is passed over.
+    """
+    bits = 1 << max(6, int(max(len(hashes), 1) - 1).bit_length())
+    flips = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
+def differing(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Bits in which the bitmaps of each pair differ, the longer one folded to the size of the other."""
+    out = np.zeros(len(a), np.int64)
+    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    for m, n in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes[:, 0] == m) & (sizes[:, 1] == n))
+        x, y = (np.frombuffer(b"".join([side[i] for i in at]), np.uint64).reshape(len(at), -1) for side in (a, b))
+        while x.shape[1] != y.shape[1]:
+            half = max(x.shape[1], y.shape[1]) // 2
+            x, y = (z[:, :half] ^ z[:, half:] if z.shape[1] > half else z for z in (x, y))
+        out[at] = np.bitwise_count(x ^ y).sum(axis=1)
+    return out
+
+
 def pivot_pairs(batches, pivots: int, possible, schema):
     """Rows (key, node, size, at), sorted by key: each with those of the first `pivots` rows of its key that stand before it.
 
@@ -236,8 +268,11 @@ def pivot_pairs(batches, pivots: int, possible, schema):
         start = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
         within = np.arange(len(key)) - start
         real = within + np.where(start == 0, offset - old, 0) if old else within  # the place in the key: rows between pivots and batch were let go
-        for s in range(min(pivots, int(within.max()))):
-            rows = np.nonzero((within > s) & (np.arange(len(key)) >= old))[0]
+        rows = np.arange(old, len(key))
+        for s in range(pivots):
+            rows = rows[within[rows] > s]
+            if not len(rows):
+                break
             got = possible([c[rows] for c in cols], [c[start[rows] + s] for c in cols], real[rows])
             if got is not None and len(got[0]):
                 yield pa.RecordBatch.from_arrays([g if isinstance(g, pa.Array) else pa.array(g) for g in got], schema)
@@ -246,18 +281,12 @@ def pivot_pairs(batches, pivots: int, possible, schema):
         place = int(real[-1]) + 1
 
 
-def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of texts whose sets of k-word shingles have a Jaccard similarity of `similarity` or more: (doc_id, component_id).
+def similar_nodes(docs: DataFrame, k: int, similarity: float, id_col: str, text_col: str, join_ids: bool) -> tuple[DataFrame, DataFrame]:
+    """Similar texts as (id, node) of every row and (node, id, n, group) of every node that has an id.
 
-    Exact up to equal 64-bit hashes.  Sets as similar as that share a shingle in their
-    prefixes (see there), so those are the shards here.  Frequent shingles, as a bounded
-    sample tells them, come last in the order, so a passage that many texts share makes no
-    shard unless it is nearly all of a text.  In a shard the sets are compared with its first
-    one, on the whole sets; what that joins needs no comparing with each other.  Shards with
-    several groups left are searched on from their next sets, GROWTH times as many a round,
-    until every two sets of a shard are in one group, compared, or too far apart by their
-    sizes and the places of the shared shingle.  Equal sets are one node from the start.
-    Texts without words are equal.  Nulls, repeats and empty tables as in near_duplicates.
+    A node is a set of shingles, its id the smallest that has it, n the rows that have it, its group the least node
+    that can be reached; with join_ids also from one text of an id to its others.  See
+    similar_groups for how.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -269,7 +298,7 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["hash"])
 
     rows = texts.filter("id IS NOT NULL")
-    share = SAMPLE / max(1, rows.count())
+    share = max(SHARE, SAMPLE / max(1, rows.count()))
     drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit("similar sample")), F.lit(1 << 30)) < share * (1 << 30))
     seen = common.map_arrow(drawn, hashes_of, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
     seen = seen.orderBy(F.desc("n"), "hash").limit(FREQUENT).toArrow()
@@ -279,20 +308,24 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col:
 
     def sketch(batches):
         for batch in batches:
-            sets, sizes, keys = [], [], []
+            nodes, sizes, bitmaps, keys = [], [], [], []
             for t in batch.column(1).to_pylist():
                 h = shingle_set(t, k)
-                sets.append(set_digest(h))
+                nodes.append(set_digest(h))
                 sizes.append(len(h))
+                bitmaps.append(parity(h))
                 keys.append(prefix(h, similarity, *frequent.value).view(np.int64))
             ends = np.cumsum([0, *map(len, keys)])
             keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.int64()), pa.array(sizes, pa.int32()), keys], ["id", "node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bitmaps, pa.binary()), keys], ["id", "node", "size", "bits", "keys"])
 
     def enough(x, y):
-        """Whether sets of these sizes, with the shared shingle at these places, can be similar; columns key, node, size, at."""
+        """Whether sets of these sizes can be similar if this shingle, at these places, is the first they share; columns key, node, size, at.
+
+        It need not be: then they meet in the shard of the one that is, and are judged there.
+        """
         nx, ny, i, j = (c.astype(np.int64) for c in (x[2], y[2], x[3], y[3]))
-        most = np.minimum(i, j) + 1 + np.minimum(nx - i - 1, ny - j - 1)
+        most = np.minimum(nx - i, ny - j)
         return most >= similarity * (nx + ny - most) - 1e-9
 
     def first_round(batches):
@@ -303,13 +336,28 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col:
 
         yield from pivot_pairs(batches, 1, possible, ["key", "node", "size", "at", "place", "pivot"])
 
+    most = (1 - similarity) / (1 + similarity)
+
+    def close(m, x, n, y):
+        """Whether bitmaps differ by no more than similar sets of these sizes may."""
+        return differing(x, y) <= (np.array(m, np.int64) + np.array(n, np.int64)) * most + 1e-9
+
     def further_round(pivots):
+        """Pairs of rows with columns key, node, size, at, group, bits."""
+
         def possible(x, y, place):
-            keep = enough(x, y) & (x[4] != y[4])
+            keep = np.flatnonzero(enough(x, y) & (x[4] != y[4]))
+            keep = keep[close(*(c[keep].tolist() for c in (x[2], x[5], y[2], y[5])))]
             return [np.maximum(x[1], y[1])[keep], np.minimum(x[1], y[1])[keep]]
 
         return lambda batches: pivot_pairs(batches, pivots, possible, ["a", "b"])
 
+    def not_ruled_out(batches):
+        """Pairs (a, b, size, bits, size, bits) whose bitmaps are close."""
+        for batch in batches:
+            keep = pa.array(close(*(batch.column(j).to_pylist() for j in range(2, 6))))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
     def sets(batches):
         for batch in batches:
             found = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
@@ -325,25 +373,37 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col:
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    own = common.materialise(common.map_arrow(texts, sketch, "id long, node long, size int, keys array<long>"), "similar")
+    sketched = common.materialise(common.map_arrow(texts, sketch, "id long, node long, size int, bits binary, keys array<long>"), "similar")
+    own = common.materialise(sketched.select("id", "node"), "similar-own")
     known = own.filter("id IS NOT NULL")
-    nodes = common.materialise(known.groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys")), "similar-nodes")
-    # one id with several texts joins their groups
-    several = known.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b <> last").select("id", "b")
-    links = common.materialise(known.join(several, "id").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "similar-links")
-
-    def verified(pairs):
-        pairs = common.materialise(pairs.distinct(), "similar-pairs")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "id"), "node").select("id").distinct()
-        wide = common.map_arrow(texts.join(wanted, "id", "left_semi").select("id", "text"), sets, "node long, hashes array<long>")
+    firsts = [F.first(c).alias(c) for c in ("size", "bits", "keys")]  # the same for equal sets
+    nodes = common.materialise(sketched.filter("id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), *firsts), "similar-nodes")
+    common.release(sketched)
+    links = spark.createDataFrame([], "a long, b long")
+    if join_ids:
+        several = known.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b <> last").select("id", "b")
+        links = common.materialise(known.join(several, "id").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "similar-links")
+
+    def verified(pairs, judged):
+        """The similar ones of pairs (a, b); judged: their bitmaps are close."""
+        side = lambda n: nodes.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("bits").alias(f"bits_{n}"))
+        pairs = pairs.distinct()
+        if not judged:
+            pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "bits_a", "size_b", "bits_b")
+            pairs = common.map_arrow(pairs, not_ruled_out, "a long, b long")
+        near = common.materialise(pairs, "similar-pairs")
+        wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "id"), "node").select("id").distinct()
+        wide = common.map_arrow(texts.join(broadcast_if_small(wanted), "id", "left_semi").select("id", "text"), sets, "node long, hashes array<long>")
         wide = common.materialise(wide.dropDuplicates(["node"]), "similar-sets")
-        sides = pairs.join(wide.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(wide.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-        return common.materialise(common.map_arrow(sides.select("a", "b", "x", "y"), verify, "a long, b long"), "similar-links")
+        sides = near.join(wide.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(wide.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+        found = common.materialise(common.map_arrow(sides.select("a", "b", "x", "y"), verify, "a long, b long"), "similar-links")
+        common.release(near, wide)
+        return found
 
     shards = nodes.select("node", "size", F.posexplode("keys").alias("at", "key")).select("key", "node", "size", "at")
     shards = shards.repartition("key").sortWithinPartitions("key", "node")
     rest = common.materialise(common.map_arrow(shards, first_round, "key long, node long, size int, at int, place long, pivot long"), "similar-shards")
-    links = links.union(verified(rest.filter("pivot IS NOT NULL").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))))
+    links = links.union(verified(rest.filter("pivot IS NOT NULL").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")), False))
     done, pivots = 1, GROWTH
     while True:
         found = connected_components(links)
@@ -352,13 +412,65 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col:
         live = common.materialise(live.join(open_keys, "key", "left_semi"), "similar-open")
         if not live.limit(1).count():
             break
-        live = live.repartition("key").sortWithinPartitions("key", "place").select("key", "node", "size", "at", "group")
-        links = links.union(verified(common.map_arrow(live, further_round(pivots), "a long, b long")))
+        common.release(found)
+        near = live.join(nodes.select("node", "bits"), "node").repartition("key").sortWithinPartitions("key", "place").select("key", "node", "size", "at", "group", "bits")
+        links = links.union(verified(common.map_arrow(near, further_round(pivots), "a long, b long"), True))
+        common.release(rest)
+        rest = live.drop("group")
+        rest._scratch = live._scratch
         done, pivots = done + pivots, pivots * GROWTH
-    label = nodes.select("node", "id").join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("group"))
+    common.release(live, rest)
+    return own, nodes.select("node", "id", "n").join(found, "node", "left").select("node", "id", "n", F.coalesce("component", "node").alias("group"))
+
+
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of texts whose sets of k-word shingles have a Jaccard similarity of `similarity` or more: (doc_id, component_id).
+
+    Exact up to equal 64-bit hashes.  Sets as similar as that share a shingle in their
+    prefixes (see there), so those are the shards here.  Frequent shingles, as a bounded
+    sample tells them, come last in the order, so a passage that many texts share makes no
+    shard unless it is nearly all of a text.  In a shard the sets are compared with its first
+    one: by size and place of the shared shingle, then by their bitmaps, and what neither
+    rules out on the whole sets; what that joins needs no comparing with each other.  Shards
+    with several groups left are searched on from their next sets, GROWTH times as many a
+    round, until every two sets of a shard are in one group, compared, or ruled out.  Equal
+    sets are one node from the start.  Texts without words are equal.  One id with several
+    texts joins their groups.  Nulls, repeats and empty tables as in near_duplicates.
+    """
+    own, label = similar_nodes(docs, k, similarity, id_col, text_col, True)
+    hot = common.hot_keys(label.select("node", "n"))
     least = label.groupBy("group").agg(F.min("id").alias("component_id"))
     label = label.join(least, "group").select("node", "component_id")
-    return own.select("id", "node").join(label, "node", "left").select(F.col("id").alias(id_col), "component_id")
+    return common.join_unique(own, label, ["node"], hot, "left").select(F.col("id").alias(id_col), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document left of each group of similar texts (see similar_groups): that of the smallest id.
+
+    Rows that share an id are documents of their own if their texts are not similar: none
+    goes but for its text.  Of rows alike in id and shingles one stays, the same on every run.
+    Rows with a null id stay as they are.  Texts without words are alike, so one of them
+    stays.  Any other columns pass through, whatever their names.  Empty tables stay empty.
+    """
+    own, label = similar_nodes(docs, k, similarity, id_col, text_col, False)
+    keep = common.materialise(label.groupBy("group").agg(F.min(F.struct("id", "node")).alias("r")).select("r.id", "r.node"), "similar-kept")
+    ids = own.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    twice = common.materialise(ids.filter("n > 1").select("id"), "similar-twice")
+    gone = ids.join(keep, "id", "left_anti").select("id").union(twice).distinct()
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    clear = boxed.join(broadcast_if_small(gone), "id", "left_anti").select("own.*")
+    if not twice.limit(1).count():
+        return clear
+
+    def node_of(batches):
+        for batch in batches:
+            made = [set_digest(shingle_set(t, k)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.int64())], ["own", "id", "node"])
+
+    shape = boxed.select("own").schema.simpleString()[len("struct<own:") : -1]
+    alike = common.map_arrow(boxed.join(broadcast_if_small(twice), "id", "left_semi").select("own", "id", "text"), node_of, f"own {shape}, id long, node long")
+    one = alike.groupBy("id", "node").agg(F.min_by("own", F.sha2(F.to_json("own"), 256)).alias("own")).join(keep, ["id", "node"], "left_semi")
+    return clear.unionByName(one.select("own.*"))
 
 
 def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwood.functions.text import let
+
 from . import common
 
 #: Lines of fewer words than MIN_WORDS stay, unless the caller takes them in; from EDIT_WORDS on near-equal lines count, below only equal ones.
@@ -29,6 +31,7 @@ _W, _S = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
 #: Letters of scripts that put no blanks between words: Thai, Lao, Myanmar, Khmer, kana, Han.
 _UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF"
 UNITS = re.compile(f"[{_UNSPACED}]|[^\\x20\\x09-\\x0D{_UNSPACED}]+").findall
+HAS_UNSPACED = re.compile(f"[{_UNSPACED}]").search
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -45,6 +48,8 @@ def line_rows(text: str | None, min_words: int = MIN_WORDS, units=WORDS, edit_wo
     grown from: both name the shorter length, and which half.
     """
     out = []
+    if units is UNITS and not HAS_UNSPACED(text or ""):
+        units = WORDS
     for i, line in enumerate((text or "").split("\n")):
         words = WORDS(line)
         if len(words) < min_words:
@@ -193,14 +198,15 @@ def _slices(batch, chars: int = 200_000):
         at = end
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, every: bool = False, min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, every: bool = False, drop_emptied: bool = False, min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS) -> DataFrame:
     """Texts without lines that repeat an earlier line: the columns id, text, *keep, n_lines, n_removed.
 
     Earlier means a smaller (doc_id, line number).  A line goes if an earlier one has the same
     words, or, from edit_words words on, words at most one edit away; what becomes of the
     earlier line does not matter.  Lines of under min_words words stay,
     unless `every` line with a word is to take part; then a letter of a script without blanks
-    is also a word of its own in the edit bound.  White space counts
+    is also a word of its own in the edit bound.  With `every`, drop_emptied leaves out
+    documents that had a word and have none left.  White space counts
     only between words.  A null text stays null (0 lines); rows with a null id stay as they
     are; rows that share an id stand at the same place, so repeats of a whole row are treated
     alike.  An empty table gives an empty result.  Columns of docs that are not named are not
@@ -213,14 +219,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = common.materialise(_distinct_lines(texts, min_words, units, edit_words), "lines")
     gone = common.materialise(_near_equal(texts, lines, units), "lines-near")
     kept = lines.select("doc", "line").join(gone, ["doc", "line"], "left_anti").groupBy("doc").agg(F.collect_list("line").alias("kept"))
-    joined = docs.join(kept, docs["id"] == kept["doc"], "left")
+    joined, split = docs.join(kept, docs["id"] == kept["doc"], "left"), F.split("text", "\n", -1)
+    if drop_emptied:
+        left = F.coalesce(F.array_min("kept") < F.size(split), F.lit(False))
+        joined = joined.filter(F.col("id").isNull() | F.col("text").isNull() | left | ~F.col("text").rlike(_W))
     long_enough = f"{_W}+{_S}+" * (min_words - 1) + _W
-    # the places of what stays, sorted, and then the lines at those places: no search for each line
-    short = F.filter(F.transform("all", lambda x, i: F.when(~x.rlike(long_enough), i)), lambda i: i.isNotNull())
-    own = F.filter(F.coalesce("kept", F.array().cast("array<int>")), lambda i: i < F.size("all"))  # another row of the id may have more lines
-    places = F.array_sort(F.array_union(short, own))
-    out = joined.withColumn("all", F.split("text", "\n", -1)).withColumn("places", F.when(F.col("id").isNotNull(), places))
-    out = out.withColumn("rest", F.when(F.col("id").isNull(), F.col("all")).otherwise(F.transform("places", lambda i: F.element_at("all", i + 1))))
+    positions = F.coalesce("kept", F.array().cast("array<int>"))
+
+    def staying(lines):
+        # the places of what stays, sorted, and then the lines at those places: no search for each line
+        short = F.filter(F.transform(lines, lambda x, i: F.when(~x.rlike(long_enough), i)), lambda i: i.isNotNull())
+        own = F.filter(positions, lambda i: i < F.size(lines))  # another row of the id may have more lines
+        return F.transform(F.sort_array(F.array_union(short, own)), lambda i: F.element_at(lines, i + 1))
+
+    # bound by let, so that no plan that moves a filter below can split the text again for each line
+    rest = F.when(F.col("id").isNull(), split).otherwise(let(split, staying))
+    out = joined.withColumn("all", split).withColumn("rest", rest)
     return out.select(
         F.col("id").alias(id_col),
         F.array_join("rest", "\n").alias(text_col),

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwood.llm import op7_simhash, op8_quality, op9_lines
+from siftwood.llm import common, op7_simhash, op8_quality, op9_lines
 from siftwood.llm.components import connected_components
 
 
@@ -131,6 +131,43 @@ def test_similar_sets_of_other_repeat_counts(spark):
     assert {r.doc_id: r.component_id for r in op7_simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_bitmaps_rule_out_nothing_similar():
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(0, 1 << 62, int(n), dtype=np.uint64)) for n in rng.integers(0, 700, 40)]
+    sets += [np.unique(np.r_[s[: int(len(s) * 0.9)], t[:5]]) for s, t in zip(sets, sets[1:], strict=False)]
+    a, b = [s for s in sets for _ in sets], sets * len(sets)
+    found = op7_simhash.differing([op7_simhash.parity(x) for x in a], [op7_simhash.parity(y) for y in b])
+    apart = np.array([len(np.setxor1d(x, y)) for x, y in zip(a, b, strict=True)])
+    assert (found <= apart).all() and np.median(found[apart > 200]) > 100
+
+
+def test_hubs_and_hot_groups_change_nothing(spark, monkeypatch):
+    """Stars, chains, blank texts and repeated ids, with every key of two rows or more taken for hot."""
+    monkeypatch.setattr(common, "LEAST_HOT", 2)
+    links = [(i, 0) for i in range(1, 40)] + [(100 + i + 1, 100 + i) for i in range(30)] + [(200, 39), (200, 130), (300, 301)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in (*range(40), *range(100, 131), 200)}, 300: 300, 301: 300}
+    text = "one two three four five six seven eight nine ten"
+    rows = [(i, None if i % 2 else "") for i in range(20)] + [(30 + i, text) for i in range(5)] + [(30, text + " eleven"), (None, text), (None, ""), (31, ""), (50, "other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = [sorted(map(str, f(docs).collect())) for f in (op7_simhash.near_duplicates, op7_simhash.similar_groups, op7_simhash.drop_near_copies)]
+    monkeypatch.undo()
+    assert hot == [sorted(map(str, f(docs).collect())) for f in (op7_simhash.near_duplicates, op7_simhash.similar_groups, op7_simhash.drop_near_copies)]
+
+
+def test_repeated_ids_keep_their_texts(spark):
+    """Texts that share an id are documents of their own; of rows alike in id and text one stays."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(20)) for w in "abc")
+    kind = "doc_id long, text string, own string, id string, node string"
+    rows = [(1, a, "x", "1", "n"), (1, a, "x", "1", "n"), (1, b, "x", "2", "n"), (2, a + " more", "y", "3", "n"), (3, c, "z", None, None), (3, c + " more", "z", "5", "n"), (None, a, "w", "6", "n"), (4, None, None, None, None), (5, "  ", None, None, None)]
+    got = op7_simhash.drop_near_copies(spark.createDataFrame(rows, kind))
+    assert got.columns == ["doc_id", "text", "own", "id", "node"]
+    left = sorted((r.doc_id or 0, r.text or "", r.own or "", r.id or "") for r in got.collect())
+    one = [x for x in left if x[0] == 3]
+    assert len(one) == 1 and one[0][1] in (c, c + " more")
+    assert [x for x in left if x[0] != 3] == [(0, a, "w", "6"), (1, a, "x", "1"), (1, b, "x", "2"), (4, "", "", "")]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(1000, 999), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in connected_components(links).collect()}
