@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -32,10 +34,27 @@ def ship_package(spark: SparkSession) -> None:
 BATCH_BYTES, _SETTING, _DEFAULT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
+def hand_back() -> None:
+    """Give the memory that this process holds but does not use back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library, which has no such call
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """df.mapInArrow, on executors that have this package and in batches of bounded size."""
+    """df.mapInArrow, on executors that have this package and in batches of bounded size.
+
+    Workers are used again by the stages that follow, so each task ends with handing memory back.
+    """
     spark = df.sparkSession
     ship_package(spark)
     if spark.conf.get(_SETTING) == _DEFAULT:
         spark.conf.set(_SETTING, str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        yield from fn(batches)
+        hand_back()
+
+    return df.mapInArrow(run, schema)
