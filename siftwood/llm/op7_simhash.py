@@ -15,7 +15,8 @@ near copies costs about a path each.
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
+from itertools import combinations, islice
 from math import ceil
 
 import numpy as np
@@ -32,22 +33,28 @@ from .components import connected_components
 BITS = 64
 
 
-def shingles(text: str | None, k: int) -> list[bytes]:
+def shingles(text: str | None, k: int) -> Iterator[bytes]:
     """k-word shingles of a text, A-Z lower-cased; fewer words: the whole sequence; none: no shingle."""
     words = (text or "").encode().lower().split()
     if len(words) <= k:
-        return [b" ".join(words)] if words else []
-    return [b" ".join(ws) for ws in zip(*(words[i:] for i in range(k)), strict=False)]
+        return iter([b" ".join(words)] if words else [])
+    return map(b" ".join, zip(*(islice(words, i, None) for i in range(k)), strict=False))
+
+
+def hashes_in(text: str | None, k: int, count: int = 1 << 16) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, repeats included, `count` at a time: no more of a long text's are held as objects."""
+    digest, found = xxhash.xxh64_intdigest, shingles(text, k)
+    while len(part := np.array([digest(s, 42) for s in islice(found, count)], dtype="<u8")):
+        yield part
 
 
 def fingerprint(text: str | None, k: int = 3) -> int:
     """A bit is 1 if set in over half the shingle hashes; without words 0."""
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, 42) for s in shingles(text, k)], dtype="<u8")
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 4096):
-        ones += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > len(hashes)).astype(np.uint8)
+    ones, n = np.zeros(BITS, np.int64), 0
+    for hashes in hashes_in(text, k, 4096):
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    bits = (2 * ones > n).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
@@ -198,7 +205,7 @@ SAMPLE, SHARE, FREQUENT, GROWTH = 10_000, 1 / 32, 1_000_000, 16
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct shingle hashes."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text, k)], np.uint64))
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *hashes_in(text, k)]))
 
 
 def set_digest(hashes: np.ndarray) -> int:
