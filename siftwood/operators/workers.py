@@ -6,11 +6,14 @@ import ctypes
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_kept: dict[str, Any] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -43,10 +46,25 @@ def hand_back() -> None:
         pass  # another C library, which has no such call
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What make() gives, made once a worker and kept for its tasks that name it; see map_arrow."""
+    if name not in _kept:
+        _kept[name] = make()
+        hand_back()
+    return _kept[name]
+
+
+def drop_kept(but: str | None = None) -> None:
+    """Let go of what tasks of other stages kept in this worker."""
+    for name in [n for n in _kept if n != but]:
+        del _kept[name]
+
+
+def map_arrow(df: DataFrame, fn, schema: str, keeps: str | None = None) -> DataFrame:
     """df.mapInArrow, on executors that have this package and in batches of bounded size.
 
-    Workers are used again by the stages that follow, so each task ends with handing memory back.
+    Workers are used again by the stages that follow, so each task ends with handing memory
+    back, and begins by letting go of all that was `kept` but for what it `keeps` itself.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -54,6 +72,7 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
         spark.conf.set(_SETTING, str(BATCH_BYTES))
 
     def run(batches):
+        drop_kept(keeps)
         yield from fn(batches)
         hand_back()
 
