@@ -14,6 +14,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterable
+from functools import cached_property
 
 import numpy as np
 import regex
@@ -206,14 +207,18 @@ class WordBpe:
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
     PLAIN = plain_pattern(r"'s|'t|'re|'ve|'m|'ll|'d|[<L>]+|[<N>]|[^<S><L><N>]+")
 
-    def __init__(self, path: str, cache_words: int = 250_000):
-        from tokenizers import Tokenizer
-
+    def __init__(self, path: str, cache_words: int = 120_000):
         self.model = BpeModel(path)
-        self.library = Tokenizer.from_file(path)
         self.from_byte_char = {c: b for b, c in enumerate(byte_alphabet())}
         self.cache = Memory(cache_words)  # word to ids, names and their number
 
+    @cached_property
+    def library(self):
+        """The library's own tokenizer, read at the first text that needs its normaliser."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.model.path)
+
     def words(self, text: str) -> list[str]:
         """Pre-tokens in NFC and lower case; white space only separates, so runs of it need no collapsing."""
         if text.isascii():

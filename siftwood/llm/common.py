@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.operators.scratch import materialise, release, scratch_path, shared_dir
-from siftwood.operators.workers import map_arrow, ship_package
+from siftwood.operators.workers import kept, map_arrow, ship_package
 
-__all__ = ["hot_keys", "join_unique", "key_filter", "map_arrow", "materialise", "release", "scratch_path", "shared_dir", "ship_package", "table", "with_filter"]
+__all__ = ["hot_keys", "join_unique", "kept", "key_filter", "map_arrow", "materialise", "release", "scratch_path", "shared_dir", "ship_package", "table", "with_filter"]
 
 #: A key is hot that has one in so many of all rows; there are no more hot keys than this, so they can be broadcast.
 #: Keys of fewer rows than LEAST_HOT are not, whatever their share.
@@ -27,7 +27,11 @@ def hot_keys(counts: DataFrame, count: str = "n") -> DataFrame | None:
     total = counts.agg(F.sum(count)).first()[0] or 0
     hot = counts.filter((F.col(count) >= LEAST_HOT) & (F.col(count) * HOT_KEYS > F.lit(total))).drop(count)
     rows = hot.collect()
-    return counts.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+    if not rows:
+        return None
+    # as literals: a frame made of local rows would start Python workers of their own on the executors
+    named = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, hot.schema, strict=True)]) for r in rows]
+    return counts.sparkSession.range(1).select(F.inline(F.array(*named)))
 
 
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:

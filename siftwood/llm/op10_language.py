@@ -16,7 +16,6 @@ SAMPLE_CHARS = 40_000
 #: Languages up to which their table is broadcast to the texts; beyond, the two are joined by shuffle.
 BROADCAST_LANGS = 50_000
 BATCH_CHARS = 1_500_000
-_models: dict[int, Crf] = {}
 
 
 def fold(id_col: str = "doc_id"):

@@ -12,14 +12,11 @@ from . import common
 from .bpe import WordBpe, sha256
 
 VOCABULARY = "word_bpe_49k.json"
-_coders: dict[str, WordBpe] = {}
 
 
 def coder(path: str) -> WordBpe:
     """One coder, and so one word cache, per worker process and vocabulary."""
-    if path not in _coders:
-        _coders[path] = WordBpe(path)
-    return _coders[path]
+    return common.kept(path, lambda: WordBpe(path))
 
 
 #: What a text can give: its ids, the decoded text, and the SHA-256 of the space-joined ids and of the decoded text.
@@ -61,7 +58,7 @@ def encode_texts(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids",
                 at = end
 
     narrow = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    return common.map_arrow(narrow, run, f"`{id_col}` long, n_tokens long, " + ", ".join(f"{name} {OUTPUTS[name]}" for name in outputs))
+    return common.map_arrow(narrow, run, f"`{id_col}` long, n_tokens long, " + ", ".join(f"{name} {OUTPUTS[name]}" for name in outputs), keeps=path)
 
 
 def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,15 +74,13 @@ class Counters:
                 yield sum(map(look, words)) + special
 
 
-_workers: dict[tuple, Counters] = {}
+def worker_name(path: str, key: str = "") -> str:
+    return f"counts {key} {path}"
 
 
 def worker(path: str, key: str = "", table=None) -> Counters:
     """One counter, and so one cache, per worker process, vocabulary and broadcast table."""
-    if (path, key) not in _workers:
-        _workers.clear()
-        _workers[path, key] = Counters(path, table() if table else None)
-    return _workers[path, key]
+    return common.kept(worker_name(path, key), lambda: Counters(path, table() if table else None))
 
 
 def frequent_pretokens(texts: DataFrame, path: str, frequent: int = FREQUENT, summary: int = SUMMARY) -> list[str]:
@@ -108,7 +106,7 @@ def frequent_pretokens(texts: DataFrame, path: str, frequent: int = FREQUENT, su
         items = [(k, v) for k, v in held.items() if len(k.encode()) <= LONGEST and "\x00" not in k]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in items], pa.string()), pa.array([v for _, v in items], pa.int64())], ["w", "n"])
 
-    found = common.map_arrow(texts, summarise, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    found = common.map_arrow(texts, summarise, "w string, n long", worker_name(path)).groupBy("w").agg(F.sum("n").alias("n"))
     return [r.w for r in found.orderBy(F.desc("n"), "w").limit(frequent).select("w").collect()]
 
 
@@ -146,7 +144,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
             sizes = [len((t or "").encode()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(list(w.count(texts)), pa.int64())], [id_col, "n_bytes", "n_tokens"])
 
-    out = common.map_arrow(narrow, run, f"`{id_col}` long, n_bytes long, n_tokens long")
+    out = common.map_arrow(narrow, run, f"`{id_col}` long, n_bytes long, n_tokens long", worker_name(path, key))
     return out.withColumn("over_limit", F.coalesce(F.col("n_tokens") > limit, F.lit(False)))
 
 

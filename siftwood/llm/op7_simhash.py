@@ -386,7 +386,7 @@ def similar_nodes(docs: DataFrame, k: int, similarity: float, id_col: str, text_
     firsts = [F.first(c).alias(c) for c in ("size", "bits", "keys")]  # the same for equal sets
     nodes = common.materialise(sketched.filter("id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), *firsts), "similar-nodes")
     common.release(sketched)
-    links = spark.createDataFrame([], "a long, b long")
+    links = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     if join_ids:
         several = known.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b <> last").select("id", "b")
         links = common.materialise(known.join(several, "id").filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "similar-links")
