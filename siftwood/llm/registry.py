@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_bpe, op2_warc, op3_ann, op4_pii, op10_language, op5_token_counts, op6_mixing, op7_simhash, op8_quality, op9_lines
+from . import op1_bpe, op2_warc, op3_ann, op4_pii, op10_language, op11_sentencepiece, op5_token_counts, op6_mixing, op7_simhash, op8_quality, op9_lines
 
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe.op1_bpe_encode_decode,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality.op8_quality_rules,
     "op9_line_dedup": op9_lines.op9_line_dedup,
     "op10_language_crf": op10_language.op10_language_crf,
+    "op11_sentencepiece": op11_sentencepiece.op11_sentencepiece,
 }
 ORACLES: dict[str, str] = {
     "op2_warc_revisits": op2_warc.ORACLE,

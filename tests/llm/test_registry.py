@@ -16,6 +16,7 @@ COLUMNS = {
     "op8_": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op9_": ["doc_id", "n_lines", "n_removed", "text_sha256"],
     "op10_": ["doc_id", "held_out", "lang_pred", "score"],
+    "op11_": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
 }
 
 
