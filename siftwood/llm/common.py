@@ -15,6 +15,11 @@ __all__ = ["hot_keys", "join_unique", "kept", "key_filter", "map_arrow", "materi
 HOT_KEYS, LEAST_HOT = 1000, 10_000
 #: A filter of keys: buckets of so many bits, as bitmap_construct_agg makes them; 8 MB in all, whatever the number of keys.
 FILTER_BUCKETS, BUCKET_BITS = 2048, 32768
+#: DuckDB SQL for the CRC-32 of an ASCII string {0}.
+CRC32_SQL = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)), "
+    "lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: xor(v >> 1, (v & 1) * 3988292384))))"
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

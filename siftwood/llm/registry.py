@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_bpe, op2_warc, op3_ann, op4_pii, op10_language, op11_sentencepiece, op5_token_counts, op6_mixing, op7_simhash, op8_quality, op9_lines
+from . import op1_bpe, op2_warc, op3_ann, op4_pii, op10_language, op11_sentencepiece, op12_prefix_trie, op13_repair, op5_token_counts, op6_mixing, op7_simhash, op8_quality, op9_lines
 
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe.op1_bpe_encode_decode,
@@ -16,10 +16,14 @@ QUERIES = {
     "op9_line_dedup": op9_lines.op9_line_dedup,
     "op10_language_crf": op10_language.op10_language_crf,
     "op11_sentencepiece": op11_sentencepiece.op11_sentencepiece,
+    "op12_prefix_trie": op12_prefix_trie.op12_prefix_trie,
+    "op13_structure_repair": op13_repair.op13_structure_repair,
 }
 ORACLES: dict[str, str] = {
     "op2_warc_revisits": op2_warc.ORACLE,
     "op6_source_mixing": op6_mixing.ORACLE,
     "op8_quality_rules": op8_quality.ORACLE,
     "op9_line_dedup": op9_lines.ORACLE,
+    "op12_prefix_trie": op12_prefix_trie.ORACLE,
+    "op13_structure_repair": op13_repair.ORACLE,
 }

@@ -17,6 +17,8 @@ COLUMNS = {
     "op9_": ["doc_id", "n_lines", "n_removed", "text_sha256"],
     "op10_": ["doc_id", "held_out", "lang_pred", "score"],
     "op11_": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op12_": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+    "op13_": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
 }
 
 
