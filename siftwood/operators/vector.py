@@ -18,15 +18,19 @@ _FOUND = "query_id long, chunk_id long, score double"
 
 
 def nearest_to(vectors: DataFrame, query: Column, k: int = CANDIDATES, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
-    """The k nearest to one literal vector: a projection and a bounded top-k, all in the JVM."""
+    """The k nearest to one literal vector: a projection and a bounded top-k, all in the JVM.
+
+    A vector without a finite score takes no part: one that is null or holds a null, NaN or infinity.
+    """
     scored = vectors.select(F.col(id_col).alias("chunk_id"), dot(F.col(vec_col), query).alias("score"))
+    scored = scored.filter(F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf")))
     return scored.orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
 def _usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v) of the rows whose vector is whole."""
     df = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    return df.filter(F.col("v").isNotNull() & (F.size("v") > 0)).filter(~F.exists("v", lambda x: x.isNull()))
+    return df.filter(F.col("v").isNotNull() & (F.size("v") > 0)).filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
 
 
 def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
@@ -36,7 +40,8 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, i
     answers with its k best per query, so the shuffle carries k rows a query and task.  More
     queries meet the vectors in blocks of both, dealt by hash and brought together by a
     shuffle; nothing passes through the driver.  Ids are unique.  A vector that is null, empty
-    or holds a null takes no part, nor do a vector and a query of different lengths meet.
+    or holds a null, NaN or infinity takes no part, nor do a vector and a query of different
+    lengths meet.
     """
     spark = vectors.sparkSession
     v, q = _usable(vectors, id_col, vec_col), _usable(queries, "query_id", "vec")

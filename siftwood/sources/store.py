@@ -21,6 +21,12 @@ def size(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(at).getLength() if fs.exists(at) else 0
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder; nothing if there is none."""
+    at, fs = _at(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     at, fs = _at(spark, path)
     if not fs.exists(at):
