@@ -70,37 +70,6 @@ def build_index(chunks: DataFrame, id_col: str = "chunk_id", body_col: str = "bo
     return LexicalIndex(postings, lengths, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals_of(lengths))
 
 
-def write_index(index: LexicalIndex, path: str) -> None:
-    """Store an index under path: postings and frequencies in the order of their terms, so that a reader skips the others, and the totals."""
-    index.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
-    index.term_df.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/term_df")
-    index.totals.write.parquet(f"{path}/totals")
-
-
-def read_index(spark: SparkSession, path: str, queries: DataFrame) -> LexicalIndex:
-    """The part of a stored index that the queries need.
-
-    Terms of few queries are literals of the scan's filter, which skips the row groups without
-    them; those of many are joined.
-    """
-    postings, term_df = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/term_df")
-    terms = terms_of_queries(queries).select("term").distinct()
-    few = [r.term for r in terms.limit(LITERAL_TERMS + 1).collect()]
-    if len(few) <= LITERAL_TERMS:
-        postings, term_df = postings.filter(F.col("term").isin(few)), term_df.filter(F.col("term").isin(few))
-    else:
-        terms = broadcast_if_small(terms)
-        postings, term_df = postings.join(terms, "term", "left_semi"), term_df.join(terms, "term", "left_semi")
-    return LexicalIndex(postings, None, term_df, spark.read.parquet(f"{path}/totals"))
-
-
-def stored_index(postings: DataFrame, lengths: DataFrame, queries: DataFrame) -> LexicalIndex:
-    """The part of stored tables (postings, lengths) that the queries need: only their terms are read and counted."""
-    terms = terms_of_queries(queries).select("term").distinct()
-    own = postings.join(broadcast_if_small(terms), "term").select("term", "chunk_id", "tf", "dl")
-    return LexicalIndex(own, lengths, own.groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals_of(lengths))
-
-
 def terms_of_queries(queries: DataFrame) -> DataFrame:
     """(query_id, term, qtf) of queries (query_id, query); a repeated term counts as often."""
     terms = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term"))

@@ -1,11 +1,10 @@
 """The retrieval engine: an index of a project's files, kept up to date, and batches of queries against it.
 
-The index is Parquet, cut into buckets by path, as many as its size asks for when it is first
-built.  A build takes the changed files in batches; each batch writes one new generation of
-the buckets its paths fall in, straight to where it will be read, and then replaces one small
-state file that names the current generation of each bucket.  So readers never see half a
-batch, a build that stops goes on from its last whole batch, and the tables may lie in any
-store that the executors share.
+The index is one of segments (operators/segments.py).  A build takes the changed files in
+batches; each batch is one update, which is committed by replacing one small state file.  So
+readers never see half a batch, a build that stops goes on from its last whole batch, and the
+index may lie in any store that the executors share.  What an update supersedes is deleted once
+no snapshot or search still reads it.
 """
 
 from __future__ import annotations
@@ -21,17 +20,17 @@ from pyspark.sql import functions as F
 from siftwood.functions.embed import EMBEDDERS, Embedder, embedding_text
 from siftwood.functions.text import image_count, index_tokens
 from siftwood.operators import chunk, code, lexical, manifest, rank, vector
+from siftwood.operators.segments import LEASE, SegmentIndex, Snapshot
 from siftwood.operators.sizing import broadcast_if_small
 from siftwood.sources import corpus, pdf, store
 
 #: Changes of the stored form or of chunking need a new number; an index of another number is built anew.
-FORMAT = 2
-#: Bytes of files per bucket, least and most buckets, and bytes of changed files per batch of a build.
+FORMAT = 3
+#: Bytes of changed files per bucket, least and most buckets, and bytes of changed files per batch of a build.
 BUCKET_BYTES, BUCKETS, BATCH_BYTES = 64 << 20, (16, 1 << 16), 16 << 30
+#: Chunks from which a search bounds blocks of postings rather than scoring all of its terms.
+BOUNDED_CHUNKS = 1_000_000
 CHUNKS = "id long, path string, line_start int, line_end int, kind string, text string, images int, context string, dl int, vec array<float>"
-POSTINGS = "path string, term string, chunk_id long, tf long, dl int"
-FILES = "path string, mtime double, size long, deleted boolean"
-TABLES = {"chunks": CHUNKS, "postings": POSTINGS, "files": FILES}
 _PIECES = ("path", "line_start", "line_end", "kind", "text", "images", "context")
 
 
@@ -67,9 +66,12 @@ def _batches(buckets: list[tuple[int, int]]) -> list[list[int]]:
 class Engine:
     """An index in `index` (by default inside root) of the project at root; `index` may be in any store."""
 
-    def __init__(self, spark: SparkSession, root: str | Path | None = None, index: str | None = None, model: str | None = None):
+    def __init__(self, spark: SparkSession, root: str | Path | None = None, index: str | None = None, model: str | None = None, lease: float = LEASE):
         self.spark, self.root = spark, corpus.find_root(root)
+        if not index and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster, name an index folder that all executors share")
         self.index = str(index) if index else str(self.root / corpus.INDEX_DIR)
+        self.segments = SegmentIndex(spark, self.index, CHUNKS, embedding_text(F.col("path"), F.col("context"), F.col("text")), lease)
         state = self._state()
         name = model or os.environ.get("SIFTWOOD_MODEL") or self._config().get("model") or state.get("model") or "fast"
         self.embedder: Embedder = EMBEDDERS[name]
@@ -87,7 +89,7 @@ class Engine:
         store.write_text(self.spark, f"{self.index}/{name}", json.dumps(values, indent=2) + "\n")
 
     def _state(self) -> dict:
-        return self._read("state.json")
+        return self.segments.state()
 
     def _config(self) -> dict:
         return self._read("config.json")
@@ -95,29 +97,25 @@ class Engine:
     def configure(self, **values) -> None:
         self._write("config.json", {**self._config(), **values})
 
-    def _commit(self, state: dict) -> None:
-        self._write("state.json", {**state, "format": self._form, "model": self.model, "indexed_at": time.time()})
+    def _about(self) -> dict:
+        return {"format": self._form, "model": self.model, "indexed_at": time.time()}
 
     @property
     def _form(self) -> str:
         return f"{FORMAT}:{self.model}"
 
-    def _current(self) -> dict:
+    def _current(self, state: dict | None = None) -> dict:
         """The state, or a fresh one if the index is of another form."""
-        state = self._state()
-        return state if state.get("format", self._form) == self._form else {"generation": state.get("generation", 0)}
-
-    def _table(self, name: str, state: dict, buckets: list[int] | None = None) -> DataFrame:
-        """The current rows of a table, or those of some buckets: of each generation the buckets that it holds."""
-        of: dict[int, list[int]] = {}
-        for b, g in state.get("buckets", {}).items():
-            if buckets is None or int(b) in buckets:
-                of.setdefault(g, []).append(int(b))
-        out = self.spark.createDataFrame([], TABLES[name])
-        for g, held in sorted(of.items()):
-            rows = self.spark.read.schema(TABLES[name] + ", b int").parquet(f"{self.index}/{name}/gen-{g}")
-            out = out.unionByName(rows.filter(F.col("b").isin(held)).drop("b"))
-        return out
+        state = self._state() if state is None else state
+        return state if state.get("format", self._form) == self._form else {"next": state.get("next", 1)}
+
+    def snapshot(self) -> Snapshot:
+        """The index as it is now, readable until it is closed, whatever is built meanwhile; a context manager."""
+        held = self.segments.snapshot()
+        return Snapshot(self.segments, self._current(held.state), held.pin)
+
+    def _leased(self) -> Snapshot:
+        return Snapshot(self.segments, self._current(self.segments.leased().state))
 
     # -- build ---------------------------------------------------------------------------
 
@@ -132,21 +130,25 @@ class Engine:
         began = time.perf_counter()
         current = corpus.manifest(self.spark, self.root).persist()
         state = self._current()
-        known = self._table("files", state).filter("NOT deleted").select("path", "mtime", "size")
+        held = Snapshot(self.segments, state).files().filter("NOT deleted")
+        known = held.select("path", "mtime", "size")
         changed = manifest.changed(known, current).persist()
         gone = manifest.removed(known, current).persist()
         counts = {"changed": changed.count(), "removed": gone.count(), "files": current.count()}
         if counts["changed"] or counts["removed"] or "indexed_at" not in state:
-            if "n_buckets" not in state:
-                state["n_buckets"] = self._buckets_for(current.agg(F.sum("size")).first()[0] or 0)
-            files = changed.join(current, "path").select("path", "mtime", "size", F.lit(False).alias("deleted"))
-            bucket = self._bucket(state)
-            sizes = files.select(bucket.alias("b"), "size").unionByName(gone.select(bucket.alias("b"), F.lit(0).cast("long").alias("size"))).groupBy("b").agg(F.sum("size").alias("size"))
+            there = changed.join(current, "path").select("path", "mtime", "size", F.lit(False).alias("deleted"))
+            files = there.unionByName(known.join(gone, "path", "left_semi").withColumn("deleted", F.lit(True))).persist()
+            size = F.when(F.col("deleted"), 0).otherwise(F.col("size"))
+            n = min(BUCKETS[1], max(BUCKETS[0], (files.agg(F.sum(size)).first()[0] or 0) // BUCKET_BYTES))
+            bucket = F.pmod(F.xxhash64("path"), F.lit(n)).cast("int")
+            sizes = files.groupBy(bucket.alias("b")).agg(F.sum(size).alias("size"))
             for batch in _batches(sorted((r.b, r["size"]) for r in sizes.collect())):  # a row per bucket
-                inside = bucket.isin(batch)
-                part = files.filter(inside)
-                state = self._store(state, batch, part, part.select("path").unionByName(gone.filter(inside)), chunk_files(corpus.read_files(self.root, part)))
-            self._commit(state)
+                part = files.filter(bucket.isin(batch))
+                state = self._store(state, part, chunk_files(corpus.read_files(self.root, part.filter("NOT deleted"))))
+            files.unpersist()
+            if "indexed_at" not in state:
+                state = {**state, **self._about()}
+                self._write("state.json", state)
             seconds, chunks = time.perf_counter() - began, self.chunks().join(changed, "path", "left_semi").count()
             self.throughput = {"files": counts["changed"], "chunks": chunks, "seconds": round(seconds, 3), "files_per_second": round(counts["changed"] / seconds, 3), "chunks_per_second": round(chunks / seconds, 3)}
         for df in (current, changed, gone):
@@ -160,41 +162,25 @@ class Engine:
         passed over, so versions may come late or twice.
         """
         state = self._current()
-        state.setdefault("n_buckets", BUCKETS[0])
-        held = self._table("files", state).select("path", F.col("mtime").alias("_known"))
+        held = Snapshot(self.segments, state).files().select("path", F.col("mtime").alias("_known"))
         newer = versions.join(held, "path", "left").filter("_known IS NULL OR mtime > _known").drop("_known").persist()
-        buckets = sorted(r.b for r in newer.select(self._bucket(state).alias("b")).distinct().collect())
-        if buckets:
-            texts = newer.filter("NOT deleted").select("path", "text")
-            state = self._store(state, buckets, newer.select("path", "mtime", "size", "deleted"), newer.select("path"), chunk_texts(texts))
+        if newer.limit(1).count():
+            self._store(state, newer.select("path", "mtime", "size", "deleted"), chunk_texts(newer.filter("NOT deleted").select("path", "text")))
         newer.unpersist()
 
-    def _bucket(self, state: dict):
-        return F.pmod(F.xxhash64("path"), F.lit(state["n_buckets"])).cast("int")
-
-    def _buckets_for(self, size: int) -> int:
-        return min(BUCKETS[1], max(BUCKETS[0], size // BUCKET_BYTES))
-
-    def _store(self, state: dict, buckets: list[int], files: DataFrame, touched: DataFrame, chunks: DataFrame) -> dict:
-        """Write a new generation of some buckets, without the touched paths' old rows and with the new ones, and commit it."""
-        generation = state.get("generation", 0) + 1
+    def _store(self, state: dict, files: DataFrame, chunks: DataFrame) -> dict:
+        """Replace what the files hold by these chunks, as one update."""
+        if not store.exists(self.spark, f"{self.index}/.gitignore"):
+            store.write_text(self.spark, f"{self.index}/.gitignore", "*\n")
         chunks = chunks.withColumn("id", F.xxhash64("path", "line_start", "line_end", "text"))
         body = embedding_text(F.col("path"), F.col("context"), F.col("text"))
         chunks = chunks.withColumn("vec", self.embedder.documents(body)).withColumn("dl", F.size(index_tokens(body)))
-        new = {"chunks": chunks, "postings": lexical.postings_of(chunks.withColumn("body", body), "id", keep=("path",)), "files": files}
-        for name, schema in TABLES.items():
-            rows = new[name].select(*[c.split()[0] for c in schema.split(", ")])
-            both = manifest.apply_delta(self._table(name, state, buckets), touched, rows).withColumn("b", self._bucket(state))
-            # a folder of this number may be left of a build that stopped
-            both.repartition("b").sortWithinPartitions("b", "term" if name == "postings" else "path").write.mode("overwrite").partitionBy("b").parquet(f"{self.index}/{name}/gen-{generation}")
-        state = {**state, "generation": generation, "buckets": {**state.get("buckets", {}), **{str(b): generation for b in buckets}}}
-        self._commit(state)
-        return state
+        return self.segments.update(files, chunks, state, **self._about())
 
     # -- queries -------------------------------------------------------------------------
 
     def chunks(self) -> DataFrame:
-        return self._table("chunks", self._current())
+        return self._leased().chunks()
 
     def search(self, queries: DataFrame | str, top_k: int = 5, detail: str = "full", refresh: bool = True) -> DataFrame:
         """Results of queries (query_id, query), or of one text, against the index."""
@@ -206,10 +192,9 @@ class Engine:
             queries = self.spark.createDataFrame([(0, queries)], "query_id long, query string")
         if refresh:
             self.build()
-        chunks = self.chunks()
-        postings = self._table("postings", self._current())
-        stored = lexical.stored_index(postings, chunks.select(F.col("id").alias("chunk_id"), "dl"), queries)
-        keyword = lexical.bm25_topk(stored, queries)
+        now = self._leased()
+        chunks = now.chunks()
+        keyword = now.bm25_topk(queries) if now.state.get("chunks", 0) >= BOUNDED_CHUNKS else lexical.bm25_topk(now.lexical(queries), queries)
         asked = queries.select("query_id", self.embedder.queries(F.col("query")).alias("vec"))
         near = vector.nearest_batch(chunks, asked)
         fused = rank.fuse(near, keyword, self.embedder.weight)
@@ -221,7 +206,7 @@ class Engine:
     def stats(self) -> dict:
         state = self._state()
         return {
-            "root": str(self.root), "files": self._table("files", state).filter("NOT deleted").count(), "chunks": self.chunks().count(), "index_bytes": store.size(self.spark, self.index),
+            "root": str(self.root), "files": self._leased().files().filter("NOT deleted").count(), "chunks": self._current(state).get("chunks", 0), "index_bytes": store.size(self.spark, self.index),
             "last_indexed": state.get("indexed_at"), "model": state.get("model"), "device": self._config().get("device", "cpu"),
         }
 

@@ -69,6 +69,26 @@ def test_search_finds_and_follows_edits(spark, project):
     assert engine.build() == {"changed": 0, "removed": 0, "files": 5}
 
 
+def test_searches_and_snapshots_outlive_edits(spark, project):
+    engine = Engine(spark, project, lease=300)
+    engine.build()
+    before = engine.search("bookParcel", 1)
+    with Engine(spark, project, lease=0).snapshot() as held:
+        chunks = held.chunks().count()
+        for n in range(3):
+            (project / "web/ship.ts").write_text(SHIP.replace("bookParcel", f"cancelParcel{n}"))
+            engine.build()
+        assert held.chunks().count() == chunks and before.first().path == "web/ship.ts"
+    assert "cancelParcel2" in engine.search("cancelParcel2", 1).first().snippet
+
+
+def test_bounded_search_is_the_same(spark, project, monkeypatch):
+    engine = Engine(spark, project)
+    want = [tuple(r) for r in engine.search("rotate keys of the vault", 5).orderBy("place").collect()]
+    monkeypatch.setattr(engines, "BOUNDED_CHUNKS", 0)
+    assert [tuple(r) for r in engine.search("rotate keys of the vault", 5).orderBy("place").collect()] == want
+
+
 def test_bad_queries_and_result_forms(spark, project):
     with pytest.raises(ValueError, match="empty"):
         Engine(spark, project).search("  ")
