@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.functions import text as tx
-from siftwood.operators import lexical, manifest, rank, vector
+from siftwood.operators import codes, lexical, manifest, rank, vector
 from siftwood.operators.scratch import scratch_path
+from siftwood.operators.segments import SegmentIndex, Snapshot
 from siftwood.operators.sizing import broadcast_if_small
-from siftwood.sources import sinks
+from siftwood.sources import sinks, store
 
 from .queries_text import CLIP, LINES, PATH, STOP, STRIPPED, sql_terms, sql_text, sql_tokens, sql_words
 
@@ -52,32 +53,91 @@ def bm25_topk(spark, d):
     return docs.join(F.broadcast(top), "chunk_id").select("rank", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "lang", "source", "n_chars")  # top is ten rows
 
 
-_stored: dict[tuple[str, str], str] = {}
+_stored: dict[tuple[str, str, str, str], str] = {}
 
 
-def stored_index(spark: SparkSession, d: str) -> str:
-    """The folder of the documents' stored index, which the first query of an application builds."""
-    key = (spark.sparkContext.applicationId, d)
+def _folder(spark: SparkSession, d: str, table: str, kind: str, make) -> str:
+    """The folder of a stored index of a table as it is now: made by the first query of an application, and again when the files of the table are others."""
+    key = (spark.sparkContext.applicationId, d, kind, store.signature(spark, read(spark, d, table).inputFiles()))
     if key not in _stored:
-        path = scratch_path(spark, "index")
-        lexical.write_index(doc_index(spark, d), path)
+        path = scratch_path(spark, kind)
+        make(path)
         _stored[key] = path
     return _stored[key]
 
 
+def _segments(spark: SparkSession, path: str) -> SegmentIndex:
+    return SegmentIndex(spark, path, "id long, path string, text string, dl int", F.coalesce(F.col("text"), F.lit("")))
+
+
+def _as_files(docs: DataFrame, mtime: float, deleted: bool = False) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("string").alias("path"), F.lit(mtime).alias("mtime"), F.col("n_chars").cast("long").alias("size"), F.lit(deleted).alias("deleted"))
+
+
+def _as_chunks(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("path"), "text", F.size(tx.index_tokens(F.coalesce("text", F.lit("")))).alias("dl"))
+
+
+def stored_documents(spark: SparkSession, d: str) -> Snapshot:
+    """The segmented index of documents."""
+    docs = read(spark, d, "documents")
+    path = _folder(spark, d, "documents", "index", lambda p: _segments(spark, p).update(_as_files(docs, 1.0), _as_chunks(docs)))
+    return _segments(spark, path).leased()
+
+
 def indexed_topk(spark, d):
     """One query against the stored index: the row groups of its terms are all that is read of the postings."""
     q = one_query(spark)
-    top = lexical.bm25_topk(lexical.read_index(spark, stored_index(spark, d), q), q, 10)
+    top = lexical.bm25_topk(stored_documents(spark, d).lexical(q), q, 10)
     return top.select("rank", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 def indexed_batch(spark, d):
     q = bench_queries(spark, d)
-    top = lexical.bm25_topk(lexical.read_index(spark, stored_index(spark, d), q), q, 10)
+    top = lexical.bm25_topk(stored_documents(spark, d).lexical(q), q, 10)
     return top.select("query_id", "rank", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+def bounded_topk(spark, d):
+    """One query against the stored index, reading only the ranges of ids whose bounds come up to the tenth score."""
+    top = stored_documents(spark, d).bm25_topk(one_query(spark), 10)
+    return top.select("rank", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def bounded_batch(spark, d):
+    top = stored_documents(spark, d).bm25_topk(bench_queries(spark, d), 10)
+    return top.select("query_id", "rank", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def _edited_documents(spark: SparkSession, d: str) -> Snapshot:
+    """The index of documents after two updates: those of one language get the query appended, those of another and of no language go."""
+    docs = read(spark, d, "documents")
+
+    def make(path: str) -> None:
+        index = _segments(spark, path)
+        index.update(_as_files(docs, 1.0), _as_chunks(docs))
+        longer = docs.filter("lang = 'de'").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" " + QUERY)))
+        index.update(_as_files(longer, 2.0), _as_chunks(longer))
+        gone = docs.filter("lang = 'fr' OR lang IS NULL")
+        index.update(_as_files(gone, 3.0, True), _as_chunks(gone.limit(0)))
+
+    return _segments(spark, _folder(spark, d, "documents", "edited", make)).leased()
+
+
+def edited_batch(spark, d):
+    """Rankings over a base segment, a segment of new versions and one of deletions."""
+    q = bench_queries(spark, d)
+    top = lexical.bm25_topk(_edited_documents(spark, d).lexical(q), q, 10)
+    return top.select("query_id", "rank", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def knn_codes(spark, d):
+    """knn_batch in two phases: codes of a byte a component, then the vectors that these cannot exclude."""
+    path = _folder(spark, d, "embeddings", "codes", lambda p: codes.write_codes(vectors(spark, d), p))
+    near = codes.nearest_in_two_phases(spark, path, query_vectors(spark, d), 10)
+    return near.select("query_id", "rank", F.col("chunk_id").alias("vec_id"), F.round("score", 9).alias("score"))
+
+
 def bm25_batch(spark, d):
     top = lexical.bm25_topk(doc_index(spark, d, bench_queries(spark, d)), bench_queries(spark, d), 10)
     return top.select("query_id", "rank", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
@@ -211,7 +271,7 @@ def candidate_union(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_stats, bm25_topk, bm25_batch, indexed_topk, indexed_batch, phrasing_fusion, knn_topk, knn_batch, l2_normalize, rrf_fusion, hybrid_topk, hybrid_batch, result_shape, result_outline, format_text, result_json,
+        bm25_stats, bm25_topk, bm25_batch, indexed_topk, indexed_batch, bounded_topk, bounded_batch, edited_batch, phrasing_fusion, knn_topk, knn_batch, knn_codes, l2_normalize, rrf_fusion, hybrid_topk, hybrid_batch, result_shape, result_outline, format_text, result_json,
         manifest_changed, manifest_removed, apply_delta, meta_upsert, index_stats, candidate_union,
     )
 }
@@ -260,6 +320,10 @@ ORACLES = {
     "bm25_batch": f"WITH {_bm25(_BENCH)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM kw WHERE rank <= 10",
     "indexed_topk": f"WITH {_bm25(_ONE)} SELECT rank, doc_id, round(score, 6) AS score FROM kw WHERE rank <= 10",
     "indexed_batch": f"WITH {_bm25(_BENCH)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM kw WHERE rank <= 10",
+    "bounded_topk": f"WITH {_bm25(_ONE)} SELECT rank, doc_id, round(score, 6) AS score FROM kw WHERE rank <= 10",
+    "bounded_batch": f"WITH {_bm25(_BENCH)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM kw WHERE rank <= 10",
+    "edited_batch": f"""WITH edited AS (SELECT doc_id, CASE WHEN lang = 'de' THEN concat(text, ' {QUERY}') ELSE text END AS text FROM documents WHERE lang <> 'fr'),
+        {_bm25(_BENCH).replace("FROM documents", "FROM edited")} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM kw WHERE rank <= 10""",
     "phrasing_fusion": f"""WITH {_bm25(_PHRASED)}, f AS (SELECT doc_id, {", ".join(f"min(CASE WHEN query_id = {i} THEN rank END) AS r{i}" for i in range(3))} FROM kw GROUP BY doc_id)
         SELECT *, round(coalesce(1.0::DOUBLE / (60 + r0), 0) + coalesce({PHRASING_WEIGHT}::DOUBLE / (60 + r1), 0) + coalesce({PHRASING_WEIGHT}::DOUBLE / (60 + r2), 0), 9) AS score FROM f""",
     "result_outline": f"""WITH {_H1}, t AS (SELECT list_distinct(list_filter({sql_words(f"'{QUERY}'")}, lambda w: length(w) > 2 AND NOT list_contains({STOP}, w))) AS terms),
@@ -273,6 +337,7 @@ ORACLES = {
         CASE WHEN doc_id % 3 > 0 THEN concat(',"note":"', {_NOTE}, '"') END, '}}'), ',' ORDER BY place), ']') AS results FROM best WHERE place <= 10 GROUP BY query_id""",
     "knn_topk": f"SELECT b.vec_id AS vec_id, round({_SIM}, 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY {_SIM} DESC, b.vec_id LIMIT 50",
     "knn_batch": f"SELECT a.vec_id AS query_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_SIM} DESC, b.vec_id)::INT AS rank, b.vec_id AS vec_id, round({_SIM}, 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY rank <= 10",
+    "knn_codes": f"SELECT a.vec_id AS query_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_SIM} DESC, b.vec_id)::INT AS rank, b.vec_id AS vec_id, round({_SIM}, 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY rank <= 10",
     "l2_normalize": "SELECT vec_id, list_transform(v, lambda x: round(x / (sqrt(list_inner_product(v, v)) + 1e-9), 7)) AS unit FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (vec_id + 1)) AS v FROM embeddings)",
     "rrf_fusion": f"WITH {_H1} SELECT doc_id, vec_rank, kw_rank, round(fused, 9) AS score FROM f",
     "hybrid_topk": f"WITH {_H1} SELECT place, doc_id, path, round(score, 9) AS score FROM best WHERE place <= 10",

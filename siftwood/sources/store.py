@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession
 
 
@@ -21,6 +23,16 @@ def size(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(at).getLength() if fs.exists(at) else 0
 
 
+def signature(spark: SparkSession, files: list[str]) -> str:
+    """A digest of the names, sizes and times of files: another one if any was replaced."""
+    seen = []
+    for name in sorted(files):
+        at, fs = _at(spark, name)
+        status = fs.getFileStatus(at)
+        seen.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(seen).encode()).hexdigest()
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     """What lies in a folder; nothing if there is none."""
     at, fs = _at(spark, path)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwood.operators import lexical, manifest, rank, vector
+from siftwood.plans import queries_retrieval
 
 QUERIES = ["the onerth lichkeit", "éeau les le le mentre", "und der ciónra", "anonth", "of in a"]
 
@@ -93,16 +94,22 @@ def test_an_index_reads_texts_once_and_stored_terms_alone(spark, sf_dir, tmp_pat
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("body"))
     index = lexical.build_index(docs, "doc_id")
     assert docs.count() == index.lengths.count() and "documents.parquet" not in plan_of(index.postings)
-    lexical.write_index(index, str(tmp_path / "i"))
-    queries = spark.createDataFrame([(0, "the onerth lichkeit")], "query_id long, query string")
-    stored = lexical.read_index(spark, str(tmp_path / "i"), queries)
-    assert "In(term" in (plan := plan_of(stored.postings)) or "EqualTo(term" in plan
-    rows = lambda i: [(r.chunk_id, r.score) for r in lexical.bm25_topk(i, queries, 10).orderBy("rank").collect()]
-    assert rows(stored) == rows(index)
-
-
-def test_any_number_of_rankings_is_fused(spark):
-    kind = "query_id long, chunk_id long, rank int"
-    a, b, c = (spark.createDataFrame([(0, i, n) for n, i in enumerate(ids, 1)], kind) for ids in ((1, 2), (2, 3), (3, 1)))
-    got = {r.chunk_id: (r.a, r.b, r.c, r.score) for r in rank.fuse_all([("a", a, 1.0), ("b", b, 0.5), ("c", c, 0.25)]).collect()}
-    assert got == {1: (1, None, 2, 1 / 61 + 0.25 / 62), 2: (2, 1, None, 1 / 62 + 0.5 / 61), 3: (None, 2, 1, 0.5 / 62 + 0.25 / 61)}
+    # the stored one reads the texts for its chunks and no more, then the postings of the terms alone (test_segments.py)
+    queries = spark.createDataFrame([(0, "the onerth")], "query_id long, query string")
+    stored = queries_retrieval.stored_documents(spark, sf_dir).lexical(queries)
+    assert "In(term, [" in plan_of(stored.postings) and "documents.parquet" not in plan_of(stored.postings)
+    key = lambda df: sorted((r.rank, r.chunk_id, round(r.score, 9)) for r in df.collect())
+    assert key(lexical.bm25_topk(stored, queries, 10)) == key(lexical.bm25_topk(index, queries, 10))
+
+
+def test_stored_indexes_follow_their_table(spark, sf_dir, tmp_path):
+    """A table that is written anew is indexed anew."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    at = str(tmp_path / "documents.parquet")
+    docs.write.parquet(at)
+    first = {r.doc_id for r in queries_retrieval.indexed_topk(spark, str(tmp_path)).collect()}
+    docs.filter(~docs.doc_id.isin(*first)).write.mode("overwrite").parquet(at)
+    spark.catalog.refreshByPath(at)
+    for query in (queries_retrieval.indexed_topk, queries_retrieval.bounded_topk):
+        found = {r.doc_id for r in query(spark, str(tmp_path)).collect()}
+        assert len(found) == 10 and not found & first
