@@ -38,14 +38,15 @@ BASE = {
 #: What a text must hold for a base pattern to be tried.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 #: Generators: kind proposed, what a text must hold, pattern.  They may overlap each other and the base spans.
+#: Runs of the characters of a secret or a local part are taken whole, however long.
 GENERATORS = (
-    ("email", r"(?i)[\x20\[({](?:at|@)[\x20\])}]", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+(?: ?[\[({] ?(?:at|@) ?[\])}] ?[A-Za-z0-9-]{2,63}+(?:(?: ?[\[({] ?(?:dot|\.) ?[\])}] ?| dot |\.)[A-Za-z]{2,24}+){1,3}| at [A-Za-z0-9-]{2,63}+(?: dot [A-Za-z]{2,24}+){1,3})(?![A-Za-z0-9])"),
-    ("phone", r"[0-9]{3,4}[ ./-][0-9]{3}|\([0-9]{2,4}\)", r"(?<![0-9A-Za-z+.])\(?[0-9]{2,5}+\)?(?:[ ./-]{1,2}+[0-9]{2,5}+){1,4}(?![0-9A-Za-z])"),
-    ("card", r"[0-9]{4}[ .-]?[0-9]{4}", r"(?<![0-9A-Za-z])[0-9]{4}(?:[ .-]?[0-9]{3,6}+){2,4}(?![0-9A-Za-z])"),
+    ("email", r"(?i)[\x20\[({](?:at|@)[\x20\])}]", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+(?: ?[\[({] ?(?:at|@) ?[\])}] ?[A-Za-z0-9-]{2,63}+(?:(?: ?[\[({] ?(?:dot|\.) ?[\])}] ?| dot |\.)[A-Za-z]{2,24}+){1,3}| at [A-Za-z0-9-]{2,63}+(?: dot [A-Za-z]{2,24}+){1,3})(?![A-Za-z0-9])"),
+    ("phone", r"[0-9]{3,4}[ ./-][0-9]{3}|\([0-9]{2,4}\)", r"(?<![0-9A-Za-z+.])\(?[0-9]{2,5}+\)?(?:[ ./-]{1,2}+[0-9]{2,8}+){1,4}(?![0-9A-Za-z])"),
+    ("card", r"[0-9]{4}[ .-]?[0-9]{4}", r"(?<![0-9A-Za-z])[0-9]{4}(?:[ .-]?[0-9]{3,8}+){2,4}(?![0-9A-Za-z])"),
     ("national_id", r"[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}", r"(?<![0-9A-Za-z-])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![0-9A-Za-z-])"),
     ("account", r"[A-Z]{2}[0-9]{2}", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?+(?![0-9A-Za-z])"),
-    ("secret", r"(?i)(?:password|passwd|secret|token|api_?key)[\"']? ?[=:]", r"(?i)(?<![A-Za-z])(?:password|passwd|secret|token|api_?key)[\"']? ?[=:] ?[\"']?[A-Za-z0-9+/_.~!@#$%^&*-]{6,128}+"),
-    ("secret", r"[A-Za-z0-9_-]{20}", r"(?<![A-Za-z0-9_-])(?:AKIA|ASIA|ghp_|gho_|xox[bp]-|sk-|sk_live_|AIza)[A-Za-z0-9_-]{12,200}+"),
+    ("secret", r"(?i)(?:password|passwd|secret|token|api_?key)[\"']? ?[=:]", r"(?i)(?<![A-Za-z])(?:password|passwd|secret|token|api_?key)[\"']? ?[=:] ?[\"']?[A-Za-z0-9+/_.~!@#$%^&*-]{6,}+"),
+    ("secret", r"[A-Za-z0-9_-]{20}", r"(?<![A-Za-z0-9_-])(?:AKIA|ASIA|ghp_|gho_|xox[bp]-|sk-|sk_live_|AIza)[A-Za-z0-9_-]{12,}+"),
 )
 ALL_KINDS = (*KINDS, "national_id", "account", "secret")
 #: Probability from which a candidate is redacted.
@@ -137,6 +138,34 @@ def examples() -> tuple[np.ndarray, np.ndarray]:
         add("card", lambda p=sep: carded(p.join(["5ddd"] + ["dddd"] * 3), False), 1, 0, 0)
     for shape in ("ddddddddddddd", "dddd dddd dddd", "20dd-20dd-20dd", "dddd.dddd.dddd", "dddddddddddddddddd"):
         add("card", lambda s=shape: carded(s, False), 0, 0, 0)
+    def dealt(total: int, least: int, most: int) -> list[int]:
+        """A number of digits in random groups."""
+        out = []
+        while total:
+            size = min(total, int(rng.integers(least, most + 1)))
+            size = total if 0 < total - size < least else size
+            out.append(size)
+            total -= size
+        return out
+
+    def any_phone(parens: bool) -> str:
+        head, sep = int(rng.integers(2, 5)), str(rng.choice([" ", "-", ".", "/"]))
+        rest = int(rng.integers(9, 12)) - head
+        groups = [rest] if rng.random() < 0.2 else dealt(rest, 2, 4)
+        first = ("0" if rng.random() < 0.5 else "d") + "d" * (head - 1)
+        return digit(f"({first}) " * parens + (first + sep) * (not parens) + sep.join("d" * g for g in groups))
+
+    def any_card() -> str:
+        sep, first = str(rng.choice([" ", "-", ".", ""])), str(rng.choice(list("3456")))
+        groups = dealt(int(rng.choice([15, 16, 16, 19])) - 4, 3, 8)
+        return carded(sep.join([first + "ddd"] + ["d" * g for g in groups]), True)
+
+    add("phone", lambda: any_phone(True), 1, 1, 0, 60)
+    add("phone", lambda: any_phone(False), 1, 0, 0, 90)
+    add("phone", lambda: digit("ddd" + str(rng.choice(list(" -./"))) + "ddd" + str(rng.choice(list(" -./"))) + "dddd"), 1, 1, 0, 40)
+    add("card", any_card, 1, 1, 0, 60)
+    for at, dot in ((" (at) ", "."), (" [at] ", " dot "), ("[at]", "[dot]"), (" @ ", ".")):
+        add("email", lambda a=at, d=dot: name() + (a if a != " @ " else " (@) ") + d.join(name()[: int(rng.integers(3, 7))] for _ in range(rng.integers(1, 3))) + d + str(rng.choice(["com", "org", "net", "edu", "de"])), 1, 1, 1)
     add("national_id", lambda: digit("ddd-dd-dddd"), 1, 1, 0)
     add("national_id", lambda: digit("ddd dd dddd"), 1, 0, 0)
     add("account", lambda: digit("DEdd") + digit(" dddd dddd dddd dddd dd"), 1, 1, 1)
@@ -145,6 +174,12 @@ def examples() -> tuple[np.ndarray, np.ndarray]:
     add("secret", lambda: f"{rng.choice(['password', 'api_key', 'secret', 'token'])}={code(12).lower()}", 1, 1, 1)
     add("secret", lambda: "AKIA" + code(16), 1, 1, 1)
     add("secret", lambda: "ghp_" + code(36), 1, 1, 1)
+    # letters with a digit somewhere, or long ones, of any length
+    mixed = lambda: (lambda t, n: t[:n] + digit("d") + t[n:])(code(int(rng.integers(7, 60))).lower(), int(rng.integers(1, 7)))
+    named = ["password", "passwd", "secret", "token", "api_key", "apikey"]
+    add("secret", lambda: str(rng.choice(named)) + str(rng.choice(["=", ": ", ":", ' = "'])).replace(" = ", "=") + mixed(), 1, 1, 1, 40)
+    add("secret", lambda: str(rng.choice(named)) + "=" + name() + digit("dd") + name(), 1, 1, 1, 20)
+    add("secret", lambda: str(rng.choice(["AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk-", "sk_live_", "AIza"])) + (digit("d" * 12) + "-" + name() + name() if rng.random() < 0.4 else code(int(rng.integers(14, 240)))), 1, 1, 1, 40)
     add("secret", lambda: f"{rng.choice(['password', 'secret', 'token'])}: {name()}", 1, 0, 0)
     for dot in (" dot ", " [dot] ", "."):
         add("email", lambda p=dot: f"{name()}{rng.choice([' [at] ', ' (at) '])}{name()}{p}com", 1, 1, 1)
