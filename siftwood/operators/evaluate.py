@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from siftwood.functions.text import byte_tokens, sign_test
 
+from .median import medians
+
 # An answer of this many lines or more locates nothing; characters of a target line to look for.
 MAX_RANGE, SHOWN_CHARS = 150, 80
 
@@ -77,11 +79,13 @@ def arm_report(runs: DataFrame) -> DataFrame:
     """Per arm of runs (arm, status, rank, input_tokens, output_tokens, turns, seconds, cost_usd): shares, tokens, turns, time, cost."""
     tokens = F.col("input_tokens") + F.col("output_tokens")
     share = lambda s: F.avg(F.when(F.col("status") == s, 1.0).otherwise(0.0)).alias(s)
-    return runs.groupBy("arm").agg(
+    means = runs.groupBy("arm").agg(
         F.count(F.lit(1)).alias("n"), *[share(s) for s in ("correct", "wrong", "no_answer", "error")], F.avg(F.when(F.col("rank") == 1, 1.0).otherwise(0.0)).alias("first"),
-        F.percentile(tokens, 0.5).alias("tokens_median"), F.avg(tokens).alias("tokens_mean"), F.percentile(F.coalesce("turns", F.lit(0)), 0.5).alias("turns_median"),
-        F.percentile("seconds", 0.5).alias("seconds_median"), F.sum(F.coalesce("cost_usd", F.lit(0.0))).alias("cost"),
+        F.avg(tokens).alias("tokens_mean"), F.sum(F.coalesce("cost_usd", F.lit(0.0))).alias("cost"),
     )
+    middles = medians(runs, ["arm"], {"tokens_median": tokens, "turns_median": F.coalesce("turns", F.lit(0)), "seconds_median": F.col("seconds")}).withColumnRenamed("arm", "_arm")
+    both = means.join(middles, F.col("arm").eqNullSafe(F.col("_arm")), "left")
+    return both.select("arm", "n", "correct", "wrong", "no_answer", "error", "first", "tokens_median", "tokens_mean", "turns_median", "seconds_median", "cost")
 
 
 def tool_calls(runs: DataFrame, tool: str | None = None) -> DataFrame:
@@ -112,11 +116,14 @@ def pair_report(pairs: DataFrame) -> DataFrame:
     """One row: tallies, sign test, and token ratio where both arms were right."""
     on, off = F.col("ok_on"), F.col("ok_off")
     ratio = F.when(on & off, F.col("tokens_on") / F.greatest(F.col("tokens_off"), F.lit(1)))
+    right = lambda c: F.when(on & off, c)
     tally = pairs.agg(
         F.count(F.lit(1)).alias("pairs"), F.count_if(on & off).alias("both"), F.count_if(on & ~off).alias("only_on"), F.count_if(off & ~on).alias("only_off"), F.count_if(~on & ~off).alias("neither"),
-        F.percentile(ratio, 0.5).alias("ratio_median"), F.count_if(ratio < 1).alias("cheaper"),
-        F.percentile(F.when(on & off, F.col("turns_on")), 0.5).alias("turns_on_median"), F.percentile(F.when(on & off, F.col("turns_off")), 0.5).alias("turns_off_median"),
+        F.count_if(ratio < 1).alias("cheaper"),
     )
+    middles = medians(pairs, [], {"ratio_median": ratio, "turns_on_median": right(F.col("turns_on")), "turns_off_median": right(F.col("turns_off"))})
+    tally = tally.crossJoin(F.broadcast(middles))  # both are one row
+    tally = tally.select("pairs", "both", "only_on", "only_off", "neither", "ratio_median", "cheaper", "turns_on_median", "turns_off_median")
     return tally.withColumn("p_value", sign_test(F.col("only_on"), F.col("only_off")))
 
 
