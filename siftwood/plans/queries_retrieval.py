@@ -254,6 +254,14 @@ def meta_upsert(spark, d):
     return manifest.upsert(old, new)
 
 
+def meta_upsert_all(spark, d):
+    """Counts of all events by user, over which the last purchase of those who made one is written."""
+    e = read(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", "event_type")
+    old = e.groupBy("key").agg(F.count(F.lit(1)).cast("string").alias("value"))
+    new = e.groupBy("key").agg(F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))).cast("string").alias("value")).filter("value IS NOT NULL")
+    return manifest.upsert(old, new)
+
+
 def index_stats(spark, d):
     docs = read(spark, d, "documents")
     return docs.agg(F.count_distinct("source").alias("files"), F.count(F.lit(1)).alias("chunks"), F.sum(F.octet_length("text")).alias("bytes"), F.max("doc_id").alias("last_id"))
@@ -272,7 +280,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_stats, bm25_topk, bm25_batch, indexed_topk, indexed_batch, bounded_topk, bounded_batch, edited_batch, phrasing_fusion, knn_topk, knn_batch, knn_codes, l2_normalize, rrf_fusion, hybrid_topk, hybrid_batch, result_shape, result_outline, format_text, result_json,
-        manifest_changed, manifest_removed, apply_delta, meta_upsert, index_stats, candidate_union,
+        manifest_changed, manifest_removed, apply_delta, meta_upsert, meta_upsert_all, index_stats, candidate_union,
     )
 }
 
@@ -350,6 +358,7 @@ ORACLES = {
     "apply_delta": f"SELECT path, mtime, size FROM {_OLD} WHERE path IN (SELECT path FROM {_NEW}) AND path NOT IN (SELECT path FROM {_CHANGED}) UNION ALL SELECT * FROM {_NEW} WHERE path IN (SELECT path FROM {_CHANGED})",
     "meta_upsert": """WITH o AS (SELECT user_id::VARCHAR AS key, count(*)::VARCHAR AS value FROM events WHERE event_id % 2 = 0 GROUP BY 1), n AS (SELECT user_id::VARCHAR AS key, max(event_id)::VARCHAR AS value FROM events WHERE user_id % 3 = 0 GROUP BY 1)
         SELECT key, coalesce(n.value, o.value) AS value FROM o FULL JOIN n USING (key)""",
+    "meta_upsert_all": "SELECT user_id::VARCHAR AS key, coalesce(max(event_id) FILTER (WHERE event_type = 'purchase'), count(*))::VARCHAR AS value FROM events GROUP BY 1",
     "index_stats": "SELECT count(DISTINCT source) AS files, count(*) AS chunks, sum(strlen(text))::BIGINT AS bytes, max(doc_id) AS last_id FROM documents",
     "candidate_union": f"WITH {_H1}, q AS (SELECT list_distinct(regexp_extract_all(lower('{QUERY}'), '[\\p{{L}}\\p{{N}}_]+')) AS asked) SELECT f.doc_id, len(list_intersect({_WORDS}, asked))::INT AS shared, (len(asked) - len(list_intersect({_WORDS}, asked)))::INT AS missing FROM f JOIN documents d ON d.doc_id = f.doc_id, q",
 }
