@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 from siftwood.functions import outline as outlines
 from siftwood.functions import text as tx
-from siftwood.operators import evaluate, vector
+from siftwood.functions.tokens import token_counter
+from siftwood.operators import chunk, evaluate, vector
 from siftwood.sources import corpus
 
 from .queries_retrieval import query_vectors, read, vectors
+from .queries_text import LINES, STRIPPED
+
+VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -82,6 +86,30 @@ def token_cost(spark, d):
     return cost.groupBy((F.col("doc_id") % 4).alias("g")).agg(*[F.avg(c).cast("int").alias(c) for c in ("full_read", "outline", "outline_read", "file")])
 
 
+def _whole_costs(spark, d, count):
+    """Costs by source of whole windows as the results of their document, which look for one of its lines."""
+    docs = read(spark, d, "documents").select("doc_id", "source", "text", (F.col("n_chars") % 9 + 1).alias("target"))
+    outline = F.array_join(outlines.prose_head(outlines.stripped_lines(F.col("text"))), "\n")
+    covers = F.col("target").between(F.col("line_start"), F.col("line_end"))
+    chunks = chunk.line_windows(docs, size=5).select("doc_id", covers.alias("covers"), ((F.col("line_start") + 4) / 5).cast("int").alias("place"), count(F.col("text")).alias("tokens"), count(outline).alias("short"))
+    found = lambda c: F.when(F.col("covers"), F.col(c))
+    cases = chunks.groupBy("doc_id").agg(F.sum("tokens").alias("full"), F.sum("short").alias("outline"), F.sum(found("tokens")).alias("hit"), F.min(found("place")).alias("rank"))
+    rows = docs.select("doc_id", "source", count(F.coalesce("text", F.lit(""))).alias("file")).join(cases, "doc_id", "left").fillna(0, ["full", "outline", "hit"])
+    means = [F.avg(c).cast("int").alias(c) for c in ("full_read", "outline", "outline_read", "file")]
+    return evaluate.token_costs(rows).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("rank").alias("hits"), *means)
+
+
+def token_cost_whole(spark, d):
+    return _whole_costs(spark, d, tx.byte_tokens)
+
+
+def token_cost_bpe(spark, d):
+    """token_cost_whole in tokens of a vocabulary, where its file is present."""
+    import public_tokenizers
+
+    return _whole_costs(spark, d, token_counter(public_tokenizers.path(VOCABULARY)))
+
+
 def outline_visible(spark, d):
     lines = outlines.stripped_lines(F.col("text"))
     split = F.split("text", "\n", -1)
@@ -166,7 +194,7 @@ def agent_events(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        target_resolve, rank_of, answer_overlap, hit_at_k, mrr, eval_rollup, token_cost, outline_visible, shown_rollup, case_repos, ab_arm_report, ab_tool_calls, ab_models, ab_pairs, ab_sign_test, sign_tests, resume_todo, agent_events,
+        target_resolve, rank_of, answer_overlap, hit_at_k, mrr, eval_rollup, token_cost, token_cost_whole, token_cost_bpe, outline_visible, shown_rollup, case_repos, ab_arm_report, ab_tool_calls, ab_models, ab_pairs, ab_sign_test, sign_tests, resume_todo, agent_events,
     )
 }
 
@@ -198,6 +226,11 @@ ORACLES = {
     "eval_rollup": f"WITH {_RANKS} SELECT split, CASE WHEN grouping(repo) = 1 THEN 'ALL' ELSE repo END AS repo, count(*) AS n, {_HITS}, {_MRR} FROM r GROUP BY GROUPING SETS ((split, repo), (split))",
     "token_cost": f"""WITH t AS (SELECT doc_id, doc_id % 3 = 0 AS miss, strlen(left(text, 400)) // 4 AS full, strlen(head) // 4 AS outline, strlen(left(text, 200)) // 4 AS hit, strlen(text) // 4 AS file FROM documents JOIN {_STRIPPED_HEAD} USING (doc_id))
         SELECT doc_id % 4 AS g, trunc(avg("full" + CASE WHEN miss THEN file ELSE 0 END))::INT AS full_read, trunc(avg(outline))::INT AS outline, trunc(avg(outline + CASE WHEN miss THEN file ELSE hit END))::INT AS outline_read, trunc(avg(file))::INT AS file FROM t GROUP BY 1""",
+    "token_cost_whole": f"""WITH l AS {LINES.format(t='documents')}, c AS (SELECT doc_id, ln // 5 AS w, max(ln) + 1 AS line_end, string_agg(line, chr(10) ORDER BY ln) AS chunk FROM l GROUP BY ALL HAVING regexp_matches(string_agg(line, chr(10)), '\\S')),
+        s AS (SELECT doc_id, ln // 5 AS w, ln, {STRIPPED} AS s FROM l), o AS (SELECT doc_id, w, string_agg(s, chr(10) ORDER BY ln) AS head FROM (SELECT * FROM s WHERE s <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, w ORDER BY ln) <= 2) GROUP BY ALL),
+        p AS (SELECT doc_id, sum(strlen(chunk) // 4) AS full, sum(strlen(head) // 4) AS outline, sum(CASE WHEN n_chars % 9 + 1 BETWEEN 5 * w + 1 AND line_end THEN strlen(chunk) // 4 END) AS hit FROM c JOIN o USING (doc_id, w) JOIN documents USING (doc_id) GROUP BY doc_id),
+        r AS (SELECT source, hit, coalesce("full", 0) AS full, coalesce(outline, 0) AS outline, coalesce(strlen(text) // 4, 0) AS file FROM documents LEFT JOIN p USING (doc_id))
+        SELECT source, count(*) AS n, count(hit) AS hits, trunc(avg("full" + CASE WHEN hit IS NULL THEN file ELSE 0 END))::INT AS full_read, trunc(avg(outline))::INT AS outline, trunc(avg(outline + coalesce(hit, file)))::INT AS outline_read, trunc(avg(file))::INT AS file FROM r GROUP BY source""",
     "outline_visible": f"""SELECT doc_id, doc_id % 4 = 0 OR contains(head, left(trim(a[least(doc_id % 3 + 1, len(a))]), 80)) AS shows FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents) JOIN {_STRIPPED_HEAD} USING (doc_id)""",
     "shown_rollup": f"""WITH s AS (SELECT doc_id, source, CASE WHEN doc_id % 5 > 0 THEN (doc_id % 4 = 0 OR contains(head, left(trim(a[least(doc_id % 3 + 1, len(a))]), 80)))::INT END AS shows FROM (SELECT doc_id, source, string_split(text, chr(10)) AS a FROM documents) JOIN {_STRIPPED_HEAD} USING (doc_id)),
         r AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'dev' ELSE 'test' END AS split, source AS repo, CASE WHEN doc_id % 3 > 0 THEN doc_id % 7 + 1 END AS rank, shows FROM s)
