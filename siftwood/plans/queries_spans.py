@@ -11,6 +11,8 @@ from .queries_retrieval import read
 
 #: Words of a window and from one to the next; sizes of the chunks that a sentence is looked up in; what ends a sentence.
 WINDOW, STEP, SIZES, SENTENCE_END = 48, 32, (16, 64, 256), r"[.!?]\z"
+#: Blocks of 64 words, and of 1,024 for long chunks.
+GRIDS = (6, 10)
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -38,7 +40,7 @@ def _tiles(words: DataFrame, size: int, step: int) -> DataFrame:
 def window_sentences(spark, d):
     """For each overlapping window of words: the sentences it meets, those it holds whole, and the words they share."""
     words = _words(spark, d)
-    met = intervals.overlaps(_tiles(words, WINDOW, STEP), _sentences(words), ["doc_id"])
+    met = intervals.overlaps(_tiles(words, WINDOW, STEP), _sentences(words), ["doc_id"], grids=GRIDS[:1])
     low, high = F.greatest("left.lo", "right.lo"), F.least("left.hi", "right.hi")
     whole = (F.col("right.lo") >= F.col("left.lo")) & (F.col("right.hi") <= F.col("left.hi"))
     return met.groupBy("left.doc_id", "left.lo", "left.hi").agg(F.count(F.lit(1)).alias("met"), F.count_if(whole).alias("whole"), F.sum(high - low + 1).alias("shared"))
@@ -50,7 +52,7 @@ def sentence_chunks(spark, d):
     chunks = _span_rows(words, F.array(F.struct(F.lit(0).cast("long").alias("lo"), (F.size("w") - 1).cast("long").alias("hi"))))
     for size in SIZES:
         chunks = chunks.unionByName(_tiles(words, size, size // 2))
-    return intervals.innermost(_sentences(words), chunks, ["doc_id"]).select("doc_id", "lo", "hi", F.col("outer_lo").alias("chunk_lo"), F.col("outer_hi").alias("chunk_hi"))
+    return intervals.innermost(_sentences(words), chunks, ["doc_id"], grids=GRIDS).select("doc_id", "lo", "hi", F.col("outer_lo").alias("chunk_lo"), F.col("outer_hi").alias("chunk_hi"))
 
 
 QUERIES = {f.__name__: f for f in (window_sentences, sentence_chunks)}
