@@ -13,11 +13,19 @@ from pyspark.sql.streaming import StreamingQuery
 from siftwood.plans.engine import Engine
 from siftwood.sources.corpus import latest
 
+from .newest import newest_versions
+
 SCHEMA = "path string, mtime double, size long, text string, deleted boolean"
 
 
-def follow(versions: DataFrame, engine: Engine, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Keep an engine's index in step with a stream of versions; with once, what there is now."""
+def follow(versions: DataFrame, engine: Engine, checkpoint: str, once: bool = True, grace: float | None = None) -> StreamingQuery:
+    """Keep an engine's index in step with a stream of versions; with once, what there is now.
+
+    With grace, seconds that a deletion waits for a newer version, the newest version of each
+    path is kept as state (`newest`), and what is not newer never reaches the index.
+    """
+    if grace is not None:
+        versions = newest_versions(versions, grace)
 
     def apply(batch: DataFrame, _: int) -> None:
         newest = latest(batch).persist()
@@ -25,5 +33,5 @@ def follow(versions: DataFrame, engine: Engine, checkpoint: str, once: bool = Tr
             engine.apply(newest)
         newest.unpersist()
 
-    writer = versions.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    writer = versions.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
