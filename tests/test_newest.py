@@ -52,3 +52,21 @@ def test_a_deletion_comes_out_after_its_grace(stream):
 def test_needs_its_state_store(spark, tmp_path):
     with pytest.raises(ValueError, match="providerClass"):
         newest_versions(spark.readStream.schema(SCHEMA).json(str(tmp_path)))
+
+
+def test_an_index_follows_with_a_grace(spark, tmp_path):
+    from siftwood.plans.engine import Engine
+    from siftwood.streaming import versions
+
+    for folder in ("project", "log"):
+        (tmp_path / folder).mkdir()
+    engine = Engine(spark, tmp_path / "project", index=str(tmp_path / "index"))
+    keys = ("path", "mtime", "size", "text", "deleted")
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        for i, rows in enumerate([[("a.txt", 1.0, 3, "one", False), ("b.txt", 1.0, 3, "two", False)], [("a.txt", 2.0, 0, None, True), ("b.txt", 0.5, 3, "late", False)]]):
+            (tmp_path / "log" / f"{i}.json").write_text("".join(json.dumps(dict(zip(keys, r, strict=True))) + "\n" for r in rows))
+            versions.follow(spark.readStream.schema(SCHEMA).json(str(tmp_path / "log")), engine, str(tmp_path / "checkpoint"), grace=0.0).awaitTermination(60)
+    finally:
+        spark.conf.unset(PROVIDER)
+    assert {r.text for r in engine.chunks().collect()} == {"two"}
