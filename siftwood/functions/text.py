@@ -163,16 +163,23 @@ def relative_age(seconds: Column) -> Column:
 
 
 def sign_test(only_a: Column, only_b: Column) -> Column:
-    """Exact two-sided sign test: min(1, 2 * sum of C(m, i) for i up to k, over 2^m); 1 without pairs."""
+    """Exact two-sided sign test: min(1, 2 * sum of C(m, i) for i up to k, over 2^m); 1 without pairs.
+
+    Term and sum are kept in units of 2^(up - m), and up grows with them, so that neither the
+    2^-m of many pairs nor C(m, k) leaves the range of a double; what is below 1e-170 may be 0.
+    """
     k, m = F.least(only_a, only_b).cast("long"), (only_a + only_b).cast("long")
-    start = F.struct(F.pow(F.lit(2.0), -m).alias("term"), F.pow(F.lit(2.0), -m).alias("total"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"), F.lit(0).cast("long").alias("up"))
 
     def step(acc: Column, i: Column) -> Column:
         term = acc["term"] * (m - i + 1) / i
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+        large = term > 2.0**500
+        unit = F.when(large, 2.0**-500).otherwise(1.0)
+        return F.struct((term * unit).alias("term"), ((acc["total"] + term) * unit).alias("total"), (acc["up"] + F.when(large, 500).otherwise(0)).alias("up"))
 
     steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    return F.when(m == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(steps, start, step, lambda acc: acc["total"])))
+    share = F.aggregate(steps, start, step, lambda acc: acc["total"] * F.pow(F.lit(2.0), acc["up"] - m))
+    return F.when(m == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * share))
 
 
 def parse_answers(reply: Column) -> Column:
