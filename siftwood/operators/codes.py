@@ -27,6 +27,8 @@ from .workers import map_arrow
 #: What rounding in double precision may add to an interval; ids up to which candidates are literals of the scan; bytes of a row group of vectors.
 SLACK, LITERAL_IDS, ROW_GROUP = 1e-9, 5000, 1 << 20
 CODES = "id long, code binary, scale double, rest double"
+#: Queries and codes that meet at a time in a worker: a table of 4 MB.
+TILE_QUERIES, TILE_CODES = 256, 2048
 
 
 @dataclass
@@ -67,25 +69,28 @@ def write_codes(vectors: DataFrame, path: str, id_col: str = "id", vec_col: str
 
 
 def _intervals(batch: pa.RecordBatch, asked: dict[int, tuple[np.ndarray, np.ndarray]]):
-    """(width, ids, lower ends, upper ends) of a batch of codes for the queries of each width, a row a query."""
-    ids, codes = batch.column(0).to_numpy(), batch.column(1)
-    widths = np.diff(np.frombuffer(codes.buffers()[1], np.int32, len(codes) + 1, codes.offset * 4))
-    held = codes.to_pylist()
-    scale, rest = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-    for width in set(widths.tolist()) & set(asked):
-        rows = np.flatnonzero(widths == width)
-        code = np.frombuffer(b"".join([held[i] for i in rows.tolist()]), np.int8).reshape(len(rows), width).astype(np.float64)
-        q = asked[width][1]
-        about = (q @ code.T) * scale[rows]
-        far = np.linalg.norm(q, axis=1)[:, None] * rest[rows] + SLACK * (1 + np.abs(about))
-        yield width, ids[rows], about - far, about + far
+    """(width, first query, ids, lower ends, upper ends) of a batch of codes for the queries of each width, a row a query, in tiles of both."""
+    for start in range(0, batch.num_rows, TILE_CODES):
+        tile = batch.slice(start, TILE_CODES)
+        names, held = tile.column(0).to_numpy(), tile.column(1).to_pylist()
+        widths = np.fromiter(map(len, held), np.int64, len(held))
+        scale, rest = tile.column(2).to_numpy(), tile.column(3).to_numpy()
+        for width in set(widths.tolist()) & set(asked):
+            rows = np.flatnonzero(widths == width)
+            code = np.frombuffer(b"".join([held[i] for i in rows.tolist()]), np.int8).reshape(len(rows), width).astype(np.float64)
+            for at in range(0, len(asked[width][1]), TILE_QUERIES):
+                q = asked[width][1][at : at + TILE_QUERIES]
+                about = (q @ code.T) * scale[rows]
+                far = np.linalg.norm(q, axis=1)[:, None] * rest[rows] + SLACK * (1 + np.abs(about))
+                yield width, at, names[rows], about - far, about + far
 
 
 def nearest_in_two_phases(spark: SparkSession, path: str, queries: DataFrame, k: int = CANDIDATES, read: Read | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): what vector.nearest_batch gives, from a stored index of codes.
 
     Query vectors of QUERY_BYTES are broadcast; for more, vectors are compared whole.  Every
-    task gives its k largest lower ends a query, so k rows a query and task are shuffled.
+    task gives its k largest lower ends a query, so k rows a query and task are shuffled; it
+    holds these and one tile of queries and codes, however many there are of both.
     `read` then tells how many vectors were read whole.
     """
     codes, vectors = spark.read.parquet(f"{path}/codes"), spark.read.parquet(f"{path}/vectors")
@@ -96,13 +101,13 @@ def nearest_in_two_phases(spark: SparkSession, path: str, queries: DataFrame, k:
     asked = spark.sparkContext.broadcast(_by_width([(r.id, r.v) for r in q.orderBy("id").collect()]))
 
     def lowest(batches):
-        best: dict[int, np.ndarray] = {}
+        best: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for width, _, low, _ in _intervals(batch, asked.value):
-                low = np.concatenate([best[width], low], axis=1) if width in best else low
-                best[width] = -np.partition(-low, min(k, low.shape[1]) - 1, axis=1)[:, :k]
-        for width, low in best.items():
-            names = np.repeat(asked.value[width][0], low.shape[1])
+            for width, at, _, low, _ in _intervals(batch, asked.value):
+                low = np.concatenate([best[width, at], low], axis=1) if (width, at) in best else low
+                best[width, at] = -np.partition(-low, min(k, low.shape[1]) - 1, axis=1)[:, :k].copy()
+        for (width, at), low in best.items():
+            names = np.repeat(asked.value[width][0][at : at + TILE_QUERIES], low.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.arange(len(names))), pa.array(low.ravel())], ["query_id", "chunk_id", "score"])
 
     # the place in a task stands for the vector: only the k-th value counts
@@ -110,12 +115,12 @@ def nearest_in_two_phases(spark: SparkSession, path: str, queries: DataFrame, k:
     reached = spark.sparkContext.broadcast({r.query_id: r.score for r in kth.select("query_id", "score").collect()})  # a number a query, as the queries themselves
 
     def candidates(batches):
+        least = {w: np.array([reached.value.get(i, -np.inf) for i in names.tolist()]) for w, (names, _) in asked.value.items()}
         for batch in batches:
-            for width, ids, _, high in _intervals(batch, asked.value):
-                names = asked.value[width][0]
-                least = np.array([reached.value.get(i, -np.inf) for i in names.tolist()])
-                at, which = np.nonzero(high >= least[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(ids[which])], ["query_id", "id"])
+            for width, at, ids, _, high in _intervals(batch, asked.value):
+                which, row = np.nonzero(high >= least[width][at : at + TILE_QUERIES, None])
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([pa.array(asked.value[width][0][at + which]), pa.array(ids[row])], ["query_id", "id"])
 
     found = materialise(map_arrow(codes.select("id", "code", "scale", "rest"), candidates, "query_id long, id long"), "candidates")
     few = [r.id for r in found.select("id").distinct().limit(LITERAL_IDS + 1).collect()]

@@ -3,6 +3,7 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,14 @@ def test_two_phases_equal_one(spark, tmp_path, monkeypatch, literal):
     assert flat(codes.nearest_in_two_phases(spark, str(tmp_path / "c"), q.filter("query_id <> 52"), 10, read)) == flat(vector.nearest_batch(v, q.filter("query_id <> 52"), 10))
     assert read.vectors == 2000 + 2 + 20 and 10 < read.whole < 500
     assert flat(codes.nearest_in_two_phases(spark, str(tmp_path / "c"), q, 10)) == flat(vector.nearest_batch(v, q, 10))
+
+
+def test_codes_meet_queries_in_tiles(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(codes, "TILE_QUERIES", 3)
+    monkeypatch.setattr(codes, "TILE_CODES", 5)
+    rng = random.Random(9)
+    v = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(4 if i % 7 else 3)]) for i in range(60)], "id long, vec array<double>")
+    rows = pa.Table.from_batches(codes.encode(v).toArrow().to_batches()).combine_chunks().to_batches()[0]
+    asked = vector._by_width([(i, [float(i), 1.0, 0.5, 2.0]) for i in range(10)])
+    tiles = list(codes._intervals(rows, asked))
+    assert max(low.shape for *_, low, _ in tiles) <= (3, 5) and sum(low.size for *_, low, _ in tiles) == 10 * sum(1 for i in range(60) if i % 7)
