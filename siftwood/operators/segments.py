@@ -31,14 +31,14 @@ from siftwood.functions.text import index_tokens
 from siftwood.sources import store
 
 from . import lexical
-from .lexical import B, CANDIDATES, K1, LEAST_IDF, LITERAL_TERMS, POINT, LexicalIndex, terms_of_queries, top_ranked
-from .scratch import delete, materialise
-from .sizing import MAX_ROWS, broadcast_if_small
+from .lexical import B, CANDIDATES, K1, LEAST_IDF, LITERAL_TERMS, POINT, LexicalIndex, dealt_for, terms_of_queries, top_ranked
+from .scratch import delete, materialise, release
+from .sizing import MAX_ROWS, broadcast_if_small, is_small
 
 #: A segment is merged with the younger ones if these have a FANOUT-th of its size or more; segments beyond which that is done.
 FANOUT, MOST_SEGMENTS = 6, 6
-#: Chunks of a range of ids, tokens of a file of postings, bytes of a row group of postings, chunks' tokens of a file of chunks.
-RANGE_CHUNKS, FILE_TOKENS, ROW_GROUP, CHUNK_TOKENS = 128, 8_000_000, 4 << 20, 4_000_000
+#: Chunks of a range of ids, tokens of a file of postings (one task puts them in order, in memory), bytes of a row group of postings, chunks' tokens of a file of chunks.
+RANGE_CHUNKS, FILE_TOKENS, ROW_GROUP, CHUNK_TOKENS = 128, 2_000_000, 4 << 20, 4_000_000
 #: Ranges of ids with the highest bounds that set the score to be beaten; ranges up to which survivors are literals of the scan.
 SEEDS, LITERAL_RANGES = 24, 2000
 POSTINGS = "term string, range long, n long, max_tf long, min_dl int, ids array<long>, tfs array<long>, dls array<int>"
@@ -107,7 +107,7 @@ class SegmentIndex:
         def postings() -> tuple[int, int]:
             new = self.read("chunks", [own])
             n, tokens = new.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-            tf = lexical.postings_of(new.withColumn("_body", self.body), "id", "_body").select("term", F.col("chunk_id").alias("id"), "tf", "dl")
+            tf = lexical.postings_of(new.select("id", self.body.alias("_body")), "id", "_body").withColumnRenamed("chunk_id", "id")
             self._blocks(number, tf, n, tokens)
             return n, tokens
 
@@ -139,14 +139,21 @@ class SegmentIndex:
         return state.get("segments", [])
 
     def _blocks(self, number: int, postings: DataFrame, n: int, tokens: int) -> None:
-        """Write postings (term, id, tf, dl) in blocks; a range of ids holds about RANGE_CHUNKS of the n chunks, as ids are hashes or serial."""
-        ranges = max(1, -(-n // RANGE_CHUNKS))
-        at = F.pmod(F.xxhash64("id"), F.lit(ranges))
-        dealt = postings.withColumn("range", at).repartitionByRange(max(1, -(-tokens // FILE_TOKENS)), "term", "range")
+        """Write postings (term, id, tf, dl) in blocks; a range of ids holds about RANGE_CHUNKS of the n chunks, as ids are hashes or serial.
+
+        Putting them in the order of terms samples them first; so those of several files are
+        written once before, lest they be made twice.
+        """
+        ranges, files = max(1, -(-n // RANGE_CHUNKS)), max(1, -(-tokens // FILE_TOKENS))
+        held = postings.select("term", "id", "tf", "dl")
+        held = materialise(held, "counted") if files > 1 else held
+        dealt = held.withColumn("range", F.pmod(F.xxhash64("id"), F.lit(ranges))).repartitionByRange(files, "term", "range")
         rows = F.sort_array(F.collect_list(F.struct("id", "tf", "dl")))
         blocks = dealt.groupBy("term", "range").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), rows.alias("rows"))
         parts = blocks.withColumns({"ids": F.col("rows.id"), "tfs": F.col("rows.tf"), "dls": F.col("rows.dl")})
         self._write("postings", number, parts.sortWithinPartitions("term", "range"))
+        if files > 1:
+            release(held)
 
     def _terms(self, number: int, rows: DataFrame) -> None:
         whole = rows.groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
@@ -333,6 +340,7 @@ class Snapshot:
         weighed = weighed.select("query_id", "term", (F.col("qtf") * F.when(raw > 0, raw).otherwise(LEAST_IDF)).alias("w"), "avgdl")
         weighed = materialise(weighed, "weights")
         joined = broadcast_if_small(weighed)
+        n_pairs = self.state.get("chunks", 0) * weighed.select("query_id").distinct().count()
         blocks = self._of_terms(self.index.read("postings", self.segments), few, terms)
 
         def part(tf: str, dl: str) -> Column:
@@ -344,10 +352,18 @@ class Snapshot:
         bounds = materialise(bounds, "bounds")
 
         def scores(pairs: DataFrame, among: DataFrame) -> DataFrame:
-            """Exact scores of the chunks in the ranges (query_id, seg, range) of pairs."""
-            named = among.join(joined, "term").join(broadcast_if_small(pairs.select("query_id", "seg", "range")), ["query_id", "seg", "range"], "left_semi")
-            rows = self._live(postings_in(named, "query_id", "w", "avgdl"))
-            return rows.groupBy("query_id", F.col("id").alias("chunk_id")).agg((F.sum((part("tf", "dl") * POINT + 0.5).cast("long")) / F.lit(float(POINT))).alias("score"))
+            """Exact scores of the chunks in the ranges (query_id, seg, range) of pairs.
+
+            Blocks are brought together by range and meet the queries there, so what is
+            shuffled is a block once, however many queries ask for it.
+            """
+            ranges = pairs.select("seg", "range").distinct()
+            among = among.join(F.broadcast(ranges), ["seg", "range"], "left_semi") if is_small(ranges) else among
+            asked = dealt_for(pairs.select("query_id", "seg", "range"), n_pairs, "seg", "range").groupBy("seg", "range").agg(F.collect_set("query_id").alias("asked"))
+            named = dealt_for(among, n_pairs, "seg", "range").join(asked, ["seg", "range"]).join(joined, "term").filter(F.array_contains("asked", F.col("query_id")))
+            rows = self._live(postings_in(named, "query_id", "range", "w", "avgdl"))
+            rows = rows.groupBy("seg", "range", "query_id", F.col("id").alias("chunk_id"))
+            return rows.agg((F.sum((part("tf", "dl") * POINT + 0.5).cast("long")) / F.lit(float(POINT))).alias("score")).select("query_id", "chunk_id", "score")
 
         order = Window.partitionBy("query_id").orderBy(F.desc("most"), "seg", "range")
         first = bounds.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= seeds)
