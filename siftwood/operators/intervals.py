@@ -59,7 +59,8 @@ def positions_within(positions: DataFrame, intervals: DataFrame, keys: list[str]
     held = [F.col(f"_{p_name}_{x}") == F.col(f"_{i_name}_{x}") for x in (*range(len(keys)), "grid", "block")]
     held += [place > begin if after else place >= begin, place <= end]
     whole = lambda df, name: F.struct(*[(F.col(f"_{name}_{keys.index(c)}") if c in keys else F.col(f"{name}.`{c}`")).alias(c) for c in df.columns]).alias(name)
-    return p.join(i, reduce(lambda a, b: a & b, held)).select(whole(positions, p_name), whole(intervals, i_name))
+    # what blocks make of a row is more than the sizes of files tell, so a side that looks small isn't broadcast
+    return p.join(i.hint("merge"), reduce(lambda a, b: a & b, held)).select(whole(positions, p_name), whole(intervals, i_name))
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi", grids: Sequence[int] = GRIDS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.operators import intervals
+from siftwood.operators.scratch import materialise
 
 from .queries_retrieval import read
 
@@ -17,30 +18,39 @@ _WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(_WORDS), 0).alias("w")).filter(F.size("w") > 0)
+    """(doc_id, n, ends) of documents with a word: the number of words and the places of those that end a sentence, the last one among them.
+
+    Texts are cut once: the joins read their sides several times, and each time would cut them again.
+    """
+    words = read(spark, d, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(_WORDS), 0).alias("w")).filter(F.size("w") > 0)
+    last = F.size("w") - 1
+    ends = F.filter(F.transform("w", lambda w, i: F.when(w.rlike(SENTENCE_END) | (i == last), i)), lambda i: i.isNotNull())
+    return materialise(words.select("doc_id", F.size("w").alias("n"), ends.alias("ends")), "sentences")
 
 
 def _span_rows(words: DataFrame, spans: Column) -> DataFrame:
     return words.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.lo", "s.hi")
 
 
+def _span(lo: Column, hi: Column) -> Column:
+    return F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
+
+
 def _sentences(words: DataFrame) -> DataFrame:
     """(doc_id, lo, hi): words of each sentence; what follows the last end is one too."""
-    last = F.size("w") - 1
-    ends = F.filter(F.transform("w", lambda w, i: F.when(w.rlike(SENTENCE_END) | (i == last), i)), lambda i: i.isNotNull())
-    begins = F.concat(F.array(F.lit(0)), F.transform(ends, lambda e: e + 1))
-    return _span_rows(words, F.zip_with(ends, F.slice(begins, 1, F.size(ends)), lambda e, b: F.struct(b.cast("long").alias("lo"), e.cast("long").alias("hi"))))
+    begins = F.concat(F.array(F.lit(0)), F.transform("ends", lambda e: e + 1))
+    return _span_rows(words, F.zip_with("ends", F.slice(begins, 1, F.size("ends")), lambda e, b: _span(b, e)))
 
 
-def _tiles(words: DataFrame, size: int, step: int) -> DataFrame:
-    n = F.size("w")
-    return _span_rows(words, F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda s: F.struct(s.cast("long").alias("lo"), F.least(s + (size - 1), n - 1).cast("long").alias("hi"))))
+def _tiles(size: int, step: int) -> Column:
+    n = F.col("n")
+    return F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda s: _span(s, F.least(s + (size - 1), n - 1)))
 
 
 def window_sentences(spark, d):
     """For each overlapping window of words: the sentences it meets, those it holds whole, and the words they share."""
     words = _words(spark, d)
-    met = intervals.overlaps(_tiles(words, WINDOW, STEP), _sentences(words), ["doc_id"], grids=GRIDS[:1])
+    met = intervals.overlaps(_span_rows(words, _tiles(WINDOW, STEP)), _sentences(words), ["doc_id"], grids=GRIDS[:1])
     low, high = F.greatest("left.lo", "right.lo"), F.least("left.hi", "right.hi")
     whole = (F.col("right.lo") >= F.col("left.lo")) & (F.col("right.hi") <= F.col("left.hi"))
     return met.groupBy("left.doc_id", "left.lo", "left.hi").agg(F.count(F.lit(1)).alias("met"), F.count_if(whole).alias("whole"), F.sum(high - low + 1).alias("shared"))
@@ -49,9 +59,7 @@ def window_sentences(spark, d):
 def sentence_chunks(spark, d):
     """The smallest chunk, of three sizes or the whole text, that holds each sentence whole."""
     words = _words(spark, d)
-    chunks = _span_rows(words, F.array(F.struct(F.lit(0).cast("long").alias("lo"), (F.size("w") - 1).cast("long").alias("hi"))))
-    for size in SIZES:
-        chunks = chunks.unionByName(_tiles(words, size, size // 2))
+    chunks = _span_rows(words, F.concat(F.array(_span(F.lit(0), F.col("n") - 1)), *[_tiles(size, size // 2) for size in SIZES]))
     return intervals.innermost(_sentences(words), chunks, ["doc_id"], grids=GRIDS).select("doc_id", "lo", "hi", F.col("outer_lo").alias("chunk_lo"), F.col("outer_hi").alias("chunk_hi"))
 
 

@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftwood.operators.intervals import blocks_of_interval, innermost, overlaps, positions_within
+from siftwood.plans import queries_spans
 
 SPAN = "k string, lo long, hi long, tag string"
 
@@ -78,3 +80,9 @@ def test_empty_tables(spark):
     none, some = spark.createDataFrame([], SPAN), spark.createDataFrame([("k", 1, 2, "t")], SPAN)
     assert overlaps(none, some, ["k"]).count() == overlaps(some, none, ["k"]).count() == 0
     assert innermost(some, none, ["k"]).collect() == [("k", 1, 2, "t", None, None)]
+
+
+@pytest.mark.parametrize("name", ["window_sentences", "sentence_chunks"])
+def test_texts_are_cut_once_and_no_side_is_broadcast(spark, sf_dir, name):
+    plan = queries_spans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "BroadcastExchange" not in plan
