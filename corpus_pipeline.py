@@ -50,6 +50,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of texts whose five-word shingles are 0.8 similar or more.
 
+    SimHash and BK-trees give the first links, each verified on the whole sets; shards of
+    shingles add those beyond its three bits, so no link is lost.
     Rows that share a doc_id are judged by their texts; one stays of those alike in both.
     Rows with a null doc_id stay.  Texts without words are alike.
     """

@@ -200,6 +200,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, id_col: str =
 #: Documents whose shingles tell which are frequent: so many at least, and a share of all, so that shards are as small at any size;
 #: how many frequent ones are known at most, and how the pivots of a shard grow by round.
 #: These set the cost alone: any order of the shingles finds every link.
+#: Bits by which SimHashes of sets may differ to be verified first.
+RADIUS = 3
 SAMPLE, SHARE, FREQUENT, GROWTH = 10_000, 1 / 32, 1_000_000, 16
 
 
@@ -208,6 +210,14 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(np.concatenate([np.empty(0, np.uint64), *hashes_in(text, k)]))
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingles, as a signed 64-bit number: a bit is 1 if set in over half of them."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def set_digest(hashes: np.ndarray) -> int:
     """The name of a shingle set, as a signed long."""
     return int.from_bytes(xxhash.xxh3_128_digest(hashes.tobytes())[:8], "little", signed=True)
@@ -315,16 +325,17 @@ def similar_nodes(docs: DataFrame, k: int, similarity: float, id_col: str, text_
 
     def sketch(batches):
         for batch in batches:
-            nodes, sizes, bitmaps, keys = [], [], [], []
+            nodes, sizes, bitmaps, fps, keys = [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 h = shingle_set(t, k)
                 nodes.append(set_digest(h))
                 sizes.append(len(h))
                 bitmaps.append(parity(h))
+                fps.append(set_fingerprint(h))
                 keys.append(prefix(h, similarity, *frequent.value).view(np.int64))
             ends = np.cumsum([0, *map(len, keys)])
             keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bitmaps, pa.binary()), keys], ["id", "node", "size", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bitmaps, pa.binary()), pa.array(fps, pa.int64()), keys], ["id", "node", "size", "bits", "fp", "keys"])
 
     def enough(x, y):
         """Whether sets of these sizes can be similar if this shingle, at these places, is the first they share; columns key, node, size, at.
@@ -380,10 +391,10 @@ def similar_nodes(docs: DataFrame, k: int, similarity: float, id_col: str, text_
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    sketched = common.materialise(common.map_arrow(texts, sketch, "id long, node long, size int, bits binary, keys array<long>"), "similar")
+    sketched = common.materialise(common.map_arrow(texts, sketch, "id long, node long, size int, bits binary, fp long, keys array<long>"), "similar")
     own = common.materialise(sketched.select("id", "node"), "similar-own")
     known = own.filter("id IS NOT NULL")
-    firsts = [F.first(c).alias(c) for c in ("size", "bits", "keys")]  # the same for equal sets
+    firsts = [F.first(c).alias(c) for c in ("size", "bits", "fp", "keys")]  # the same for equal sets
     nodes = common.materialise(sketched.filter("id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), *firsts), "similar-nodes")
     common.release(sketched)
     links = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
@@ -407,6 +418,13 @@ def similar_nodes(docs: DataFrame, k: int, similarity: float, id_col: str, text_
         common.release(near, wide)
         return found
 
+    # by the operator's method first: SimHashes within RADIUS by BK-trees of shards, verified; the shards of shingles then find what so few bits miss
+    by_fp = common.materialise(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")), "similar-fps")
+    same = common.join_unique(nodes.select("node", "fp"), by_fp.select("fp", "least"), ["fp"], common.hot_keys(by_fp.select("fp", "n"))).filter("node <> least")
+    near = fingerprint_links(by_fp.select(F.col("least").alias("node"), "fp"), RADIUS, block_count(by_fp.count(), RADIUS)).union(same.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    links = links.union(verified(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False))
+    common.release(by_fp)
+
     shards = nodes.select("node", "size", F.posexplode("keys").alias("at", "key")).select("key", "node", "size", "at")
     shards = shards.repartition("key").sortWithinPartitions("key", "node")
     rest = common.materialise(common.map_arrow(shards, first_round, "key long, node long, size int, at int, place long, pivot long"), "similar-shards")
@@ -433,7 +451,9 @@ def similar_nodes(docs: DataFrame, k: int, similarity: float, id_col: str, text_
 def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of texts whose sets of k-word shingles have a Jaccard similarity of `similarity` or more: (doc_id, component_id).
 
-    Exact up to equal 64-bit hashes.  Sets as similar as that share a shingle in their
+    Exact up to equal 64-bit hashes.  SimHashes of the sets within RADIUS bits, found by
+    BK-trees as in near_duplicates, are verified on the whole sets and joined first; the rest
+    is found by shingles, whatever their bits.  Sets as similar as that share a shingle in their
     prefixes (see there), so those are the shards here.  Frequent shingles, as a bounded
     sample tells them, come last in the order, so a passage that many texts share makes no
     shard unless it is nearly all of a text.  In a shard the sets are compared with its first

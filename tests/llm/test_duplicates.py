@@ -131,6 +131,26 @@ def test_similar_sets_of_other_repeat_counts(spark):
     assert {r.doc_id: r.component_id for r in op7_simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_similar_groups_are_joined_by_simhash_first(spark, monkeypatch):
+    base = [f"w{i}" for i in range(400)]
+    texts = {1: base, 2: base[:-1] + ["x"], 3: [f"v{i}" for i in range(400)]}
+    bits = {i: op7_simhash.set_fingerprint(op7_simhash.shingle_set(" ".join(t), 5)) % 2**64 for i, t in texts.items()}
+    hashes = op7_simhash.shingle_set(" ".join(base), 5).tolist()
+    assert bits[1] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert op7_simhash.set_fingerprint(op7_simhash.shingle_set("", 5)) == 0
+    seen = []
+    links = op7_simhash.fingerprint_links
+
+    def spy(nodes, radius, blocks):
+        seen.append({r.fp % 2**64 for r in nodes.collect()})
+        return links(nodes, radius, blocks)
+
+    monkeypatch.setattr(op7_simhash, "fingerprint_links", spy)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in op7_simhash.similar_groups(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert seen == [set(bits.values())]
+
+
 def test_bitmaps_rule_out_nothing_similar():
     rng = np.random.default_rng(12)
     sets = [np.unique(rng.integers(0, 1 << 62, int(n), dtype=np.uint64)) for n in rng.integers(0, 700, 40)]
