@@ -188,3 +188,14 @@ def test_codes_meet_queries_in_tiles(spark, tmp_path, monkeypatch):
     asked = vector._by_width([(i, [float(i), 1.0, 0.5, 2.0]) for i in range(10)])
     tiles = list(codes._intervals(rows, asked))
     assert max(low.shape for *_, low, _ in tiles) <= (3, 5) and sum(low.size for *_, low, _ in tiles) == 10 * sum(1 for i in range(60) if i % 7)
+
+
+def test_postings_of_several_files_are_made_once(spark, tmp_path, asked, monkeypatch):
+    monkeypatch.setattr(segments, "FILE_TOKENS", 100)
+    written, whole = [], segments.materialise
+    monkeypatch.setattr(segments, "materialise", lambda df, name: written.append(name) or whole(df, name))
+    rng, index = random.Random(11), made(spark, tmp_path / "i")
+    docs = {f"f{i}": text(rng) for i in range(60)}
+    put(index, docs)
+    assert written == ["counted"]
+    assert ranked(lexical.bm25_topk(index.leased().lexical(asked), asked, 7)) == ranked(lexical.bm25_topk(fresh(spark, docs), asked, 7))
