@@ -19,7 +19,10 @@ _NONE = "array<string>"
 
 
 def stripped_lines(text: Column) -> Column:
-    return F.transform(text_lines(text), lambda x: F.regexp_replace(x, r"^\p{Z}*\s*|\s*\p{Z}*$", ""))
+    # the pattern looks at every place of a line, so only lines with something to strip at an end meet it
+    strip = lambda x: F.regexp_replace(x, r"^\p{Z}*\s*|\s*\p{Z}*$", "")
+    edge = lambda x: F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1))).rlike(r"[\s\p{Z}\x85]")
+    return F.transform(text_lines(text), lambda x: F.when(edge(x), strip(x)).otherwise(x))
 
 
 def matching_lines(lines: Column, query: Column, shown: Column) -> Column:

@@ -19,6 +19,7 @@ DEFINING = "def class function fn func struct interface trait type enum const le
 IMAGE = r"(?i)!\[[^\]]*\]\(|<img\b"
 WORD = r"[\p{L}\p{N}_]+"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+OTHER_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 MAX_BYTES, MAX_PDF_BYTES, SNIFF_BYTES = 1_000_000, 25_000_000, 8192
 
 
@@ -112,9 +113,19 @@ def decode(content: Column) -> Column:
 
 
 def text_lines(s: Column) -> Column:
-    """Lines at any line break, without an empty last one."""
-    body = F.regexp_replace(s, f"(?:{LINE_BREAK})\\z", "")
-    return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK, -1))
+    """Lines at any line break, without an empty last one.
+
+    Most texts have no break but \\n, which needs no pattern.  The text is named by a
+    one-entry array, so that it is made once however long its own expression is.
+    """
+
+    def lines(x: Column) -> Column:
+        plain = F.split(F.when(F.endswith(x, F.lit("\n")), F.left(x, F.length(x) - 1)).otherwise(x), "\n", -1)
+        rest = F.split(F.regexp_replace(x, f"(?:{LINE_BREAK})\\z", ""), LINE_BREAK, -1)
+        other = reduce(lambda a, b: a | b, [F.contains(x, F.lit(c)) for c in OTHER_BREAKS])
+        return F.when(F.length(x) == 0, F.array().cast("array<string>")).when(other, rest).otherwise(plain)
+
+    return F.transform(F.array(s), lines)[0]
 
 
 def image_count(s: Column) -> Column:

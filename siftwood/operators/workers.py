@@ -11,6 +11,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _shipped: set[str] = set()
 _kept: dict[str, Any] = {}
@@ -60,7 +61,7 @@ def drop_kept(but: str | None = None) -> None:
         del _kept[name]
 
 
-def map_arrow(df: DataFrame, fn, schema: str, keeps: str | None = None) -> DataFrame:
+def map_arrow(df: DataFrame, fn, schema: StructType | str, keeps: str | None = None) -> DataFrame:
     """df.mapInArrow, on executors that have this package and in batches of bounded size.
 
     Workers are used again by the stages that follow, so each task ends with handing memory

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from siftwood.functions import outline as outlines
 from siftwood.functions import text as tx
-from siftwood.functions.tokens import token_counter
 from siftwood.operators import chunk, evaluate, vector
+from siftwood.operators.token_counts import count_columns
 from siftwood.sources import corpus
 
 from .queries_retrieval import query_vectors, read, vectors
@@ -86,28 +86,32 @@ def token_cost(spark, d):
     return cost.groupBy((F.col("doc_id") % 4).alias("g")).agg(*[F.avg(c).cast("int").alias(c) for c in ("full_read", "outline", "outline_read", "file")])
 
 
-def _whole_costs(spark, d, count):
-    """Costs by source of whole windows as the results of their document, which look for one of its lines."""
+def _whole_costs(spark, d, counted):
+    """Costs by source of whole windows as the results of their document, which look for one of its lines.
+
+    counted(df, names) turns the text columns of these names into counts.
+    """
     docs = read(spark, d, "documents").select("doc_id", "source", "text", (F.col("n_chars") % 9 + 1).alias("target"))
     outline = F.array_join(outlines.prose_head(outlines.stripped_lines(F.col("text"))), "\n")
     covers = F.col("target").between(F.col("line_start"), F.col("line_end"))
-    chunks = chunk.line_windows(docs, size=5).select("doc_id", covers.alias("covers"), ((F.col("line_start") + 4) / 5).cast("int").alias("place"), count(F.col("text")).alias("tokens"), count(outline).alias("short"))
+    chunks = chunk.line_windows(docs, size=5).select("doc_id", covers.alias("covers"), ((F.col("line_start") + 4) / 5).cast("int").alias("place"), F.col("text").alias("tokens"), outline.alias("short"))
     found = lambda c: F.when(F.col("covers"), F.col(c))
-    cases = chunks.groupBy("doc_id").agg(F.sum("tokens").alias("full"), F.sum("short").alias("outline"), F.sum(found("tokens")).alias("hit"), F.min(found("place")).alias("rank"))
-    rows = docs.select("doc_id", "source", count(F.coalesce("text", F.lit(""))).alias("file")).join(cases, "doc_id", "left").fillna(0, ["full", "outline", "hit"])
+    cases = counted(chunks, ["tokens", "short"]).groupBy("doc_id").agg(F.sum("tokens").alias("full"), F.sum("short").alias("outline"), F.sum(found("tokens")).alias("hit"), F.min(found("place")).alias("rank"))
+    files = counted(docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("file")), ["file"])
+    rows = files.join(cases, "doc_id", "left").fillna(0, ["full", "outline", "hit"])
     means = [F.avg(c).cast("int").alias(c) for c in ("full_read", "outline", "outline_read", "file")]
     return evaluate.token_costs(rows).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("rank").alias("hits"), *means)
 
 
 def token_cost_whole(spark, d):
-    return _whole_costs(spark, d, tx.byte_tokens)
+    return _whole_costs(spark, d, lambda df, names: df.withColumns({n: tx.byte_tokens(F.col(n)) for n in names}))
 
 
 def token_cost_bpe(spark, d):
     """token_cost_whole in tokens of a vocabulary, where its file is present."""
     import public_tokenizers
 
-    return _whole_costs(spark, d, token_counter(public_tokenizers.path(VOCABULARY)))
+    return _whole_costs(spark, d, lambda df, names: count_columns(df, names, public_tokenizers.path(VOCABULARY)))
 
 
 def outline_visible(spark, d):
